@@ -1,4 +1,9 @@
 """All registered queries and their SQL twins."""
 
-from salesloom.plans import kpi_queries  # noqa: F401
+from salesloom.plans import (  # noqa: F401
+    clean_queries,
+    customer_queries,
+    kpi_queries,
+    profile_queries,
+)
 from salesloom.plans.registry import ORACLES, QUERIES, runnable  # noqa: F401

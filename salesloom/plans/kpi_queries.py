@@ -476,7 +476,7 @@ _TEMPLATES = {
     "sql04_b2b_performance": (
         "b2b_performance",
         """SELECT b2b, count(*) AS orders, round(sum(amount), 2) AS revenue,
-                  round(avg(amount), 2) AS avg_order_value FROM sales GROUP BY b2b""",
+                  round(avg(amount), 6) AS avg_order_value FROM sales GROUP BY b2b""",
         ["revenue", "avg_order_value"],
     ),
     "sql05_top_states": (
@@ -489,7 +489,7 @@ _TEMPLATES = {
 
 
 def _register_template(name: str, template: str, sql: str, money: list[str]) -> None:
-    digits = {"cancel_rate": 6}
+    digits = {"cancel_rate": 6, "avg_order_value": 6}
 
     @query(name, sql)
     def _(t):
