@@ -1,11 +1,11 @@
-"""Exact order-based measures without one task that sees a whole group.
-
-A plain window over few groups (or over none) puts a group into one task. Here
-the rows are range-partitioned on group and order instead. The number of the
-range is written down with the rows, so later steps agree on it also after a
-retry. Each range is then worked on alone, and what it needs from the ranges
-before it (a running total, or the last few rows) is a table of a few rows per
-range.
+"""Exact order-based measures without one task that sees a huge group.
+
+The input is written once and its largest group counted. Up to ``PLAIN_ROWS``
+rows a plain window per group is right and cheap. Beyond that, rows are
+range-partitioned on group and order, and the number of the range is written
+down with the rows, so that later steps agree on it also after a retry. Each
+range is then worked on alone. What it needs from the ranges before it (a
+running total, or the last few rows) is a table of a few rows per range.
 """
 
 from __future__ import annotations
@@ -15,24 +15,45 @@ from pyspark.sql import functions as F
 
 from salesloom.workspace import broadcast_if_small, shuffle_partitions, stage
 
+# Largest group that one task may sort.
+PLAIN_ROWS = 1_000_000
+
 RANGE = "_range"
 
 
-def _in_ranges(df: DataFrame, group: list[str], order: list[Column], label: str) -> DataFrame:
-    n = shuffle_partitions(df.sparkSession)
-    ranged = df.repartitionByRange(n, *[F.col(g) for g in group], *order)
-    return stage(ranged.withColumn(RANGE, F.spark_partition_id()), label)
+def _largest_group(staged: DataFrame, group: list[str]) -> int:
+    sizes = staged.groupBy(*group).agg(F.count("*").alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
+def _in_ranges(staged: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    n = shuffle_partitions(staged.sparkSession)
+    ranged = staged.repartitionByRange(n, *[F.col(g) for g in group], *order)
+    return stage(ranged.withColumn(RANGE, F.spark_partition_id()), "ranges")
 
 
 def total_before(
-    df: DataFrame, group: list[str], order: str, weights: dict[str, str]
+    df: DataFrame,
+    group: list[str],
+    order: str,
+    weights: dict[str, str],
+    plain_rows: int = PLAIN_ROWS,
 ) -> DataFrame:
     """For each row, the total of a weight over the rows before it in its group.
 
     ``weights`` maps weight column to result column. ``order`` has to be unique
     within a group, as it is for a value histogram.
     """
-    ranged = _in_ranges(df, group, [F.col(order)], "total-before")
+    staged = stage(df, "total-before")
+    zero = F.lit(0)
+    if _largest_group(staged, group) <= plain_rows:
+        earlier = Window.partitionBy(*group).orderBy(order).rowsBetween(
+            Window.unboundedPreceding, -1
+        )
+        return staged.select(
+            "*", *[F.coalesce(F.sum(w).over(earlier), zero).alias(o) for w, o in weights.items()]
+        )
+    ranged = _in_ranges(staged, group, [F.col(order)])
     inside = (
         Window.partitionBy(*group, RANGE)
         .orderBy(order)
@@ -48,10 +69,7 @@ def total_before(
     offsets = offsets.select(
         *group, RANGE, *[F.sum(f"_t_{w}").over(earlier).alias(f"_o_{w}") for w in weights]
     )
-    zero = F.lit(0)
-    local = ranged.select(
-        "*", *[F.sum(w).over(inside).alias(f"_l_{w}") for w in weights]
-    )
+    local = ranged.select("*", *[F.sum(w).over(inside).alias(f"_l_{w}") for w in weights])
     joined = local.join(broadcast_if_small(offsets), [*group, RANGE])
     totals = [
         (F.coalesce(f"_l_{w}", zero) + F.coalesce(f"_o_{w}", zero)).alias(out)
@@ -81,14 +99,17 @@ def value_histogram(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+def quantiles(
+    df: DataFrame, columns: list[str], probs: list[float], plain_rows: int = PLAIN_ROWS
+) -> DataFrame:
     """Exact, linearly interpolated quantiles as (column, prob, quantile).
 
     The built-in ``percentile`` gathers all distinct values of a column in one
     task. Here the value histogram is numbered in ranges and only the two values
     around each wanted position are kept.
     """
-    placed = total_before(value_histogram(df, columns), ["column"], "value", {"n": "before"})
+    counts = value_histogram(df, columns)
+    placed = total_before(counts, ["column"], "value", {"n": "before"}, plain_rows)
     sizes = placed.groupBy("column").agg(F.sum("n").alias("total"))
     position = (F.col("total") - 1) * F.col("prob")
     wanted = sizes.select(
@@ -120,7 +141,9 @@ def quantile(df: DataFrame, column: str, prob: float) -> DataFrame:
     return quantiles(df, [column], [prob]).agg(F.max("quantile").alias("quantile"))
 
 
-def average_ranks(df: DataFrame, ranks: dict[str, tuple[str, bool]]) -> DataFrame:
+def average_ranks(
+    df: DataFrame, ranks: dict[str, tuple[str, bool]], plain_rows: int = PLAIN_ROWS
+) -> DataFrame:
     """Add tie-averaged ranks over all rows.
 
     ``ranks`` maps a new column to (measure, ascending). The rank of a value is
@@ -132,7 +155,9 @@ def average_ranks(df: DataFrame, ranks: dict[str, tuple[str, bool]]) -> DataFram
     base = stage(df, "ranked")
     measures = sorted({m for m, _ in ranks.values()})
     placed = stage(
-        total_before(value_histogram(base, measures), ["column"], "value", {"n": "before"}),
+        total_before(
+            value_histogram(base, measures), ["column"], "value", {"n": "before"}, plain_rows
+        ),
         "ranks",
     )
     sizes = placed.groupBy("column").agg(F.sum("n").alias("total"))
@@ -158,24 +183,33 @@ def ordinal_codes(df: DataFrame, column: str, code: str) -> DataFrame:
     return placed.select(column, F.col("_before").cast("bigint").alias(code))
 
 
-def split_for_rolling(df: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Write ``df`` in ranges of (group, order); input of :func:`rolling_mean_in_ranges`."""
-    return _in_ranges(df, [group], [F.col(c).asc_nulls_last() for c in order], "rolling")
-
-
-def rolling_mean_in_ranges(
-    ranged: DataFrame, group: str, order: list[str], value: str, out: str, rows: int = 7
+def rolling_mean(
+    df: DataFrame,
+    group: str,
+    order: list[str],
+    value: str,
+    out: str,
+    rows: int = 7,
+    plain_rows: int = PLAIN_ROWS,
+    written: bool = False,
 ) -> DataFrame:
     """Mean over the last ``rows`` rows of the group, in the given full order.
 
     Missing values are skipped and missing order values come last; rows without
-    a group get no mean. A range of one group is averaged alone. Only its first
-    ``rows - 1`` rows lack their predecessors, and these are found among the
-    first and last rows of the ranges, which is a table of at most
-    2 * (rows - 1) rows per range.
+    a group get no mean. In the split form a range of one group is averaged
+    alone. Only its first ``rows - 1`` rows lack their predecessors, and these
+    are found among the first and last rows of the ranges, which is a table of
+    at most 2 * (rows - 1) rows per range. ``written`` says that ``df`` is a
+    written table already.
     """
+    staged = df if written else stage(df, "rolling")
     keys = [F.col(c).asc_nulls_last() for c in order]
     margin = rows - 1
+    if _largest_group(staged, [group]) <= plain_rows:
+        frame = Window.partitionBy(group).orderBy(*keys).rowsBetween(-margin, 0)
+        mean = F.when(F.col(group).isNotNull(), F.avg(value).over(frame))
+        return staged.select("*", mean.alias(out))
+    ranged = _in_ranges(staged, [group], keys)
     inside = Window.partitionBy(group, RANGE).orderBy(*keys)
     local = ranged.select(
         "*",
@@ -188,21 +222,4 @@ def rolling_mean_in_ranges(
     heads = edge.withColumn(out, F.avg(value).over(across)).where(F.col("_row") <= margin)
     joined = local.where(F.col("_row") > margin).unionByName(heads)
     mean = F.when(F.col(group).isNotNull(), F.col(out)).alias(out)
-    kept = [c for c in ranged.columns if c != RANGE]
-    return joined.select(*kept, mean)
-
-
-def rolling_mean(
-    df: DataFrame, group: str, order: list[str], value: str, out: str, rows: int = 7
-) -> DataFrame:
-    ranged = split_for_rolling(df, group, order)
-    return rolling_mean_in_ranges(ranged, group, order, value, out, rows)
-
-
-def rolling_mean_window(
-    df: DataFrame, group: str, order: list[str], value: str, out: str, rows: int = 7
-) -> DataFrame:
-    """The same mean by one plain window, for groups known to fit one task."""
-    keys = [F.col(c).asc_nulls_last() for c in order]
-    frame = Window.partitionBy(group).orderBy(*keys).rowsBetween(-(rows - 1), 0)
-    return df.withColumn(out, F.when(F.col(group).isNotNull(), F.avg(value).over(frame)))
+    return joined.select(*df.columns, mean)

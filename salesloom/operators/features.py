@@ -15,7 +15,7 @@ from salesloom.functions.scalars import (
     weekday,
 )
 from salesloom.sources.canonical import SALES_TIEBREAK
-from salesloom.workspace import broadcast_if_small
+from salesloom.workspace import broadcast_if_small, stage
 
 
 def calendar_columns(df: DataFrame, column: str = "date") -> DataFrame:
@@ -48,27 +48,26 @@ def row_features(sales: DataFrame, high_value_from) -> DataFrame:
 
 
 def rolling_revenue(
-    sales: DataFrame, tiebreak: list[str] = SALES_TIEBREAK, rows: int = 7
+    sales: DataFrame,
+    tiebreak: list[str] = SALES_TIEBREAK,
+    plain_rows: int = ordered.PLAIN_ROWS,
+    written: bool = False,
 ) -> DataFrame:
     """Adds ``revenue_7d_ma``: mean amount of the last seven rows of the category."""
     return ordered.rolling_mean(
-        sales, "category", ["date", *tiebreak], "amount", "revenue_7d_ma", rows
+        sales, "category", ["date", *tiebreak], "amount", "revenue_7d_ma", 7, plain_rows, written
     )
 
 
 def engineer_features(sales: DataFrame, tiebreak: list[str] = SALES_TIEBREAK) -> DataFrame:
     """Sales with calendar, price, promotion, high-value, rolling and target columns.
 
-    The input is written once, in the ranges the rolling mean needs; the exact
-    upper quartile that marks a high value is taken from the same rows.
+    The input is written once; the rolling mean and the exact upper quartile
+    that marks a high value both read it from there.
     """
-    order = ["date", *tiebreak]
-    ranged = ordered.split_for_rolling(sales, "category", order)
-    rolled = ordered.rolling_mean_in_ranges(
-        ranged, "category", order, "amount", "revenue_7d_ma"
-    )
-    threshold = ordered.quantile(ranged, "amount", 0.75).scalar()
-    return row_features(rolled, threshold)
+    rows = stage(sales, "features")
+    threshold = ordered.quantile(rows, "amount", 0.75).scalar()
+    return row_features(rolling_revenue(rows, tiebreak, written=True), threshold)
 
 
 def baseline_features(sales: DataFrame) -> DataFrame:

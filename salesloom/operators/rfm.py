@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.functions.ordered import average_ranks
+from salesloom.functions.ordered import PLAIN_ROWS, average_ranks
 from salesloom.functions.scalars import days_after, days_between, sum0
 from salesloom.operators.kpis import with_share
 
@@ -37,7 +37,7 @@ def compute_rfm(
     return rfm.where(F.col("monetary") > 0) if positive_only else rfm
 
 
-def with_rfm_scores(rfm: DataFrame) -> DataFrame:
+def with_rfm_scores(rfm: DataFrame, plain_rows: int = PLAIN_ROWS) -> DataFrame:
     """Tie-averaged ranks over all keys (recency counts down) and their sum."""
     ranked = average_ranks(
         rfm,
@@ -46,6 +46,7 @@ def with_rfm_scores(rfm: DataFrame) -> DataFrame:
             "f_rank": ("frequency", True),
             "m_rank": ("monetary", True),
         },
+        plain_rows,
     )
     score = sum(
         (F.coalesce(c, F.lit(0.0)) for c in ("f_rank", "m_rank")),

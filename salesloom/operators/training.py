@@ -1,10 +1,267 @@
-"""placeholder"""
-from pyspark.sql import DataFrame
+"""Splits, class weights, classifiers, grid search and model comparison.
+
+Rows are written once after preparation and every fit reads them from there;
+only class counts, metrics and importances reach the driver.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+from itertools import product
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import (
+    GBTClassifier,
+    LogisticRegression,
+    RandomForestClassifier,
+)
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.functions.scalars import hash_fraction
+from salesloom.functions.scalars import hash_fraction, lookup
+from salesloom.operators import encoding, metrics
+from salesloom.operators.cleaning import keep_existing
+from salesloom.workspace import shared_dir, stage
+
+SEED = 42
+
+# The searched settings. A depth of None means "not limited"; the
+# deepest tree Spark grows has 30 levels.
+GRIDS = {
+    "Logistic Regression": {"c": [0.1, 1.0]},
+    "Random Forest": {"max_depth": [10, None], "min_samples_split": [2, 5]},
+    "Gradient Boosting": {"learning_rate": [0.05, 0.1], "max_depth": [3, 5]},
+}
+MODEL_NAMES = list(GRIDS)
+DEEPEST = 30
 
 
-def random_rows(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
-    """At most n rows in an order fixed by row key and seed."""
+def random_rows(df: DataFrame, keys: list[str], n: int, seed: int = SEED) -> DataFrame:
+    """At most n rows, picked by a hash of row key and seed; a top-n, not a full sort."""
     return df.orderBy(hash_fraction(keys, seed), *keys).limit(n)
+
+
+def train_test_split(
+    df: DataFrame,
+    keys: list[str],
+    label: str | None = None,
+    test_share: float = 0.2,
+    seed: int = SEED,
+) -> tuple[DataFrame, DataFrame]:
+    """Split by a hash of the row key, within each label where one is given.
+
+    A row's side depends on nothing but the row, so the split needs no shuffle
+    and comes out the same in every run. Each label gives its share up to chance.
+    """
+    where = hash_fraction([label, *keys] if label else keys, seed)
+    return df.where(where >= test_share), df.where(where < test_share)
+
+
+def with_fold(df: DataFrame, keys: list[str], folds: int = 3, seed: int = SEED) -> DataFrame:
+    fold = F.floor(hash_fraction(keys, seed + 1) * folds).cast("int")
+    return df.withColumn("fold", fold)
+
+
+def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
+    """(label, n, weight) with weight = rows / (classes * rows of the class)."""
+    counts = df.groupBy(label).agg(F.count("*").alias("n"))
+    totals = counts.agg(F.struct(F.sum("n").alias("rows"), F.count("*").alias("k"))).scalar()
+    return counts.withColumn("_t", totals).select(
+        label, "n", (F.col("_t.rows") / (F.col("_t.k") * F.col("n"))).alias("weight")
+    )
+
+
+def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
+    weights = {r[label]: r["weight"] for r in class_weights(df, label).collect()}
+    return df.withColumn("weight", lookup(F.col(label), weights, 1.0))
+
+
+def classifier(name: str, rows: int, c: float = 1.0, max_depth: int | None = None,
+               min_samples_split: int = 2, learning_rate: float = 0.1, max_iter: int = 2000,
+               trees: int = 100):
+    """An unfitted classifier; ``rows`` turns the inverse strength C into Spark's."""
+    common = {"featuresCol": encoding.VECTOR, "labelCol": "label"}
+    if name == "Logistic Regression":
+        return LogisticRegression(
+            **common, weightCol="weight", maxIter=max_iter, tol=1e-6, standardization=False,
+            elasticNetParam=0.0, regParam=1.0 / (c * max(rows, 1)),
+        )
+    if name == "Random Forest":
+        return RandomForestClassifier(
+            **common, weightCol="weight", numTrees=trees, seed=SEED, maxMemoryInMB=1024,
+            maxDepth=DEEPEST if max_depth is None else max_depth,
+            minInstancesPerNode=max(1, min_samples_split // 2),
+        )
+    if name == "Gradient Boosting":
+        return GBTClassifier(
+            **common, maxIter=trees, stepSize=learning_rate, seed=SEED,
+            maxDepth=3 if max_depth is None else max_depth,
+        )
+    raise ValueError(f"unknown classifier {name}")
+
+
+def param_grid(name: str) -> list[dict]:
+    grid = GRIDS[name]
+    return [dict(zip(grid, values)) for values in product(*grid.values())]
+
+
+def with_score(predicted: DataFrame) -> DataFrame:
+    return predicted.withColumn("score", vector_to_array("probability")[1])
+
+
+@dataclass
+class Trained:
+    name: str
+    model: PipelineModel
+    feature_names: list[str]
+    best_params: dict = field(default_factory=dict)
+    metrics: dict = field(default_factory=dict)
+    candidates: list[dict] = field(default_factory=list)
+
+
+@dataclass
+class Prepared:
+    """Written training vectors with the stages that made them."""
+
+    stages: PipelineModel
+    rows: DataFrame
+    count: int
+    names: list[str]
+
+
+def prepare(train: DataFrame) -> Prepared:
+    """Fit the preparation, write the vectors once, with class weights."""
+    shared_dir(train.sparkSession)
+    fitted = encoding.fit_preparation(train)
+    vectors = fitted.transform(train)
+    keep = [c for c in ("label", "fold", encoding.VECTOR) if c in vectors.columns]
+    rows = stage(with_class_weight(vectors.select(keep)), "vectors")
+    numeric = keep_existing(train, encoding.NUMERIC)
+    categorical = keep_existing(train, encoding.CATEGORICAL)
+    names = encoding.feature_names(fitted, numeric, categorical)
+    return Prepared(fitted, rows, rows.count(), names)
+
+
+def search(name: str, train: DataFrame, keys: list[str], folds: int = 3, parallelism: int = 2):
+    """Mean F1 of each setting over the folds, best first.
+
+    Preparation is fitted on the training part of each fold and shared by all
+    settings of that fold.
+    """
+    rows = stage(with_fold(train, keys, folds), "folds")
+    settings = param_grid(name)
+    scores: list[list[float]] = [[] for _ in settings]
+    for k in range(folds):
+        part = prepare(rows.where(F.col("fold") != k).drop("fold"))
+        held = part.stages.transform(rows.where(F.col("fold") == k))
+        held = stage(held.select("label", encoding.VECTOR), "held-out")
+
+        def score(setting: dict) -> float:
+            model = classifier(name, part.count, **setting).fit(part.rows)
+            return metrics.f1_score(model.transform(held)).first()["f1"]
+
+        pool = ThreadPool(min(parallelism, len(settings)))
+        results = pool.map(inheritable_thread_target(score), settings)
+        pool.close()
+        for slot, value in zip(scores, results):
+            slot.append(value)
+    ranked = [
+        {"params": s, "mean_f1": sum(v) / len(v)} for s, v in zip(settings, scores)
+    ]
+    return sorted(ranked, key=lambda r: -r["mean_f1"])
+
+
+def train_and_evaluate(
+    name: str,
+    train: DataFrame,
+    test: DataFrame,
+    keys: list[str],
+    grid: bool = True,
+    prepared: Prepared | None = None,
+    **settings,
+) -> Trained:
+    """Search the grid if wanted, fit on all training rows, measure on the test rows.
+
+    With a single class in the training rows the search is skipped.
+    """
+    prepared = prepared or prepare(train)
+    classes = prepared.rows.select("label").distinct().limit(2).count()
+    candidates = []
+    if grid and classes > 1:
+        candidates = search(name, train, keys)
+        settings = {**settings, **candidates[0]["params"]}
+    fitted = classifier(name, prepared.count, **settings).fit(prepared.rows)
+    model = PipelineModel(stages=[*prepared.stages.stages, fitted])
+    scored = stage(
+        with_score(model.transform(test)).select("label", "prediction", "score"), "scored"
+    )
+    quality = metrics.classification_metrics(scored).first().asDict()
+    return Trained(
+        name, model, prepared.names, candidates[0]["params"] if candidates else {},
+        quality, candidates,
+    )
+
+
+def compare_models(
+    train: DataFrame, test: DataFrame, keys: list[str], grid: bool = True,
+    names: list[str] | None = None, **settings,
+) -> list[Trained]:
+    """All classifiers on the same rows, best area under the curve first."""
+    prepared = prepare(train)
+    results = [
+        train_and_evaluate(n, train, test, keys, grid, prepared, **settings)
+        for n in names or MODEL_NAMES
+    ]
+    return sorted(results, key=lambda r: -(r.metrics["roc_auc"] or 0.0))
+
+
+def comparison_table(spark: SparkSession, results: list[Trained]) -> DataFrame:
+    """One row per model with its metrics and best settings."""
+    rows = [
+        (r.name, *[float(r.metrics[m] or 0.0) for m in metrics.METRICS], str(r.best_params))
+        for r in results
+    ]
+    schema = "model string, " + ", ".join(f"{m} double" for m in metrics.METRICS)
+    return spark.createDataFrame(rows, schema + ", best_params string").orderBy(
+        F.col("roc_auc").desc(), "model"
+    )
+
+
+def feature_importance(spark: SparkSession, trained: Trained) -> DataFrame:
+    """Coefficients or impurity importances, largest signed value first."""
+    last = trained.model.stages[-1]
+    values = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
+    rows = [
+        (n, float(v), abs(float(v))) for n, v in zip(trained.feature_names, values.toArray())
+    ]
+    return spark.createDataFrame(
+        rows, "feature string, importance double, abs_importance double"
+    ).orderBy(F.col("importance").desc(), "feature")
+
+
+BASELINE = [
+    "qty", "amount", "month", "is_weekend", "b2b", "fulfilment", "service_level", "category",
+]
+
+
+def baseline_model(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Coefficients of a balanced logistic regression on the plain baseline features.
+
+    ``rows`` is the output of ``baseline_features``; the model sees it unscaled.
+    """
+    spark = rows.sparkSession
+    train, _test = train_test_split(rows, keys, "is_cancelled")
+    labelled = train.withColumn("label", F.col("is_cancelled").cast("double"))
+    vectors = VectorAssembler(inputCols=BASELINE, outputCol=encoding.VECTOR).transform(
+        with_class_weight(labelled)
+    )
+    data = stage(vectors.select("label", "weight", encoding.VECTOR), "baseline-vectors")
+    model = classifier("Logistic Regression", data.count(), max_iter=1000).fit(data)
+    coefficients = [(n, float(v)) for n, v in zip(BASELINE, model.coefficients.toArray())]
+    return spark.createDataFrame(coefficients, "feature string, coefficient double").orderBy(
+        F.col("coefficient").desc()
+    )

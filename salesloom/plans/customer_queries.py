@@ -14,18 +14,25 @@ KEYS = ", ".join(KEY)
 ORDER = "date NULLS LAST, order_id, line_no, sku, supp"
 
 
-@query(
-    "win01_rolling_revenue",
-    f"""SELECT {KEYS}, category, date, amount,
+_ROLLING = f"""SELECT {KEYS}, category, date, amount,
                round(avg(amount) OVER (PARTITION BY category ORDER BY {ORDER}
                      ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS revenue_7d_ma
-        FROM sales""",
-)
+        FROM sales"""
+
+
+@query("win01_rolling_revenue", _ROLLING)
 def _(t):
     rows = t.sales.select(*KEY, "category", "date", "amount")
     return rounded(features.rolling_revenue(rows), 6, "revenue_7d_ma")
 
 
+# The same results by the split form that large groups take.
+@query("win01_rolling_revenue_split", _ROLLING)
+def _(t):
+    rows = t.sales.select(*KEY, "category", "date", "amount")
+    return rounded(features.rolling_revenue(rows, plain_rows=0), 6, "revenue_7d_ma")
+
+
 @query(
     "win01_rolling_revenue_with_gaps",
     f"""SELECT {KEYS}, cat AS category, date, amount,
@@ -38,7 +45,7 @@ def _(t):
     rows = t.sales_raw.select(
         *KEY, F.when(F.col("line_no") != 2, F.col("category")).alias("category"), "date", "amount"
     )
-    return rounded(features.rolling_revenue(rows), 6, "revenue_7d_ma")
+    return rounded(features.rolling_revenue(rows, plain_rows=0), 6, "revenue_7d_ma")
 
 
 @query(
@@ -50,7 +57,7 @@ def _(t):
         "_key", F.struct(F.col("date"), F.col("order_id"), F.col("line_no"), F.col("sku"), F.col("supp"))
     )
     rows = rows.withColumns({"_all": F.lit(0), "_one": F.lit(1)})
-    placed = ordered.total_before(rows, ["_all"], "_key", {"_one": "position"})
+    placed = ordered.total_before(rows, ["_all"], "_key", {"_one": "position"}, plain_rows=0)
     return placed.select(*KEY, "date", F.col("position").cast("bigint").alias("position"))
 
 
@@ -92,6 +99,21 @@ def _(t):
     return rounded(ordered.quantile(t.sales, "amount", 0.75), 6, "quantile")
 
 
+@query(
+    "agg26_quantiles_split",
+    """SELECT q.c AS "column", q.p AS prob, round(CASE q.c
+           WHEN 'amount' THEN (SELECT quantile_cont(amount, [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]) FROM sales)[q.i]
+           ELSE (SELECT quantile_cont(qty, [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]) FROM sales)[q.i] END, 6)
+           AS quantile
+       FROM (SELECT c, i, [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0][i]::DOUBLE AS p
+             FROM (VALUES ('amount'), ('qty')) v(c), range(1, 8) r(i)) q""",
+)
+def _(t):
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    out = ordered.quantiles(t.sales, ["amount", "qty"], probs, plain_rows=0)
+    return rounded(out, 6, "quantile")
+
+
 @query(
     "agg27_medians",
     f"""WITH {FEATURES.strip()}
@@ -154,6 +176,11 @@ def _(t):
     return rfm.with_rfm_scores(_cents(t)).select("order_id", "r_rank", "f_rank", "m_rank")
 
 
+@query("win03_average_ranks_split", f"WITH {_RANKED} SELECT order_id, r_rank, f_rank, m_rank FROM k")
+def _(t):
+    return rfm.with_rfm_scores(_cents(t), plain_rows=0).select("order_id", "r_rank", "f_rank", "m_rank")
+
+
 @query("win04_rfm_score", f"WITH {_RANKED} SELECT *, r_rank + f_rank + m_rank AS rfm_score FROM k")
 def _(t):
     return rfm.with_rfm_scores(_cents(t))
