@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -135,7 +136,7 @@ def segment_customers(
     best = None
     for run in range(restarts):
         model = KMeans(
-            k=k, seed=seed + run, maxIter=max_iter, tol=1e-4,
+            k=k, seed=seed + run, maxIter=max_iter, tol=math.sqrt(1e-4 / k),
             featuresCol="_features", predictionCol="_segment",
         ).fit(assembled)
         if best is None or model.summary.trainingCost < best.summary.trainingCost:

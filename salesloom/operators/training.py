@@ -30,7 +30,8 @@ from salesloom.workspace import shared_dir, stage
 SEED = 42
 
 # The searched settings. A depth of None means "not limited"; the
-# deepest tree Spark grows has 30 levels.
+# deepest tree Spark grows has 30 levels. Such trees grow with the data and are
+# kept on the driver, so on large data give the forest a depth.
 GRIDS = {
     "Logistic Regression": {"c": [0.1, 1.0]},
     "Random Forest": {"max_depth": [10, None], "min_samples_split": [2, 5]},
@@ -146,31 +147,34 @@ def prepare(train: DataFrame) -> Prepared:
     return Prepared(fitted, rows, rows.count(), names)
 
 
-def search(name: str, train: DataFrame, keys: list[str], folds: int = 3, parallelism: int = 2):
+def search(
+    name: str, train: DataFrame, keys: list[str], folds: int = 3, parallelism: int = 2,
+    grid: list[dict] | None = None, **settings,
+) -> list[dict]:
     """Mean F1 of each setting over the folds, best first.
 
     Preparation is fitted on the training part of each fold and shared by all
     settings of that fold.
     """
     rows = stage(with_fold(train, keys, folds), "folds")
-    settings = param_grid(name)
-    scores: list[list[float]] = [[] for _ in settings]
+    candidates = grid or param_grid(name)
+    scores: list[list[float]] = [[] for _ in candidates]
     for k in range(folds):
         part = prepare(rows.where(F.col("fold") != k).drop("fold"))
         held = part.stages.transform(rows.where(F.col("fold") == k))
         held = stage(held.select("label", encoding.VECTOR), "held-out")
 
-        def score(setting: dict) -> float:
-            model = classifier(name, part.count, **setting).fit(part.rows)
-            return metrics.f1_score(model.transform(held)).first()["f1"]
+        def score(candidate: dict, part=part, held=held) -> float:
+            chosen = classifier(name, part.count, **{**settings, **candidate})
+            return metrics.f1_score(chosen.fit(part.rows).transform(held)).first()["f1"]
 
-        pool = ThreadPool(min(parallelism, len(settings)))
-        results = pool.map(inheritable_thread_target(score), settings)
+        pool = ThreadPool(min(parallelism, len(candidates)))
+        results = pool.map(inheritable_thread_target(score), candidates)
         pool.close()
         for slot, value in zip(scores, results):
             slot.append(value)
     ranked = [
-        {"params": s, "mean_f1": sum(v) / len(v)} for s, v in zip(settings, scores)
+        {"params": c, "mean_f1": sum(v) / len(v)} for c, v in zip(candidates, scores)
     ]
     return sorted(ranked, key=lambda r: -r["mean_f1"])
 
@@ -192,7 +196,7 @@ def train_and_evaluate(
     classes = prepared.rows.select("label").distinct().limit(2).count()
     candidates = []
     if grid and classes > 1:
-        candidates = search(name, train, keys)
+        candidates = search(name, train, keys, **settings)
         settings = {**settings, **candidates[0]["params"]}
     fitted = classifier(name, prepared.count, **settings).fit(prepared.rows)
     model = PipelineModel(stages=[*prepared.stages.stages, fitted])
@@ -208,13 +212,16 @@ def train_and_evaluate(
 
 def compare_models(
     train: DataFrame, test: DataFrame, keys: list[str], grid: bool = True,
-    names: list[str] | None = None, **settings,
+    settings: dict[str, dict] | None = None,
 ) -> list[Trained]:
-    """All classifiers on the same rows, best area under the curve first."""
+    """All classifiers on the same rows, best area under the curve first.
+
+    ``settings`` holds per model what differs from its defaults.
+    """
     prepared = prepare(train)
     results = [
-        train_and_evaluate(n, train, test, keys, grid, prepared, **settings)
-        for n in names or MODEL_NAMES
+        train_and_evaluate(n, train, test, keys, grid, prepared, **(settings or {}).get(n, {}))
+        for n in MODEL_NAMES
     ]
     return sorted(results, key=lambda r: -(r.metrics["roc_auc"] or 0.0))
 

@@ -258,10 +258,22 @@ def split_input(t):
     return training.train_test_split(rows, KEY, "label")
 
 
-def _metrics_of(t, name: str, **settings):
-    train, test = split_input(t)
-    trained = training.train_and_evaluate(name, train, test, KEY, grid=False, **settings)
-    return training.comparison_table(t.spark, [trained])
+# One comparison per application and data directory serves the queries on its models.
+_compared: dict[tuple[str, str], list] = {}
+
+
+def compared(t):
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _compared:
+        train, test = split_input(t)
+        _compared[key] = training.compare_models(
+            train, test, KEY, grid=False, settings={"Random Forest": {"max_depth": 10}}
+        )
+    return _compared[key]
+
+
+def _metrics_of(t, name: str):
+    return training.comparison_table(t.spark, [r for r in compared(t) if r.name == name])
 
 
 @query("ml08_logistic_regression")
@@ -271,7 +283,7 @@ def _(t):
 
 @query("ml09_random_forest")
 def _(t):
-    return _metrics_of(t, "Random Forest", max_depth=10)
+    return _metrics_of(t, "Random Forest")
 
 
 @query("ml10_gradient_boosting")
@@ -287,18 +299,6 @@ def _(t):
     return t.spark.createDataFrame(rows, "params string, mean_f1 double")
 
 
-# One comparison per application and data directory serves the queries below.
-_compared: dict[tuple[str, str], list] = {}
-
-
-def compared(t):
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
-    if key not in _compared:
-        train, test = split_input(t)
-        _compared[key] = training.compare_models(train, test, KEY, grid=False, max_depth=5)
-    return _compared[key]
-
-
 @query("ml16_compare_models")
 def _(t):
     return training.comparison_table(t.spark, compared(t))
