@@ -1,8 +1,9 @@
 """Exact order-based measures without one task that sees a huge group.
 
-The input is written once and its largest group counted. Up to ``PLAIN_ROWS``
-rows a plain window per group is right and cheap. Beyond that, rows are
-range-partitioned on group and order, and the number of the range is written
+Up to ``PLAIN_ROWS`` rows per group a plain window or a built-in aggregate is
+right and cheap. A caller who knows that the whole input is that small says so
+with ``at_most``. Otherwise the input is written once and its largest group is
+counted. Beyond the bound, rows are range-partitioned on group and order, and the number of the range is written
 down with the rows, so that later steps agree on it also after a retry. Each
 range is then worked on alone. What it needs from the ranges before it (a
 running total, or the last few rows) is a table of a few rows per range.
@@ -100,14 +101,38 @@ def value_histogram(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], plain_rows: int = PLAIN_ROWS
+    df: DataFrame,
+    columns: list[str],
+    probs: list[float],
+    plain_rows: int = PLAIN_ROWS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles as (column, prob, quantile).
 
     The built-in ``percentile`` gathers all distinct values of a column in one
-    task. Here the value histogram is numbered in ranges and only the two values
-    around each wanted position are kept.
+    task, so it serves only inputs of a known small size. Otherwise the value
+    histogram is numbered in ranges and only the two values around each wanted
+    position are kept. A column without values has no row.
     """
+    if at_most is not None and at_most <= plain_rows:
+        number = {c: F.col(f"`{c}`").cast("double") for c in columns}
+        wide = df.agg(
+            *[
+                F.percentile(F.when(~F.isnan(v), v), [float(p) for p in probs]).alias(c)
+                for c, v in number.items()
+            ]
+        )
+        cells = [
+            F.struct(
+                F.lit(c).alias("column"),
+                F.lit(float(p)).alias("prob"),
+                F.col(f"`{c}`")[i].alias("quantile"),
+            )
+            for c in columns
+            for i, p in enumerate(probs)
+        ]
+        rows = wide.select(F.explode(F.array(*cells)).alias("q")).select("q.*")
+        return rows.where(F.col("quantile").isNotNull())
     counts = value_histogram(df, columns)
     placed = total_before(counts, ["column"], "value", {"n": "before"}, plain_rows)
     sizes = placed.groupBy("column").agg(F.sum("n").alias("total"))
@@ -136,9 +161,10 @@ def quantiles(
     )
 
 
-def quantile(df: DataFrame, column: str, prob: float) -> DataFrame:
+def quantile(df: DataFrame, column: str, prob: float, at_most: int | None = None) -> DataFrame:
     """One quantile of one column as a one-row frame (use ``.scalar()`` on it)."""
-    return quantiles(df, [column], [prob]).agg(F.max("quantile").alias("quantile"))
+    found = quantiles(df, [column], [prob], at_most=at_most)
+    return found.agg(F.max("quantile").alias("quantile"))
 
 
 def average_ranks(
@@ -191,6 +217,7 @@ def rolling_mean(
     out: str,
     rows: int = 7,
     plain_rows: int = PLAIN_ROWS,
+    at_most: int | None = None,
     written: bool = False,
 ) -> DataFrame:
     """Mean over the last ``rows`` rows of the group, in the given full order.
@@ -202,10 +229,11 @@ def rolling_mean(
     at most 2 * (rows - 1) rows per range. ``written`` says that ``df`` is a
     written table already.
     """
-    staged = df if written else stage(df, "rolling")
     keys = [F.col(c).asc_nulls_last() for c in order]
     margin = rows - 1
-    if _largest_group(staged, [group]) <= plain_rows:
+    small = at_most is not None and at_most <= plain_rows
+    staged = df if written or small else stage(df, "rolling")
+    if small or _largest_group(staged, [group]) <= plain_rows:
         frame = Window.partitionBy(group).orderBy(*keys).rowsBetween(-margin, 0)
         mean = F.when(F.col(group).isNotNull(), F.avg(value).over(frame))
         return staged.select("*", mean.alias(out))

@@ -51,23 +51,31 @@ def rolling_revenue(
     sales: DataFrame,
     tiebreak: list[str] = SALES_TIEBREAK,
     plain_rows: int = ordered.PLAIN_ROWS,
+    at_most: int | None = None,
     written: bool = False,
 ) -> DataFrame:
     """Adds ``revenue_7d_ma``: mean amount of the last seven rows of the category."""
     return ordered.rolling_mean(
-        sales, "category", ["date", *tiebreak], "amount", "revenue_7d_ma", 7, plain_rows, written
+        sales, "category", ["date", *tiebreak], "amount", "revenue_7d_ma", 7,
+        plain_rows, at_most, written,
     )
 
 
-def engineer_features(sales: DataFrame, tiebreak: list[str] = SALES_TIEBREAK) -> DataFrame:
+def engineer_features(
+    sales: DataFrame, tiebreak: list[str] = SALES_TIEBREAK, at_most: int | None = None
+) -> DataFrame:
     """Sales with calendar, price, promotion, high-value, rolling and target columns.
 
-    The input is written once; the rolling mean and the exact upper quartile
-    that marks a high value both read it from there.
+    Unless the caller knows that there are few rows (``at_most``), the input is
+    written once; the rolling mean and the exact upper quartile that marks a
+    high value both read it from there.
     """
-    rows = stage(sales, "features")
-    threshold = ordered.quantile(rows, "amount", 0.75).scalar()
-    return row_features(rolling_revenue(rows, tiebreak, written=True), threshold)
+    small = at_most is not None and at_most <= ordered.PLAIN_ROWS
+    rows = sales if small else stage(sales, "features")
+    threshold = ordered.quantile(rows, "amount", 0.75, at_most).scalar()
+    return row_features(
+        rolling_revenue(rows, tiebreak, at_most=at_most, written=not small), threshold
+    )
 
 
 def baseline_features(sales: DataFrame) -> DataFrame:

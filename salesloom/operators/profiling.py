@@ -58,7 +58,9 @@ def column_info(df: DataFrame) -> DataFrame:
     return _long(counts, rows)
 
 
-def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def describe_numeric(
+    df: DataFrame, columns: list[str] | None = None, at_most: int | None = None
+) -> DataFrame:
     """Count, mean, deviation, minimum, exact quartiles and maximum per column."""
     columns = columns or numeric_columns(df)
     stats = {
@@ -73,7 +75,7 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFra
         for i, c in enumerate(columns)
     ]
     middle = (
-        quantiles(df, columns, QUARTILES)
+        quantiles(df, columns, QUARTILES, at_most=at_most)
         .groupBy("column")
         .pivot("prob", QUARTILES)
         .agg(F.max("quantile"))
@@ -118,7 +120,7 @@ def value_frequency(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def describe_all(df: DataFrame) -> DataFrame:
+def describe_all(df: DataFrame, at_most: int | None = None) -> DataFrame:
     """One row per column: text and flags by frequency, numbers and times by moments.
 
     Times are described as seconds since 1970.
@@ -131,7 +133,7 @@ def describe_all(df: DataFrame) -> DataFrame:
         *[quoted(c) for c in numbers],
         *[_epoch_seconds(quoted(c).cast("timestamp_ntz")).cast("double").alias(c) for c in times],
     )
-    moments = describe_numeric(plain)
+    moments = describe_numeric(plain, at_most=at_most)
     frequent = value_frequency(df, texts)
     return moments.unionByName(frequent, allowMissingColumns=True).select(
         "column", "count", "unique", "top", "freq",
@@ -271,9 +273,9 @@ def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     return spread.groupBy("point", x.alias("x")).agg(F.sum(kernel).alias("density"))
 
 
-def box_plot(df: DataFrame, column: str) -> DataFrame:
+def box_plot(df: DataFrame, column: str, at_most: int | None = None) -> DataFrame:
     """Quartiles, whisker ends (last values within 1.5 interquartile ranges), outliers."""
-    q = quantiles(df, [column], QUARTILES).agg(
+    q = quantiles(df, [column], QUARTILES, at_most=at_most).agg(
         *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
           for p, n in zip(QUARTILES, ("q1", "median", "q3"))]
     )
@@ -291,9 +293,9 @@ def box_plot(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def outlier_rows(df: DataFrame, column: str) -> DataFrame:
+def outlier_rows(df: DataFrame, column: str, at_most: int | None = None) -> DataFrame:
     """The rows beyond the whiskers."""
-    q = quantiles(df, [column], [0.25, 0.75]).agg(
+    q = quantiles(df, [column], [0.25, 0.75], at_most=at_most).agg(
         F.min("quantile").alias("q1"), F.max("quantile").alias("q3")
     )
     row = q.select(F.struct("q1", "q3")).scalar()

@@ -23,7 +23,8 @@ _ROLLING = f"""SELECT {KEYS}, category, date, amount,
 @query("win01_rolling_revenue", _ROLLING)
 def _(t):
     rows = t.sales.select(*KEY, "category", "date", "amount")
-    return rounded(features.rolling_revenue(rows), 6, "revenue_7d_ma")
+    rolled = features.rolling_revenue(rows, at_most=t.rows_at_most)
+    return rounded(rolled, 6, "revenue_7d_ma")
 
 
 # The same results by the split form that large groups take.
@@ -83,7 +84,8 @@ f AS (SELECT *, CAST(isodow(date) - 1 AS INT) AS day_of_week,
 )
 def _(t):
     columns = [*KEY, "category", "date", "qty", "amount", "fulfilment", "ship_service_level", "b2b"]
-    fe = features.engineer_features(t.sales.select(*columns, "promotion_ids", "status"))
+    rows = t.sales.select(*columns, "promotion_ids", "status")
+    fe = features.engineer_features(rows, at_most=t.rows_at_most)
     out = fe.select(
         *columns, "day_of_week", "is_weekend", "month", "price_per_unit", "has_promotion",
         "is_high_value", "revenue_7d_ma", "cancelled",
@@ -96,7 +98,7 @@ def _(t):
     "SELECT round(quantile_cont(amount, 0.75), 6) AS quantile FROM sales",
 )
 def _(t):
-    return rounded(ordered.quantile(t.sales, "amount", 0.75), 6, "quantile")
+    return rounded(ordered.quantile(t.sales, "amount", 0.75, t.rows_at_most), 6, "quantile")
 
 
 @query(
@@ -123,7 +125,8 @@ def _(t):
 def _(t):
     rows = t.sales.select(*KEY, "category", "date", "qty", "amount", "promotion_ids", "status")
     columns = ["price_per_unit", "revenue_7d_ma"]
-    medians = ordered.quantiles(features.engineer_features(rows), columns, [0.5])
+    fe = features.engineer_features(rows, at_most=t.rows_at_most)
+    medians = ordered.quantiles(fe, columns, [0.5], at_most=t.rows_at_most)
     return medians.agg(
         *[F.round(F.max(F.when(F.col("column") == c, F.col("quantile"))), 6).alias(c) for c in columns]
     )

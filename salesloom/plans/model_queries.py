@@ -26,7 +26,7 @@ _INPUT = [
 
 
 def model_input(t):
-    fe = features.engineer_features(t.sales.select(_INPUT))
+    fe = features.engineer_features(t.sales.select(_INPUT), at_most=t.rows_at_most)
     return encoding.model_rows(fe, "cancelled", KEY)
 
 

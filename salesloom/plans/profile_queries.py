@@ -77,7 +77,7 @@ def _describe_sql(column: str, value: str | None = None) -> str:
 
 @query("prf05_describe_numeric", " UNION ALL ".join(_describe_sql(c) for c in NUMBERS))
 def _(t):
-    return rounded(profiling.describe_numeric(t.sales_raw), 4, *_SPREAD)
+    return rounded(profiling.describe_numeric(t.sales_raw, at_most=t.rows_at_most), 4, *_SPREAD)
 
 
 _TEXTS = [c for c in COLUMNS if c not in NUMBERS + ["date"]]
@@ -90,6 +90,11 @@ def _frequency_sql(c: str) -> str:
               WHERE {c} IS NOT NULL GROUP BY 1)"""
 
 
+@query("prf05_describe_numeric_split", " UNION ALL ".join(_describe_sql(c) for c in NUMBERS))
+def _(t):
+    return rounded(profiling.describe_numeric(t.sales_raw), 4, *_SPREAD)
+
+
 @query(
     "prf06_describe_all",
     f"""SELECT "column", count, NULL::BIGINT AS "unique", NULL AS top, NULL::BIGINT AS freq,
@@ -100,7 +105,7 @@ def _frequency_sql(c: str) -> str:
         FROM ({' UNION ALL '.join(_frequency_sql(c) for c in _TEXTS)})""",
 )
 def _(t):
-    return rounded(profiling.describe_all(t.sales_raw), 4, *_SPREAD)
+    return rounded(profiling.describe_all(t.sales_raw, at_most=t.rows_at_most), 4, *_SPREAD)
 
 
 @query(
@@ -172,7 +177,7 @@ def _(t):
        FROM sales, b""",
 )
 def _(t):
-    return rounded(profiling.box_plot(t.sales, "amount"), 6, "q1", "median", "q3")
+    return rounded(profiling.box_plot(t.sales, "amount", t.rows_at_most), 6, "q1", "median", "q3")
 
 
 @query(

@@ -63,15 +63,17 @@ def drop_staged(spark: SparkSession) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, counted: DataFrame | None = None
+) -> DataFrame:
     """Hint a broadcast when ``df`` is counted and found small; else leave it be.
 
     Beyond the bound Spark joins by shuffle, with adaptive skew splitting. The
-    count stops at the bound, so checking a large side stays cheap.
+    count stops at the bound. Where ``df`` is known to have no more rows than a
+    table that is cheaper to count, that table is given as ``counted``.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    rows = (df if counted is None else counted).limit(max_rows + 1).count()
+    return F.broadcast(df) if rows <= max_rows else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
