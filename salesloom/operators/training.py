@@ -169,7 +169,7 @@ def search(
             return metrics.f1_score(chosen.fit(part.rows).transform(held)).first()["f1"]
 
         pool = ThreadPool(min(parallelism, len(candidates)))
-        results = pool.map(inheritable_thread_target(score), candidates)
+        results = pool.map(inheritable_thread_target(train.sparkSession)(score), candidates)
         pool.close()
         for slot, value in zip(scores, results):
             slot.append(value)

@@ -6,8 +6,18 @@ from pyspark.sql import DataFrame
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One CSV part per task, each with a header; a folder reads back as one table."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """One CSV part per task, each with a header; a folder reads back as one table.
+
+    Blanks at the ends of values are kept.
+    """
+    (
+        df.write.mode(mode)
+        .option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def register_tables(tables: dict[str, DataFrame], limit: int | None = None) -> list[str]:
