@@ -85,6 +85,11 @@ def top(df: DataFrame, measure: str, *keys: str, n: int = 10) -> DataFrame:
     return df.orderBy(F.col(measure).desc_nulls_last(), *keys).limit(n)
 
 
+def preview(df: DataFrame, n: int = 20, order: list[str] | None = None) -> DataFrame:
+    """Any n rows, or the first n in an order."""
+    return (df.orderBy(*order) if order else df).limit(n)
+
+
 def monthly_revenue(sales: DataFrame) -> DataFrame:
     date = F.col("date")
     return (

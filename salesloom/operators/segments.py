@@ -127,9 +127,10 @@ def segment_customers(
 ) -> Segmentation:
     """The best of several k-means runs on the scaled measures.
 
-    The scaled rows are written once and every run reads them from there. Only
+    The rows and their scaled form are written once and every run reads them. Only
     centres travel to the driver.
     """
+    rfm = stage(rfm, "rfm")
     assembled = VectorAssembler(inputCols=SCALED, outputCol="_features").transform(
         stage(scale_rfm(rfm), "scaled-rfm")
     )

@@ -15,7 +15,7 @@ KEYS = ", ".join(KEY)
 MESSY_AMOUNT = """CASE WHEN line_no = 3 THEN 'n/k' WHEN line_no = 5 THEN concat(' ', CAST(qty AS STRING), ' ')
                   ELSE CAST(qty AS STRING) END"""
 MESSY_DATE_SPARK = """CASE WHEN line_no = 2 THEN 'soon' WHEN line_no = 4 THEN date_format(date, 'MM/dd/yyyy')
-                      WHEN line_no = 6 THEN date_format(date, 'yyyy-MM-dd HH:mm:ss')
+                      WHEN line_no = 6 THEN CAST(date AS STRING)
                       ELSE date_format(date, 'MM-dd-yyyy') END"""
 
 

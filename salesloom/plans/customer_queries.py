@@ -363,7 +363,22 @@ def _(t):
     return _welch(stats_tests.welch_statistics(t.sales, by=["category"]))
 
 
-@query("sta01_welch_t_test")
+# The p-value by Simpson's rule over the density of the t distribution.
+_T_TEST = f"""WITH w AS (SELECT (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t, m1, m2,
+      (v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)) AS v
+      FROM (SELECT {_WELCH} FROM sales)),
+    g AS (SELECT *, i, abs(t) * i / 2000.0::DOUBLE AS x FROM w, range(2001) r(i)),
+    p AS (SELECT any_value(t) AS t, any_value(m1) AS m1, any_value(m2) AS m2,
+            1 - 2 * sum(exp(lgamma((v + 1) / 2) - lgamma(v / 2) - ln(v * pi()) / 2
+                            - (v + 1) / 2 * ln(1 + x * x / v))
+                    * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+                * any_value(abs(t)) / 2000 / 3 AS p FROM g)
+    SELECT CAST(round_even(t, 4) AS DOUBLE) AS t_statistic, CAST(round_even(p, 6) AS DOUBLE) AS p_value,
+           CAST(round_even(m1, 2) AS DOUBLE) AS mean_true, CAST(round_even(m2, 2) AS DOUBLE) AS mean_false,
+           p < 0.05 AS significant FROM p"""
+
+
+@query("sta01_welch_t_test", _T_TEST)
 def _(t):
     return stats_tests.welch_t_test(t.sales)
 
@@ -401,6 +416,15 @@ def _(t):
     return rounded(stats_tests.chi_square_statistics(t.sales, by=["category"]), 8, "chi2")
 
 
-@query("sta02_chi_square_test")
+# The p-value from the series of the error function.
+_CHI2_TEST = f"""WITH c AS ({_chi2_sql().replace(", 8) AS chi2", ", 15) AS chi2")}),
+    s AS (SELECT chi2, sum(exp((2 * n + 1) * ln(sqrt(chi2 / 2)) - lgamma(n + 1.5))) AS s
+          FROM c, range(300) r(n) GROUP BY chi2),
+    p AS (SELECT chi2, 1 - exp(-chi2 / 2) * s AS p FROM s)
+    SELECT CAST(round_even(chi2, 4) AS DOUBLE) AS chi2, CAST(round_even(p, 6) AS DOUBLE) AS p_value,
+           p < 0.05 AS significant FROM p"""
+
+
+@query("sta02_chi_square_test", _CHI2_TEST)
 def _(t):
     return stats_tests.chi_square_test(t.sales)

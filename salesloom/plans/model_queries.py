@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from salesloom.functions import ordered
@@ -54,15 +55,15 @@ _FLAGS = ["fulfilment_Amazon", "fulfilment_Merchant", "ship_service_level_Expedi
           "ship_service_level_Standard", "b2b_false", "b2b_true"]
 
 
-@query(
-    "ml03_standardised_features",
-    f"""WITH {FEATURES.strip()}, x AS (SELECT *, {_ONE_HOT} FROM f),
+_SCALED_SQL = f"""WITH {FEATURES.strip()}, x AS (SELECT *, {_ONE_HOT} FROM f),
         m AS (SELECT {', '.join(f'avg("{c}") AS "m_{c}", stddev_pop("{c}") AS "s_{c}"'
                                 for c in encoding.NUMERIC + _FLAGS)} FROM x)
         SELECT {KEYS}, {', '.join(f'round(("{c}" - "m_{c}") / "s_{c}", 7) AS "{c}"'
                                   for c in encoding.NUMERIC + _FLAGS)}
-        FROM x, m""",
-)
+        FROM x, m"""
+
+
+@query("ml03_standardised_features", _SCALED_SQL)
 def _(t):
     rows = stage(model_input(t), "model-input")
     scaled = encoding.scaled_columns(encoding.fit_preparation(rows), rows, KEY)
@@ -405,8 +406,11 @@ def _(t):
     return persistence.model_info(t.spark, saved_bundle(t))
 
 
-@query("ml27_preparation_pipeline")
+@query("ml27_preparation_pipeline", _SCALED_SQL)
 def _(t):
+    """The preparation saved, loaded and applied again."""
     rows = stage(model_input(t), "model-input")
-    prepared = encoding.fit_preparation(rows)
-    return encoding.scaled_columns(prepared, rows, KEY)
+    path = new_path(t.spark, "preparation")
+    encoding.fit_preparation(rows).write().save(path)
+    scaled = encoding.scaled_columns(PipelineModel.load(path), rows, KEY)
+    return rounded(scaled, 7, *encoding.NUMERIC, *_FLAGS)

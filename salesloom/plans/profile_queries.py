@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from salesloom.operators import features, profiling
+from salesloom.operators import features, kpis, profiling
 from salesloom.plans.clean_queries import _DOUBLED, with_copies
 from salesloom.plans.kpi_queries import rounded
 from salesloom.plans.registry import query
@@ -233,6 +233,11 @@ def _(t):
     return profiling.shared_column_overlap(t.sales, t.inventory)
 
 
-@query("srt02_preview")
+@query(
+    "srt02_preview",
+    """SELECT order_id, line_no, sku, supp, date, amount FROM sales
+       ORDER BY date, order_id, line_no, sku, supp LIMIT 20""",
+)
 def _(t):
-    return t.sales.limit(20)
+    key = ["date", "order_id", "line_no", "sku", "supp"]
+    return kpis.preview(t.sales, 20, key).select("order_id", "line_no", "sku", "supp", "date", "amount")
