@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from salesloom.functions.scalars import sum0
 from salesloom.operators.kpis import stock_by_category, top
-from salesloom.workspace import broadcast_if_small
+from salesloom.workspace import broadcast_if_small, stage
 
 
 def join_category_stock(sales: DataFrame, inventory: DataFrame) -> DataFrame:
     """Each sale with the stock and the number of articles of its category.
 
-    Inventory is summed per category first. The summary is broadcast after its
-    size was counted, so the fact does not shuffle on a handful of keys.
+    Inventory is summed per category first and the summary written, so it is
+    made once. It is broadcast after its size was counted, so the fact does not
+    shuffle on a handful of keys.
     """
-    return sales.join(broadcast_if_small(stock_by_category(inventory)), "category", "left")
+    summary = stage(stock_by_category(inventory), "category-stock")
+    return sales.join(broadcast_if_small(summary), "category", "left")
 
 
 def join_sku_stock(sales: DataFrame, inventory: DataFrame, match_missing: bool = False) -> DataFrame:

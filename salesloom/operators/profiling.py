@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salesloom.functions.ordered import quantiles
+from salesloom.functions.ordered import PLAIN_ROWS, placed_values, quantiles, quantiles_of
 from salesloom.operators.cleaning import numeric_columns, quoted
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -59,31 +59,41 @@ def column_info(df: DataFrame) -> DataFrame:
 
 
 def describe_numeric(
-    df: DataFrame, columns: list[str] | None = None, at_most: int | None = None
+    df: DataFrame, columns: list[str] | None = None, plain_rows: int = PLAIN_ROWS
 ) -> DataFrame:
-    """Count, mean, deviation, minimum, exact quartiles and maximum per column."""
+    """Count, mean, deviation, minimum, exact quartiles and maximum per column.
+
+    The input is read once: all figures come from the value histogram.
+    """
     columns = columns or numeric_columns(df)
-    stats = {
-        "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
-    }
-    value = {c: F.when(~_missing(df, c), quoted(c).cast("double")) for c in columns}
-    wide = df.agg(
-        *[f(value[c]).alias(f"{i}_{s}") for i, c in enumerate(columns) for s, f in stats.items()]
+    placed = placed_values(df, columns, plain_rows)
+    n, v = F.col("n"), F.col("value")
+    sums = placed.groupBy("column").agg(
+        F.sum("n").alias("count"),
+        (F.sum(v * n) / F.sum("n")).alias("mean"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+    )
+    # One row per described column here and in the joins below.
+    off = v - F.col("mean")
+    spread = (
+        placed.join(F.broadcast(sums), "column")
+        .groupBy("column")
+        .agg(F.sqrt(F.try_divide(F.sum(n * off * off), F.sum("n") - 1)).alias("std"))
     )
-    rows = [
-        F.struct(F.lit(c).alias("column"), *[F.col(f"{i}_{s}").alias(s) for s in stats])
-        for i, c in enumerate(columns)
-    ]
     middle = (
-        quantiles(df, columns, QUARTILES, at_most=at_most)
+        quantiles_of(placed, QUARTILES)
         .groupBy("column")
         .pivot("prob", QUARTILES)
         .agg(F.max("quantile"))
         .toDF("column", "q25", "q50", "q75")
     )
-    # Both sides have one row per described column.
-    return _long(wide, rows).join(F.broadcast(middle), "column", "left").select(
-        "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    out = names.join(F.broadcast(sums), "column", "left")
+    out = out.join(F.broadcast(spread), "column", "left")
+    return out.join(F.broadcast(middle), "column", "left").select(
+        "column", F.coalesce("count", F.lit(0)).alias("count"),
+        "mean", "std", "min", "q25", "q50", "q75", "max",
     )
 
 
@@ -120,7 +130,7 @@ def value_frequency(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def describe_all(df: DataFrame, at_most: int | None = None) -> DataFrame:
+def describe_all(df: DataFrame) -> DataFrame:
     """One row per column: text and flags by frequency, numbers and times by moments.
 
     Times are described as seconds since 1970.
@@ -133,7 +143,7 @@ def describe_all(df: DataFrame, at_most: int | None = None) -> DataFrame:
         *[quoted(c) for c in numbers],
         *[_epoch_seconds(quoted(c).cast("timestamp_ntz")).cast("double").alias(c) for c in times],
     )
-    moments = describe_numeric(plain, at_most=at_most)
+    moments = describe_numeric(plain)
     frequent = value_frequency(df, texts)
     return moments.unionByName(frequent, allowMissingColumns=True).select(
         "column", "count", "unique", "top", "freq",

@@ -77,7 +77,7 @@ def _describe_sql(column: str, value: str | None = None) -> str:
 
 @query("prf05_describe_numeric", " UNION ALL ".join(_describe_sql(c) for c in NUMBERS))
 def _(t):
-    return rounded(profiling.describe_numeric(t.sales_raw, at_most=t.rows_at_most), 4, *_SPREAD)
+    return rounded(profiling.describe_numeric(t.sales_raw), 4, *_SPREAD)
 
 
 _TEXTS = [c for c in COLUMNS if c not in NUMBERS + ["date"]]
@@ -92,7 +92,7 @@ def _frequency_sql(c: str) -> str:
 
 @query("prf05_describe_numeric_split", " UNION ALL ".join(_describe_sql(c) for c in NUMBERS))
 def _(t):
-    return rounded(profiling.describe_numeric(t.sales_raw), 4, *_SPREAD)
+    return rounded(profiling.describe_numeric(t.sales_raw, plain_rows=0), 4, *_SPREAD)
 
 
 @query(
@@ -105,7 +105,7 @@ def _(t):
         FROM ({' UNION ALL '.join(_frequency_sql(c) for c in _TEXTS)})""",
 )
 def _(t):
-    return rounded(profiling.describe_all(t.sales_raw, at_most=t.rows_at_most), 4, *_SPREAD)
+    return rounded(profiling.describe_all(t.sales_raw), 4, *_SPREAD)
 
 
 @query(

@@ -119,3 +119,13 @@ def test_ordinal_codes(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("Unknown",)], "c string")
     got = {r.c: r.code for r in ordered.ordinal_codes(df, "c", "code").collect()}
     assert got == {"Unknown": 0, "a": 1, "b": 2}
+
+
+def test_describe_without_values(spark):
+    from salesloom.operators import profiling
+
+    df = spark.createDataFrame([(1.0, None), (3.0, None)], "a double, b double")
+    rows = {r.column: r for r in profiling.describe_numeric(df).collect()}
+    assert (rows["a"].mean, rows["a"].q50, rows["a"]["count"]) == (2.0, 2.0, 2)
+    assert rows["a"].std == pytest.approx(2 ** 0.5)
+    assert (rows["b"].mean, rows["b"].q50, rows["b"]["count"]) == (None, None, 0)
