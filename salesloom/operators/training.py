@@ -28,6 +28,7 @@ from salesloom.operators.cleaning import keep_existing
 from salesloom.workspace import shared_dir, stage
 
 SEED = 42
+FOLDS = 3
 
 # The searched settings. A depth of None means "not limited"; the
 # deepest tree Spark grows has 30 levels. Such trees grow with the data and are
@@ -62,7 +63,7 @@ def train_test_split(
     return df.where(where >= test_share), df.where(where < test_share)
 
 
-def with_fold(df: DataFrame, keys: list[str], folds: int = 3, seed: int = SEED) -> DataFrame:
+def with_fold(df: DataFrame, keys: list[str], folds: int = FOLDS, seed: int = SEED) -> DataFrame:
     fold = F.floor(hash_fraction(keys, seed + 1) * folds).cast("int")
     return df.withColumn("fold", fold)
 
@@ -148,7 +149,7 @@ def prepare(train: DataFrame) -> Prepared:
 
 
 def search(
-    name: str, train: DataFrame, keys: list[str], folds: int = 3, parallelism: int = 2,
+    name: str, train: DataFrame, keys: list[str], folds: int = FOLDS, parallelism: int = 2,
     grid: list[dict] | None = None, **settings,
 ) -> list[dict]:
     """Mean F1 of each setting over the folds, best first.
@@ -190,12 +191,13 @@ def train_and_evaluate(
 ) -> Trained:
     """Search the grid if wanted, fit on all training rows, measure on the test rows.
 
-    With a single class in the training rows the search is skipped.
+    The search is skipped where there is a single class, or where no class has a
+    row for every fold.
     """
     prepared = prepared or prepare(train)
-    classes = prepared.rows.select("label").distinct().limit(2).count()
+    classes = prepared.rows.groupBy("label").count().agg(F.count("*"), F.max("count")).first()
     candidates = []
-    if grid and classes > 1:
+    if grid and classes[0] > 1 and classes[1] >= FOLDS:
         candidates = search(name, train, keys, **settings)
         settings = {**settings, **candidates[0]["params"]}
     fitted = classifier(name, prepared.count, **settings).fit(prepared.rows)

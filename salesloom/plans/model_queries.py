@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from salesloom.functions import ordered
+from salesloom.functions.scalars import is_cancelled
 from salesloom.operators import (
     encoding,
     features,
@@ -15,6 +16,7 @@ from salesloom.operators import (
     scoring,
     training,
 )
+from salesloom.operators.cleaning import text_categories
 from salesloom.plans.customer_queries import FEATURES, KEY, KEYS
 from salesloom.plans.kpi_queries import rounded
 from salesloom.plans.registry import query
@@ -45,8 +47,6 @@ _ONE_HOT = """CAST(fulfilment = 'Amazon' AS INT) AS "fulfilment_Amazon",
 @query("ml02_one_hot", f"SELECT {KEYS}, {_ONE_HOT} FROM sales")
 def _(t):
     rows = t.sales.select(*KEY, *encoding.CATEGORICAL)
-    from salesloom.operators.cleaning import text_categories
-
     texts = text_categories(rows, encoding.CATEGORICAL)
     return encoding.one_hot_columns(texts, encoding.CATEGORICAL, KEY)
 
@@ -80,8 +80,6 @@ _SPLIT_HASH = _hash_sql("CAST(CAST(status ILIKE '%cancel%' AS INT) AS VARCHAR),
                CASE WHEN {_SPLIT_HASH} < 0.2 THEN 'test' ELSE 'train' END AS side FROM sales""",
 )
 def _(t):
-    from salesloom.functions.scalars import is_cancelled
-
     rows = t.sales.select(*KEY, is_cancelled(F.col("status")).cast("int").alias("cancelled"))
     train, test = training.train_test_split(rows, KEY, "cancelled")
     return train.withColumn("side", F.lit("train")).unionByName(
@@ -112,8 +110,6 @@ def _(t):
        SELECT label, n, round(CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n), 9) AS weight FROM c""",
 )
 def _(t):
-    from salesloom.functions.scalars import is_cancelled
-
     rows = t.sales.select(is_cancelled(F.col("status")).cast("int").alias("label"))
     return rounded(training.class_weights(rows), 9, "weight")
 
@@ -125,8 +121,6 @@ def _(t):
        FROM sales""",
 )
 def _(t):
-    from salesloom.functions.scalars import is_cancelled
-
     rows = t.sales.select(is_cancelled(F.col("status")).cast("int").alias("label"))
     return rounded(kpis.class_balance(rows, "label"), 9, "positive_share")
 
@@ -141,7 +135,7 @@ _SCORED_SQL = """scored AS (
 def _scored(t):
     score = (F.col("qty") * 7 + F.col("line_no") * 3 + F.col("b2b").cast("int") * 11) % 61
     return t.sales.select(
-        F.col("status").ilike("%cancel%").cast("int").alias("label"),
+        is_cancelled(F.col("status")).cast("int").alias("label"),
         (score / F.lit(60.0)).alias("score"),
     ).withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
 
@@ -213,7 +207,7 @@ def _(t):
 
 @query(
     "ml26_metrics_long",
-    f"""WITH w AS ({_METRICS_SQL.replace('WITH', 'WITH', 1)})
+    f"""WITH w AS ({_METRICS_SQL})
         SELECT 'by rule' AS model, metric, value FROM w UNPIVOT (value FOR metric IN
             (accuracy, precision, recall, f1, roc_auc))""",
 )

@@ -20,6 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = configured or spark.sparkContext.getCheckpointDir()
     if configured:
         base = configured
     else:
