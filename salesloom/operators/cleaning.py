@@ -107,12 +107,17 @@ def align_to(df: DataFrame, features: list[str]) -> DataFrame:
 def date_range(df: DataFrame, column: str = "date", start=None, end=None) -> DataFrame:
     """Rows from start to end, both included; without bounds all rows.
 
-    A plain date as ``end`` means its midnight.
+    A plain date as ``end`` means its midnight. Where the table is stored by
+    month (column ``period``), only the months of the range are read.
     """
-    for bound, test in ((start, "__ge__"), (end, "__le__")):
-        if bound is not None:
-            limit = F.lit(str(bound)).cast("timestamp_ntz")
-            df = df.where(getattr(F.col(column), test)(limit))
+    for bound, low in ((start, True), (end, False)):
+        if bound is None:
+            continue
+        limit = F.lit(str(bound)).cast("timestamp_ntz")
+        df = df.where(F.col(column) >= limit if low else F.col(column) <= limit)
+        if "period" in df.columns:
+            month = F.lit(str(bound)[:7])
+            df = df.where(F.col("period") >= month if low else F.col("period") <= month)
     return df
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from salesloom.operators import cleaning, enrich, kpis, sqllib
 from salesloom.plans.registry import query
+from salesloom.sources import sinks
+from salesloom.workspace import new_path
 
 
 def rounded(df, digits: int, *columns: str):
@@ -531,12 +533,19 @@ def _(t):
     return sqllib.run_user_sql(t.spark, parts, tables)
 
 
-@query(
-    "flt03_date_range",
-    """SELECT order_id, line_no, sku, supp, date, amount FROM sales
-       WHERE date >= TIMESTAMP '1996-01-01' AND date <= TIMESTAMP '1997-06-30'""",
-)
+_RANGE_COLUMNS = ["order_id", "line_no", "sku", "supp", "date", "amount"]
+_RANGE_SQL = """SELECT order_id, line_no, sku, supp, date, amount FROM sales
+    WHERE date >= TIMESTAMP '1996-01-01' AND date <= TIMESTAMP '1997-06-30'"""
+
+
+@query("flt03_date_range", _RANGE_SQL)
 def _(t):
-    return cleaning.date_range(t.sales, "date", "1996-01-01", "1997-06-30").select(
-        "order_id", "line_no", "sku", "supp", "date", "amount"
-    )
+    return cleaning.date_range(t.sales, "date", "1996-01-01", "1997-06-30").select(_RANGE_COLUMNS)
+
+
+@query("flt03_date_range_of_stored_sales", _RANGE_SQL)
+def _(t):
+    path = new_path(t.spark, "stored-sales")
+    sinks.store_sales(t.sales, path)
+    stored = sinks.stored_sales(t.spark, path, t.sales.schema)
+    return cleaning.date_range(stored, "date", "1996-01-01", "1997-06-30").select(_RANGE_COLUMNS)

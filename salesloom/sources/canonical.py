@@ -10,6 +10,22 @@ from pyspark.sql import functions as F
 from salesloom.workspace import broadcast_if_small
 
 
+# The columns the views use. Declared, so opening a table costs no job.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, "
+    "l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string, s_acctbal double",
+    "documents": "doc_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 class Tables:
     """Lazy views over one directory of Parquet tables."""
 
@@ -18,7 +34,7 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def source(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def rows_at_most(self) -> int:

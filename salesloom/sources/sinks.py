@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from salesloom.functions.scalars import month_period
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -25,3 +29,19 @@ def register_tables(tables: dict[str, DataFrame], limit: int | None = None) -> l
     for name, df in tables.items():
         (df if limit is None else df.limit(limit)).createOrReplaceTempView(name)
     return list(tables)
+
+
+def store_sales(sales: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Cleaned sales as Parquet, one folder per month.
+
+    The rebalance makes files of even size: a month with most of the rows is
+    split over many tasks, and small months do not leave a file per task.
+    """
+    by_month = sales.withColumn("period", month_period(F.col("date")))
+    by_month.hint("rebalance", "period").write.mode(mode).partitionBy("period").parquet(path)
+
+
+def stored_sales(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Stored sales; ``schema`` is that of the sales, to which the month is added."""
+    with_period = T.StructType([*schema.fields, T.StructField("period", T.StringType())])
+    return spark.read.schema(with_period).parquet(path)

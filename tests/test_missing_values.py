@@ -165,3 +165,16 @@ def test_request_defaults_and_rules(spark):
     assert scoring.valid_requests(df).count() == 2
     filled = scoring.with_defaults(df).collect()[2]
     assert (filled.month, filled.qty, filled.amount, filled.category) == (6, 1, 500.0, "Set")
+
+
+def test_stored_sales_read_only_the_wanted_months(spark, sales):
+    path = new_path(spark, "stored")
+    gaps = sales.withColumn("date", F.when(F.col("order_id") != "D4", F.col("date")))
+    sinks.store_sales(gaps, path)
+    stored = sinks.stored_sales(spark, path, sales.schema)
+    assert stored.count() == 5
+    some = cleaning.date_range(stored, "date", "2022-01-10", "2022-02-10")
+    assert {r.order_id for r in some.collect()} == {"A1", "B2"}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "period" in filters and "2022-01" in filters
