@@ -182,12 +182,15 @@ def inventory_turnover(sales: DataFrame, inventory: DataFrame) -> DataFrame:
 def ledger_rows(expenses: DataFrame, drop_unlabelled: bool = False) -> DataFrame:
     """Ledger entries as numbers, without the repeated header and the total line.
 
+    The header is the row with index 0; where the table was loaded without its
+    index the header stays, and as its amounts are no numbers it adds nothing.
     A missing label is not the total line, so such rows stay. Subtotals without
     a label can be left out with ``drop_unlabelled``.
     """
-    rows = expenses.where(F.col("idx") != 0).where(
-        ~F.col("income_particular").eqNullSafe("Total")
-    )
+    rows = expenses.where(~F.col("income_particular").eqNullSafe("Total"))
+    for index in ("idx", "index"):
+        if index in expenses.columns:
+            rows = rows.where(F.col(index).cast("string") != "0")
     if drop_unlabelled:
         rows = rows.dropna(subset=["expense_particular"])
     return rows.withColumns(

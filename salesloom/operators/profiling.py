@@ -258,6 +258,8 @@ def pair_histograms(df: DataFrame, columns: list[str], bins: int = 20) -> DataFr
 def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     """Gaussian kernel density (Scott bandwidth) on an even grid from min to max.
 
+    A column without spread has no density and gives no rows.
+
     Equal values are combined first. Each distinct value then adds its kernel to
     the grid points, and the sums over the grid are combined per task, so only
     ``points`` rows per task are shuffled.
@@ -276,6 +278,7 @@ def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     spread = counts.select(
         "v", "n", row.alias("m"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
     )
+    spread = spread.where(F.col("m.bw") > 0)
     x = F.col("m.lo") + F.col("point") * (F.col("m.hi") - F.col("m.lo")) / (points - 1)
     z = (x - F.col("v")) / F.col("m.bw")
     scale = F.col("m.total") * F.col("m.bw") * F.sqrt(F.lit(2.0) * F.pi())

@@ -56,14 +56,17 @@ def with_rfm_scores(rfm: DataFrame, plain_rows: int = PLAIN_ROWS) -> DataFrame:
 
 
 def segment_profile(segmented: DataFrame, key: str = "order_id", digits: int = 1) -> DataFrame:
-    """Size, mean recency, frequency and value, and revenue of each segment."""
+    """Size, mean recency, frequency and value, and revenue of each segment.
+
+    The input has one row per key, so counting keys needs no distinct.
+    """
     means = {
         f"avg_{c}": F.bround(F.avg(c), digits) for c in ("recency", "frequency", "monetary")
     }
     return (
         segmented.groupBy("segment_label")
         .agg(
-            F.count_distinct(key).alias("customers"),
+            F.count(key).alias("customers"),
             *[v.alias(k) for k, v in means.items()],
             F.bround(F.sum("monetary"), digits).alias("total_revenue"),
         )
@@ -77,7 +80,7 @@ def segment_summary(segmented: DataFrame, key: str = "order_id") -> DataFrame:
 
 def segment_revenue_share(segmented: DataFrame, key: str = "order_id") -> DataFrame:
     revenue = segmented.groupBy("segment_label").agg(
-        F.count_distinct(key).alias("customers"), F.sum("monetary").alias("revenue")
+        F.count(key).alias("customers"), F.sum("monetary").alias("revenue")
     )
     return with_share(revenue, "revenue", "revenue_share").withColumn(
         "revenue_share", F.bround("revenue_share", 1)

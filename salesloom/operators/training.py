@@ -214,16 +214,16 @@ def train_and_evaluate(
 
 def compare_models(
     train: DataFrame, test: DataFrame, keys: list[str], grid: bool = True,
-    settings: dict[str, dict] | None = None,
+    settings: dict[str, dict] | None = None, names: list[str] | None = None,
 ) -> list[Trained]:
-    """All classifiers on the same rows, best area under the curve first.
+    """The classifiers on the same rows, best area under the curve first.
 
     ``settings`` holds per model what differs from its defaults.
     """
     prepared = prepare(train)
     results = [
         train_and_evaluate(n, train, test, keys, grid, prepared, **(settings or {}).get(n, {}))
-        for n in MODEL_NAMES
+        for n in names or MODEL_NAMES
     ]
     return sorted(results, key=lambda r: -(r.metrics["roc_auc"] or 0.0))
 

@@ -13,6 +13,7 @@ from salesloom.operators import (
     kpis,
     metrics,
     persistence,
+    reports,
     scoring,
     training,
 )
@@ -377,17 +378,10 @@ _saved: dict[tuple[str, str], str] = {}
 
 def saved_bundle(t):
     key = (t.spark.sparkContext.applicationId, t.sf_dir)
-    if key not in _saved:
-        fe = stage(features.engineer_features(t.sales.select(_INPUT)), "features")
-        rows = encoding.model_rows(fe, "cancelled", KEY)
-        train, test = training.train_test_split(rows, KEY, "label")
-        trained = training.train_and_evaluate("Logistic Regression", train, test, KEY, grid=False)
-        typical = ordered.quantile(fe, "revenue_7d_ma", 0.5).first()[0]
-        high = ordered.quantile(fe, "amount", 0.75).first()[0]
-        path = new_path(t.spark, "bundle")
-        persistence.save_bundle(t.spark, persistence.bundle_of(trained, typical, high), path)
-        _saved[key] = path
-    return persistence.load_bundle(t.spark, _saved[key])
+    path = _saved.setdefault(key, new_path(t.spark, "bundle"))
+    return reports.cancellation_model(
+        t.spark, path, t.sales.select(_INPUT), names=["Logistic Regression"], grid=False
+    )
 
 
 @query("ml23_batch_scores")
