@@ -9,6 +9,7 @@ from salesloom.operators import features, rfm, segments, stats_tests
 from salesloom.operators.training import random_rows
 from salesloom.plans.kpi_queries import rounded
 from salesloom.plans.registry import query
+from salesloom.workspace import stage
 
 KEY = ["order_id", "line_no", "sku", "supp"]
 KEYS = ", ".join(KEY)
@@ -237,7 +238,7 @@ def _segments_sql(back: str = "exp({}) - 1") -> str:
 
 
 def _segmented(t):
-    base = rfm.compute_rfm(t.sales)
+    base = stage(rfm.compute_rfm(t.sales), "rfm")
     assigned = segments.assign_to_centres(segments.scale_rfm(base), CENTRES)
     return segments.with_labels(assigned, segments.label_centres(base, CENTRES))
 
