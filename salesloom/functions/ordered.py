@@ -88,19 +88,15 @@ def value_histogram(df: DataFrame, columns: list[str]) -> DataFrame:
     Equal values are combined before the shuffle, so a hot value costs one row
     per task.
     """
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value"))
-            for c in columns
-        ]
-    )
-    return (
-        df.select(F.explode(cells).alias("cell"))
-        .select("cell.column", "cell.value")
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("n"))
-    )
+    number = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    if len(columns) == 1:
+        values = df.select(*[v.alias("value") for v in number.values()])
+        values = values.withColumn("column", F.lit(columns[0]))
+    else:
+        cells = [F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in number.items()]
+        values = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+    present = values.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return present.groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
 def quantiles(

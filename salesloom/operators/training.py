@@ -94,7 +94,7 @@ def classifier(name: str, rows: int, c: float = 1.0, max_depth: int | None = Non
         )
     if name == "Random Forest":
         return RandomForestClassifier(
-            **common, weightCol="weight", numTrees=trees, seed=SEED, maxMemoryInMB=1024,
+            **common, weightCol="weight", numTrees=trees, seed=SEED, maxMemoryInMB=512,
             maxDepth=DEEPEST if max_depth is None else max_depth,
             minInstancesPerNode=max(1, min_samples_split // 2),
         )
