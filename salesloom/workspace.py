@@ -1,7 +1,8 @@
-"""Intermediate tables and the size check that guards every broadcast."""
+"""Intermediate tables in the folder that all executors share."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,30 +18,31 @@ _local_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local master may fall back to a temporary folder of its own.
+    A configured folder is taken as it is: a path without a remote scheme may be
+    a mounted share, which only the caller can know. Without a configured folder
+    only a master that runs all tasks in the driver's own process (``local`` or
+    ``local[n]``) gets a temporary one; any other master is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     configured = configured or spark.sparkContext.getCheckpointDir()
     if configured:
-        base = configured
-    else:
-        app = spark.sparkContext.applicationId
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(
-                "set spark.checkpoint.dir to a folder shared by all executors"
-            )
-        if app not in _local_dirs:
-            _local_dirs[app] = tempfile.mkdtemp(prefix="salesloom-")
-        base = _local_dirs[app]
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+        return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="salesloom-")
+    return _local_dirs[app]
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application below the shared folder."""
+    return f"{shared_dir(spark)}/salesloom/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, unique to this call."""
-    app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/salesloom/{app}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the folder of this application, unique to this call."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -55,13 +57,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file systems, whatever store holds it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete everything this application staged. Call it when results are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
-        f"{shared_dir(spark)}/salesloom/{spark.sparkContext.applicationId}"
-    )
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path.getFileSystem(conf).delete(path, True)
+    delete_path(spark, run_dir(spark))
 
 
 def broadcast_if_small(
@@ -70,10 +74,10 @@ def broadcast_if_small(
     """Hint a broadcast when ``df`` is counted and found small; else leave it be.
 
     Beyond the bound Spark joins by shuffle, with adaptive skew splitting. The
-    count stops at the bound. Where ``df`` is known to have no more rows than a
-    table that is cheaper to count, that table is given as ``counted``.
+    count is a sum of one number per task. Where ``df`` is known to have no more
+    rows than a table that is cheaper to count, that table is given as ``counted``.
     """
-    rows = (df if counted is None else counted).limit(max_rows + 1).count()
+    rows = (df if counted is None else counted).count()
     return F.broadcast(df) if rows <= max_rows else df
 
 
