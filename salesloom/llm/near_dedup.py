@@ -7,10 +7,11 @@ full shingle sets. With 16 bands of 4 coordinates a pair at the threshold of 0.8
 is missed with a chance below 1e-5, a closer pair with less.
 
 A bucket's members are never paired with each other all at once. Each round takes
-a few leads out of every bucket, compares them with the members that are not yet
-in the lead's component, and merges what the comparison confirms. A bucket is done
-when its remaining members are in one component, so no link between components is
-ever skipped and a group of copies costs one comparison for each member.
+leads out of every bucket, outside its largest component, compares them with the
+members that are not yet in the lead's component, and merges what the comparison
+confirms. A bucket is done when its remaining members are in one component, so no
+link between components is ever skipped and a group of copies costs one comparison
+for each member. The number of leads doubles with each round.
 
 Defined results: a null or blank text has no shingles and is a group of its own
 (``component_id`` is its own id). Documents with equal shingle sets are one node,
@@ -35,9 +36,8 @@ from salesloom.workspace import stage
 RING = 1 << 20
 SEED = 20240607
 BANDS, ROWS = 16, 4
-# Leads that a round takes out of a bucket at most: slots by component times slots by
-# member, in the first round and in the later ones.
-FIRST_SLOTS, SLOTS = (1, 1), (8, 4)
+# Leads that the first and the second round take out of a bucket at most.
+FIRST_LEADS, LEADS = 1, 16
 
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -112,29 +112,16 @@ def _set_rows(size: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _sets(batch, size):
+                bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["node", "shingles"],
+                    [part.column("node"), listed], names=["node", "shingles"]
                 )
 
     return work
 
 
-def _confirm(part: int, whole: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("xs"), batch.column("ys"), strict=True):
-                a = np.frombuffer(x.as_buffer(), dtype=np.uint64)
-                b = np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                linked.append(whole * shared >= part * (len(a) + len(b) - shared))
-            keep = pa.array(linked, pa.bool_())
-            yield batch.select(["x", "y"]).filter(keep)
-
-    return work
-
-
 def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -220,23 +207,23 @@ def _decided(
         (source.text_hash == wanted.one_hash) & source.doc_id.eqNullSafe(wanted.one_id),
     ).select("node", "text")
     sets = stage(
-        found.mapInArrow(_set_rows(size), "node long, shingles binary").dropDuplicates(["node"]),
+        found.mapInArrow(_set_rows(size), "node long, shingles array<long>").dropDuplicates(["node"]),
         "sets",
     )
-    slots = FIRST_SLOTS
+    leads = FIRST_LEADS
     while True:
-        live, pairs = _candidates(members, labels, percent, slots)
-        slots = SLOTS
-        pairs = stage(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        compared = (
-            pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("xs")), "x")
-            .join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("ys")), "y")
-            .select("x", "y", "xs", "ys")
-        )
-        links = stage(compared.mapInArrow(_confirm(percent, 100), "x long, y long"), "links")
+        live, pairs = _candidates(members, labels, percent, leads)
+        leads = max(LEADS, 2 * leads)
         members = stage(live, "members")
+        if members.isEmpty():
+            break
+        pairs = stage(pairs, "pairs")
+        compared = pairs.join(
+            sets.select(F.col("node").alias("x"), F.col("shingles").alias("xs")), "x"
+        ).join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("ys")), "y")
+        shared_runs = F.size(F.array_intersect("xs", "ys"))
+        union = F.size("xs") + F.size("ys") - shared_runs
+        links = stage(compared.where(shared_runs * 100 >= union * percent).select("x", "y"), "links")
         if not links.isEmpty():
             labels = stage(_merged(labels, links), "labels")
     groups = nodes.select("set_key", "node", "low_id").join(labels, "node", "left")
@@ -267,37 +254,38 @@ def near_duplicates(
 
 
 def _candidates(
-    members: DataFrame, labels: DataFrame, percent: int, slots: tuple[int, int]
+    members: DataFrame, labels: DataFrame, percent: int, leads: int
 ) -> tuple[DataFrame, DataFrame]:
     """What stays in the buckets after this round, and the pairs to compare in it."""
     named = members.join(labels, "node")
+    sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     open_buckets = (
-        named.groupBy("bucket")
-        .agg(F.min("label").alias("a"), F.max("label").alias("b"))
-        .where("a <> b")
+        sizes.groupBy("bucket")
+        .agg(F.max(F.struct("n", "label")).alias("largest"), F.count("*").alias("labels"))
+        .where("labels > 1")
+        .select("bucket", F.col("largest.label").alias("main"))
     )
-    named = stage(named.join(open_buckets.select("bucket"), "bucket"), "open")
-    leads = (
-        named.groupBy(
-            "bucket",
-            F.pmod(F.xxhash64("label"), F.lit(slots[0])).alias("by_label"),
-            F.pmod(F.xxhash64("node"), F.lit(slots[1])).alias("by_node"),
-        )
+    named = stage(named.join(open_buckets, "bucket"), "open")
+    slot = F.pmod(F.xxhash64("node", F.lit(leads)), F.lit(leads)).alias("slot")
+    chosen = (
+        named.where("label <> main")
+        .groupBy("bucket", slot)
         .agg(F.min(F.struct("node", "label", "n_shingles")).alias("lead"))
         .select("bucket", "lead.*")
         .toDF("bucket", "y", "y_label", "y_size")
     )
+    chosen = stage(chosen, "leads")
     fits = (
         F.least("n_shingles", "y_size") * 100 >= F.greatest("n_shingles", "y_size") * percent
     )
     pairs = (
-        named.join(leads, "bucket")
+        named.join(chosen, "bucket")
         .where((F.col("label") != F.col("y_label")) & fits)
         .select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y"))
         .distinct()
     )
     live = named.join(
-        leads.select("bucket", F.col("y").alias("node")), ["bucket", "node"], "left_anti"
+        chosen.select("bucket", F.col("y").alias("node")), ["bucket", "node"], "left_anti"
     ).select("bucket", "node", "n_shingles")
     return live, pairs
 
