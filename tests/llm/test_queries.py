@@ -1,0 +1,77 @@
+"""Registered corpus queries: SQL twins, the contracts of their results, the pipeline."""
+
+import zlib
+
+import pytest
+from compare import compare, duck
+from conftest import SF
+
+import corpus_pipeline
+from salesloom.llm import decontamination, near_dedup, queries, secret_scan
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_same_as_sql(spark, name):
+    assert compare(queries.QUERIES[name](spark, SF), duck(SF), queries.ORACLES[name]) is None
+
+
+def test_one_query_per_operator():
+    numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
+    assert numbers == list(range(1, 11))
+
+
+CONTRACTS = {
+    "op2_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op4_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op5_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
+    "sequence_id bigint, offset bigint",
+    "op6_extraction": "page_id bigint, url string, text string, n_chars bigint",
+    "op7_quality": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
+    "n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op8_near_dedup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op9_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACTS))
+def test_columns_and_rows(spark, name):
+    found = queries.QUERIES[name](spark, SF)
+    kinds = dict(found.dtypes)
+    for column in CONTRACTS[name].split(", "):
+        field, kind = column.split(" ")
+        assert kinds[field] == kind
+    if name != "op5_packing":
+        source = "pages" if name == "op6_extraction" else "documents"
+        assert found.count() == queries.table(spark, SF, source).count()
+
+
+def test_held_out_rule(spark):
+    for r in queries.op4_language_id(spark, SF).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_pipeline(spark):
+    """Each stage's rows follow from the operators' own results on its input."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = {r.doc_id: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, SF)
+        if name == "packing":
+            assert {r.doc_id for r in after.collect()} == {r.doc_id for r in docs.collect()}
+            break
+        assert after.columns == docs.columns
+        ids = {r.doc_id for r in after.collect()}
+        before = {r.doc_id for r in docs.collect()}
+        if name == "language_id":
+            lost = before - ids
+            assert all(not any(c.isalpha() for c in seen[k].text or "") for k in lost) or len(lost) < 3
+        if name == "near_dedup":
+            assert ids == {r.doc_id for r in near_dedup.near_duplicates(docs).where("kept").collect()}
+        if name == "decontamination":
+            items = spark.read.parquet(f"{SF}/benchmark.parquet")
+            hit = {r.doc_id for r in decontamination.matches(docs, items).collect()}
+            assert hit and ids == before - hit
+        if name == "secrets":
+            assert ids == before
+            assert all(not r.spans for r in secret_scan.scan(after).collect())
+        docs = spark.createDataFrame(after.collect(), after.schema)
