@@ -1,12 +1,13 @@
 """Exact order-based measures without one task that sees a huge group.
 
-Up to ``PLAIN_ROWS`` rows per group a plain window or a built-in aggregate is
-right and cheap. A caller who knows that the whole input is that small says so
-with ``at_most``. Otherwise the input is written once and its largest group is
-counted. Beyond the bound, rows are range-partitioned on group and order, and the number of the range is written
-down with the rows, so that later steps agree on it also after a retry. Each
-range is then worked on alone. What it needs from the ranges before it (a
-running total, or the last few rows) is a table of a few rows per range.
+There is one plan for every size. Rows are range-partitioned on group and order and
+written once, with the number of their range, so that later steps agree on it also
+after a retry. Each range is worked on alone. What it needs from the ranges before it
+(a running total, or the last few rows) is a table of a few rows per range.
+
+Quantiles need no order of all rows: a first pass brackets every wanted position
+between two values, a second counts what lies below the bracket and gathers only the
+values inside it.
 """
 
 from __future__ import annotations
@@ -14,50 +15,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesloom.workspace import broadcast_if_small, shuffle_partitions, stage
-
-# Largest group that one task may sort.
-PLAIN_ROWS = 1_000_000
-
-# Largest input for the built-in percentile; measured, it is slower beyond.
-PERCENTILE_ROWS = 100_000
+from salesloom.workspace import shuffle_partitions, stage
 
 RANGE = "_range"
 
+# Accuracy of the approximate percentiles that bracket an exact one, and the shares of
+# the rows by which brackets may reach out; the narrowest that is safe is taken.
+ACCURACY = 10_000
+REACHES = (0.001, 0.01, 0.1)
 
-def _largest_group(staged: DataFrame, group: list[str]) -> int:
-    sizes = staged.groupBy(*group).agg(F.count("*").alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
 
-
-def _in_ranges(staged: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    n = shuffle_partitions(staged.sparkSession)
-    ranged = staged.repartitionByRange(n, *[F.col(g) for g in group], *order)
+def in_ranges(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """``df`` written once, range-partitioned, with the range's number as ``RANGE``."""
+    n = shuffle_partitions(df.sparkSession)
+    ranged = df.repartitionByRange(n, *[F.col(g) for g in group], *order)
     return stage(ranged.withColumn(RANGE, F.spark_partition_id()), "ranges")
 
 
 def total_before(
-    df: DataFrame,
-    group: list[str],
-    order: str,
-    weights: dict[str, str],
-    plain_rows: int = PLAIN_ROWS,
+    df: DataFrame, group: list[str], order: str, weights: dict[str, str]
 ) -> DataFrame:
     """For each row, the total of a weight over the rows before it in its group.
 
     ``weights`` maps weight column to result column. ``order`` has to be unique
     within a group, as it is for a value histogram.
     """
-    staged = stage(df, "total-before")
     zero = F.lit(0)
-    if _largest_group(staged, group) <= plain_rows:
-        earlier = Window.partitionBy(*group).orderBy(order).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        return staged.select(
-            "*", *[F.coalesce(F.sum(w).over(earlier), zero).alias(o) for w, o in weights.items()]
-        )
-    ranged = _in_ranges(staged, group, [F.col(order)])
+    ranged = in_ranges(df, group, [F.col(order)])
     inside = (
         Window.partitionBy(*group, RANGE)
         .orderBy(order)
@@ -74,7 +58,7 @@ def total_before(
         *group, RANGE, *[F.sum(f"_t_{w}").over(earlier).alias(f"_o_{w}") for w in weights]
     )
     local = ranged.select("*", *[F.sum(w).over(inside).alias(f"_l_{w}") for w in weights])
-    joined = local.join(broadcast_if_small(offsets), [*group, RANGE])
+    joined = local.join(offsets, [*group, RANGE])
     totals = [
         (F.coalesce(f"_l_{w}", zero) + F.coalesce(f"_o_{w}", zero)).alias(out)
         for w, out in weights.items()
@@ -82,127 +66,161 @@ def total_before(
     return joined.select(*df.columns, *totals)
 
 
+def _number(column: str) -> Column:
+    """A column as double, not-a-number as NULL."""
+    value = F.col(f"`{column}`").cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def value_histogram(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, n) of the non-missing values of several numeric columns.
+    """(column, value, n) of the present values of several numeric columns.
 
     Equal values are combined before the shuffle, so a hot value costs one row
     per task.
     """
-    number = {c: F.col(f"`{c}`").cast("double") for c in columns}
     if len(columns) == 1:
-        values = df.select(*[v.alias("value") for v in number.values()])
+        values = df.select(_number(columns[0]).alias("value"))
         values = values.withColumn("column", F.lit(columns[0]))
     else:
-        cells = [F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in number.items()]
+        cells = [F.struct(F.lit(c).alias("column"), _number(c).alias("value")) for c in columns]
         values = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
-    present = values.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    present = values.where(F.col("value").isNotNull())
     return present.groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
-def quantiles(
-    df: DataFrame,
-    columns: list[str],
-    probs: list[float],
-    plain_rows: int = PLAIN_ROWS,
-    at_most: int | None = None,
-) -> DataFrame:
+def numbers_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as doubles named v0, v1, ..., written once."""
+    return stage(df.select([_number(c).alias(f"v{i}") for i, c in enumerate(columns)]), "numbers")
+
+
+def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
     """Exact, linearly interpolated quantiles as (column, prob, quantile).
 
-    The built-in ``percentile`` gathers all distinct values of a column in one
-    task, so it serves only inputs of a known small size. Otherwise the value
-    histogram is numbered in ranges and only the two values around each wanted
-    position are kept. A column without values has no row.
+    A column without values has no row.
     """
-    if at_most is not None and at_most <= min(plain_rows, PERCENTILE_ROWS):
-        number = {c: F.col(f"`{c}`").cast("double") for c in columns}
-        wide = df.agg(
-            *[
-                F.percentile(F.when(~F.isnan(v), v), [float(p) for p in probs]).alias(c)
-                for c, v in number.items()
-            ]
-        )
-        cells = [
-            F.struct(
-                F.lit(c).alias("column"),
-                F.lit(float(p)).alias("prob"),
-                F.col(f"`{c}`")[i].alias("quantile"),
-            )
-            for c in columns
-            for i, p in enumerate(probs)
-        ]
-        rows = wide.select(F.explode(F.array(*cells)).alias("q")).select("q.*")
-        return rows.where(F.col("quantile").isNotNull())
-    return quantiles_of(placed_values(df, columns, plain_rows), probs)
-
+    return quantiles_of(numbers_of(df, columns), columns, probs)
 
-def placed_values(
-    df: DataFrame, columns: list[str], plain_rows: int = PLAIN_ROWS
-) -> DataFrame:
-    """The value histogram with the number of values ``before`` each, written once."""
-    counts = value_histogram(df, columns)
-    return total_before(counts, ["column"], "value", {"n": "before"}, plain_rows)
 
+def _brackets(numbers: DataFrame, columns: list[str], probs: list[float]) -> Column:
+    """One struct: per column n, and per wanted quantile the bracket around it.
 
-def quantiles_of(placed: DataFrame, probs: list[float]) -> DataFrame:
-    sizes = placed.groupBy("column").agg(F.sum("n").alias("total"))
+    An approximate percentile lies within n / ACCURACY ranks of its position. A reach
+    of s * n ranks is safe where it covers this error on both sides and the rounding
+    of positions; beyond the widest the bracket is the whole column.
+    """
+    shares = sorted({min(1.0, max(0.0, p + s * r)) for p in probs for r in REACHES for s in (-1, 1)})
+    aggregates = []
+    for i in range(len(columns)):
+        v = F.col(f"v{i}")
+        aggregates += [
+            F.count(v).alias(f"n{i}"),
+            F.min(v).alias(f"min{i}"),
+            F.max(v).alias(f"max{i}"),
+            F.percentile_approx(v, [float(s) for s in shares], ACCURACY).alias(f"near{i}"),
+        ]
+    wide = numbers.agg(*aggregates)
+    out = []
+    for i in range(len(columns)):
+        n = F.col(f"n{i}")
+        out.append(n.alias(f"n{i}"))
+        for j, p in enumerate(probs):
+            low = high = None
+            for reach in REACHES:
+                safe = (n * (reach - 2 / ACCURACY) >= 4) & F.lit(reach <= min(p, 1 - p))
+                at = [shares.index(min(1.0, max(0.0, p + s * reach))) for s in (-1, 1)]
+                a, b = (F.col(f"near{i}")[k] for k in at)
+                low = F.when(safe, a) if low is None else low.when(safe, a)
+                high = F.when(safe, b) if high is None else high.when(safe, b)
+            out.append(low.otherwise(F.col(f"min{i}")).alias(f"low{i}_{j}"))
+            out.append(high.otherwise(F.col(f"max{i}")).alias(f"high{i}_{j}"))
+    return stage(wide.select(*out), "brackets").select(F.struct("*")).scalar()
+
+
+def quantiles_of(numbers: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """Quantiles of written columns v0, v1, ... that carry the given names."""
+    spots = [(i, j) for i in range(len(columns)) for j in range(len(probs))]
+    marked = numbers.withColumn("_b", _brackets(numbers, columns, probs))
+    bound = {s: (F.col(f"_b.low{s[0]}_{s[1]}"), F.col(f"_b.high{s[0]}_{s[1]}")) for s in spots}
+    counts = marked.agg(
+        *[F.count(F.when(F.col(f"v{i}") < bound[i, j][0], 1)).alias(f"{i}_{j}") for i, j in spots]
+    )
+    below = counts.select(
+        F.explode(
+            F.array(
+                *[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"{i}_{j}").alias("below"))
+                  for i, j in spots]
+            )
+        ).alias("r")
+    ).select("r.*")
+    cells = [
+        F.when(
+            F.col(f"v{i}").between(*bound[i, j]),
+            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v{i}").alias("value")),
+        )
+        for i, j in spots
+    ]
+    inside = marked.select(F.explode(F.array_compact(F.array(*cells))).alias("r")).select("r.*")
+    inside = inside.groupBy("i", "j", "value").agg(F.count("*").alias("n"))
+    placed = total_before(inside, ["i", "j"], "value", {"n": "before"})
+    named = [(i, j, columns[i], float(probs[j])) for i, j in spots]
+    wanted = numbers.sparkSession.createDataFrame(named, "i int, j int, column string, prob double")
+    sizes = numbers.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))])
+    sizes = sizes.select(
+        F.explode(
+            F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"n{i}").alias("total")) for i in range(len(columns))])
+        ).alias("r")
+    ).select("r.*")
     position = (F.col("total") - 1) * F.col("prob")
-    wanted = sizes.select(
-        "column", "total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    ).select(
-        "column",
-        "prob",
+    # One row per column and probability in all three tables.
+    wanted = wanted.join(F.broadcast(below), ["i", "j"]).join(F.broadcast(sizes), "i").select(
+        "i", "j", "column", "prob", "below",
         (position - F.floor(position)).alias("part"),
-        F.floor(position).alias("low"),
-        F.ceil(position).alias("high"),
+        F.floor(position).alias("first"),
+        F.ceil(position).alias("second"),
     )
-    holds_low = (F.col("before") <= F.col("low")) & (F.col("low") < F.col("before") + F.col("n"))
-    holds_high = (F.col("before") <= F.col("high")) & (
-        F.col("high") < F.col("before") + F.col("n")
-    )
-    # ``wanted`` has one row per column and probability.
-    hits = placed.join(F.broadcast(wanted), "column").where(holds_low | holds_high)
+    start = F.col("below") + F.col("before")
+    holds_first = (start <= F.col("first")) & (F.col("first") < start + F.col("n"))
+    holds_second = (start <= F.col("second")) & (F.col("second") < start + F.col("n"))
+    hits = placed.join(F.broadcast(wanted), ["i", "j"]).where(holds_first | holds_second)
     ends = hits.groupBy("column", "prob", "part").agg(
-        F.max(F.when(holds_low, F.col("value"))).alias("a"),
-        F.max(F.when(holds_high, F.col("value"))).alias("b"),
+        F.max(F.when(holds_first, F.col("value"))).alias("a"),
+        F.max(F.when(holds_second, F.col("value"))).alias("b"),
     )
     return ends.select(
         "column", "prob", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("quantile")
     )
 
 
-def quantile(df: DataFrame, column: str, prob: float, at_most: int | None = None) -> DataFrame:
+def quantile(df: DataFrame, column: str, prob: float) -> DataFrame:
     """One quantile of one column as a one-row frame (use ``.scalar()`` on it)."""
-    found = quantiles(df, [column], [prob], at_most=at_most)
-    return found.agg(F.max("quantile").alias("quantile"))
+    return quantiles(df, [column], [prob]).agg(F.max("quantile").alias("quantile"))
 
 
-def average_ranks(
-    df: DataFrame, ranks: dict[str, tuple[str, bool]], plain_rows: int = PLAIN_ROWS
-) -> DataFrame:
+def average_ranks(df: DataFrame, ranks: dict[str, tuple[str, bool]]) -> DataFrame:
     """Add tie-averaged ranks over all rows.
 
     ``ranks`` maps a new column to (measure, ascending). The rank of a value is
     the number of rows before it plus (ties + 1) / 2, read from the histogram of
     the values and joined back on the value. A hot value is one row of that
-    histogram; where it is too large to broadcast, adaptive execution splits the
-    hot partition of the join.
+    histogram; adaptive execution picks the join and splits a hot partition.
     """
     base = stage(df, "ranked")
     measures = sorted({m for m, _ in ranks.values()})
-    placed = stage(placed_values(base, measures, plain_rows), "ranks")
+    placed = total_before(value_histogram(base, measures), ["column"], "value", {"n": "before"})
+    placed = stage(placed, "ranks")
     sizes = placed.groupBy("column").agg(F.sum("n").alias("total"))
     placed = placed.join(F.broadcast(sizes), "column")  # one row per measure
     up = F.col("before") + (F.col("n") + 1) / 2.0
     out = base
-    for name, (measure, ascending) in ranks.items():
-        rank = up if ascending else F.col("total") + 1 - up
-        side = placed.where(F.col("column") == measure).select(
-            F.col("value").alias("_value"), rank.alias(name)
-        )
-        out = out.join(
-            broadcast_if_small(side), F.col(measure).cast("double") == F.col("_value"), "left"
-        ).drop("_value")
-    return out
+    for measure in measures:
+        sides = [
+            (up if ascending else F.col("total") + 1 - up).alias(name)
+            for name, (own, ascending) in ranks.items()
+            if own == measure
+        ]
+        side = placed.where(F.col("column") == measure).select(F.col("value").alias("_value"), *sides)
+        out = out.join(side, F.col(measure).cast("double") == F.col("_value"), "left").drop("_value")
+    return out.select(*df.columns, *ranks)
 
 
 def ordinal_codes(df: DataFrame, column: str, code: str) -> DataFrame:
@@ -214,44 +232,45 @@ def ordinal_codes(df: DataFrame, column: str, code: str) -> DataFrame:
 
 
 def rolling_mean(
-    df: DataFrame,
-    group: str,
-    order: list[str],
-    value: str,
-    out: str,
-    rows: int = 7,
-    plain_rows: int = PLAIN_ROWS,
-    at_most: int | None = None,
-    written: bool = False,
+    df: DataFrame, group: str, order: list[str], value: str, out: str, rows: int = 7
 ) -> DataFrame:
     """Mean over the last ``rows`` rows of the group, in the given full order.
 
     Missing values are skipped and missing order values come last; rows without
-    a group get no mean. In the split form a range of one group is averaged
-    alone. Only its first ``rows - 1`` rows lack their predecessors, and these
-    are found among the first and last rows of the ranges, which is a table of
-    at most 2 * (rows - 1) rows per range. ``written`` says that ``df`` is a
-    written table already.
+    a group get no mean.
+    """
+    ranged = in_ranges(df, [group], [F.col(c).asc_nulls_last() for c in order])
+    return rolling_mean_of(ranged, group, order, value, out, rows).drop(RANGE)
+
+
+def rolling_mean_of(
+    ranged: DataFrame, group: str, order: list[str], value: str, out: str, rows: int = 7
+) -> DataFrame:
+    """``rolling_mean`` of rows that ``in_ranges`` wrote.
+
+    The last ``rows - 1`` rows of each group and range are found first, a table of
+    that many rows per range. Each range is then averaged together with the last
+    values before it, in one window.
     """
     keys = [F.col(c).asc_nulls_last() for c in order]
     margin = rows - 1
-    small = at_most is not None and at_most <= plain_rows
-    staged = df if written or small else stage(df, "rolling")
-    if small or _largest_group(staged, [group]) <= plain_rows:
-        frame = Window.partitionBy(group).orderBy(*keys).rowsBetween(-margin, 0)
-        mean = F.when(F.col(group).isNotNull(), F.avg(value).over(frame))
-        return staged.select("*", mean.alias(out))
-    ranged = _in_ranges(staged, [group], keys)
-    inside = Window.partitionBy(group, RANGE).orderBy(*keys)
-    local = ranged.select(
-        "*",
-        F.row_number().over(inside).alias("_row"),
-        F.count("*").over(Window.partitionBy(group, RANGE)).alias("_rows"),
-        F.avg(value).over(inside.rowsBetween(-margin, 0)).alias(out),
+    back = Window.partitionBy(group, RANGE).orderBy(*[F.col(c).desc_nulls_first() for c in order])
+    tails = ranged.select(group, RANGE, *order, F.col(value).alias("_value"))
+    tails = tails.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= margin)
+    tails = stage(tails.select(group, RANGE, "_back", F.struct("_value").alias("_value")), "tails")
+    # The values before the first tail row of a range are the last ones of earlier ranges.
+    before = Window.partitionBy(group).orderBy(RANGE, F.desc("_back"))
+    own = Window.partitionBy(group, RANGE).orderBy(F.desc("_back"))
+    halo = tails.select(
+        group, RANGE, F.row_number().over(own).alias("_first"),
+        F.collect_list("_value").over(before.rowsBetween(-margin, -1)).alias("_halo"),
+    ).where("_first = 1")
+    halo = halo.select(group, RANGE, F.posexplode("_halo").alias("_place", "_cell"))
+    extra = halo.select(
+        group, RANGE, "_place", F.col("_cell._value").alias(value), F.lit(True).alias("_extra")
     )
-    edge = local.where((F.col("_row") <= margin) | (F.col("_row") > F.col("_rows") - margin))
-    across = Window.partitionBy(group).orderBy(RANGE, "_row").rowsBetween(-margin, 0)
-    heads = edge.withColumn(out, F.avg(value).over(across)).where(F.col("_row") <= margin)
-    joined = local.where(F.col("_row") > margin).unionByName(heads)
-    mean = F.when(F.col(group).isNotNull(), F.col(out)).alias(out)
-    return joined.select(*df.columns, mean)
+    both = ranged.withColumns({"_extra": F.lit(False), "_place": F.lit(None).cast("int")})
+    both = both.unionByName(extra, allowMissingColumns=True)
+    frame = Window.partitionBy(group, RANGE).orderBy(F.desc("_extra"), "_place", *keys)
+    mean = F.when(F.col(group).isNotNull(), F.avg(value).over(frame.rowsBetween(-margin, 0)))
+    return both.withColumn(out, mean).where("not _extra").drop("_extra", "_place")

@@ -15,7 +15,7 @@ DATE_FORMATS = ("MM-dd-yy", "MM-dd-yyyy", "MM/dd/yyyy", "M/d/yyyy")
 
 def contains_ci(text: Column, part: str) -> Column:
     """Case-insensitive substring test; a missing text does not contain anything."""
-    return F.coalesce(text.ilike(f"%{part}%"), F.lit(False))
+    return F.coalesce(F.contains(F.lower(text), F.lit(part.lower())), F.lit(False))
 
 
 def is_cancelled(status: Column) -> Column:
@@ -74,8 +74,10 @@ def month_start(year: Column, month: Column) -> Column:
 
 
 def days_between(start: Column, end: Column) -> Column:
-    """Whole days from start to end; parts of a day are dropped."""
-    return F.extract(F.lit("DAY"), end - start)
+    """Whole days from start to end, rounded down: twelve hours back are -1."""
+    span = end - start
+    days = F.extract(F.lit("DAY"), span)
+    return F.when(F.make_dt_interval(days) > span, days - 1).otherwise(days)
 
 
 def days_after(date: Column, days: int) -> Column:

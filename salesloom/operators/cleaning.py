@@ -116,7 +116,7 @@ def date_range(df: DataFrame, column: str = "date", start=None, end=None) -> Dat
         limit = F.lit(str(bound)).cast("timestamp_ntz")
         df = df.where(F.col(column) >= limit if low else F.col(column) <= limit)
         if "period" in df.columns:
-            month = F.lit(str(bound)[:7])
+            month = F.date_format(limit, "yyyy-MM")
             df = df.where(F.col("period") >= month if low else F.col("period") <= month)
     return df
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from salesloom.functions.scalars import sum0
 from salesloom.operators.kpis import stock_by_category, top
-from salesloom.workspace import broadcast_if_small, stage
+from salesloom.workspace import stage
 
 
 def join_category_stock(sales: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def join_category_stock(sales: DataFrame, inventory: DataFrame) -> DataFrame:
     shuffle on a handful of keys.
     """
     summary = stage(stock_by_category(inventory), "category-stock")
-    return sales.join(broadcast_if_small(summary), "category", "left")
+    return sales.join(summary, "category", "left")
 
 
 def join_sku_stock(sales: DataFrame, inventory: DataFrame, match_missing: bool = False) -> DataFrame:

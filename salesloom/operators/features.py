@@ -14,8 +14,9 @@ from salesloom.functions.scalars import (
     to_flag,
     weekday,
 )
-from salesloom.sources.canonical import SALES_TIEBREAK
-from salesloom.workspace import broadcast_if_small, stage
+
+# Columns of a sales export that tell rows of one date apart, as far as it can.
+TIEBREAK = ["order_id", "sku", "size", "qty", "amount", "status"]
 
 
 def calendar_columns(df: DataFrame, column: str = "date") -> DataFrame:
@@ -47,47 +48,42 @@ def row_features(sales: DataFrame, high_value_from) -> DataFrame:
     )
 
 
-def rolling_revenue(
-    sales: DataFrame,
-    tiebreak: list[str] = SALES_TIEBREAK,
-    plain_rows: int = ordered.PLAIN_ROWS,
-    at_most: int | None = None,
-    written: bool = False,
-) -> DataFrame:
+def _tiebreak(sales: DataFrame, tiebreak: list[str] | None) -> list[str]:
+    """The columns that order rows of one date: the given ones, or those of an export."""
+    return [c for c in TIEBREAK if c in sales.columns] if tiebreak is None else tiebreak
+
+
+def rolling_revenue(sales: DataFrame, tiebreak: list[str] | None = None) -> DataFrame:
     """Adds ``revenue_7d_ma``: mean amount of the last seven rows of the category."""
-    return ordered.rolling_mean(
-        sales, "category", ["date", *tiebreak], "amount", "revenue_7d_ma", 7,
-        plain_rows, at_most, written,
-    )
+    order = ["date", *_tiebreak(sales, tiebreak)]
+    return ordered.rolling_mean(sales, "category", order, "amount", "revenue_7d_ma", 7)
 
 
-def engineer_features(
-    sales: DataFrame, tiebreak: list[str] = SALES_TIEBREAK, at_most: int | None = None
-) -> DataFrame:
+def engineer_features(sales: DataFrame, tiebreak: list[str] | None = None) -> DataFrame:
     """Sales with calendar, price, promotion, high-value, rolling and target columns.
 
-    Unless the caller knows that there are few rows (``at_most``), the input is
-    written once; the rolling mean and the exact upper quartile that marks a
-    high value both read it from there.
+    The input is written once, in ranges; the rolling mean and the exact upper
+    quartile that marks a high value both read it from there.
     """
-    small = at_most is not None and at_most <= ordered.PLAIN_ROWS
-    rows = sales if small else stage(sales, "features")
-    threshold = ordered.quantile(rows, "amount", 0.75, at_most).scalar()
-    return row_features(
-        rolling_revenue(rows, tiebreak, at_most=at_most, written=not small), threshold
-    )
+    order = ["date", *_tiebreak(sales, tiebreak)]
+    ranged = ordered.in_ranges(sales, ["category"], [F.col(c).asc_nulls_last() for c in order])
+    threshold = ordered.quantile(ranged, "amount", 0.75).scalar()
+    rolled = ordered.rolling_mean_of(ranged, "category", order, "amount", "revenue_7d_ma", 7)
+    return row_features(rolled.drop(ordered.RANGE), threshold)
 
 
-def baseline_features(sales: DataFrame) -> DataFrame:
+def baseline_features(sales: DataFrame, keys: list[str]) -> DataFrame:
     """All-numeric features of the baseline model, categories as ordinal codes.
 
+    ``keys`` are kept to tell rows apart.
+
     Missing values get fixed substitutes, a missing category is ``Unknown``.
     """
     named = sales.withColumn("category", F.coalesce("category", F.lit("Unknown")))
     codes = ordered.ordinal_codes(named, "category", "category_code")
-    rows = named.join(broadcast_if_small(codes), "category")
+    rows = named.join(codes, "category")
     return rows.select(
-        *[c for c in SALES_TIEBREAK if c in sales.columns],
+        *[c for c in keys if c in sales.columns],
         F.coalesce(F.col("qty"), F.lit(0)).cast("double").alias("qty"),
         F.coalesce("amount", F.lit(0.0)).alias("amount"),
         F.coalesce(F.month("date"), F.lit(1)).alias("month"),

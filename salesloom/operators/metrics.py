@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.functions.ordered import PLAIN_ROWS, total_before
+from salesloom.functions.ordered import total_before
 
 METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc"]
 
@@ -18,9 +18,7 @@ def _f1(precision: Column, recall: Column) -> Column:
     return _ratio0(precision * recall * 2, precision + recall)
 
 
-def roc_auc(
-    scored: DataFrame, label: str = "label", score: str = "score", plain_rows: int = PLAIN_ROWS
-) -> DataFrame:
+def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Area under the ROC curve, exact also with ties.
 
     Equal scores are combined to (positives, negatives) first. Each positive then
@@ -30,9 +28,7 @@ def roc_auc(
         F.count(F.when(F.col(label) == 1, 1)).alias("pos"),
         F.count(F.when(F.col(label) == 0, 1)).alias("neg"),
     )
-    placed = total_before(
-        counts.withColumn("_all", F.lit(0)), ["_all"], "s", {"neg": "lower"}, plain_rows
-    )
+    placed = total_before(counts.withColumn("_all", F.lit(0)), ["_all"], "s", {"neg": "lower"})
     won = F.sum(F.col("pos") * (F.col("lower") + F.col("neg") / 2.0))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return placed.agg(F.try_divide(won, pairs).alias("roc_auc"))
@@ -60,10 +56,9 @@ def classification_metrics(
     label: str = "label",
     prediction: str = "prediction",
     score: str = "score",
-    plain_rows: int = PLAIN_ROWS,
 ) -> DataFrame:
     """Accuracy, precision, recall, F1 and ROC-AUC of class 1 in one row."""
-    auc = roc_auc(scored, label, score, plain_rows).scalar()
+    auc = roc_auc(scored, label, score).scalar()
     precision = _ratio0(F.col("tp"), F.col("tp") + F.col("fp"))
     recall = _ratio0(F.col("tp"), F.col("tp") + F.col("fn"))
     return binary_counts(scored, label, prediction).select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salesloom.functions.ordered import PLAIN_ROWS, placed_values, quantiles, quantiles_of
+from salesloom.functions.ordered import numbers_of, quantiles, quantiles_of
 from salesloom.operators.cleaning import numeric_columns, quoted
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -20,6 +20,12 @@ def _missing(df: DataFrame, column: str) -> Column:
     return null | F.isnan(quoted(column)) if isinstance(kind, (T.DoubleType, T.FloatType)) else null
 
 
+def _present(column: str) -> Column:
+    """A numeric column as double; not-a-number is missing, as in all profiles."""
+    value = quoted(column).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def _long(df: DataFrame, rows: list[Column]) -> DataFrame:
     """Turn one wide aggregate row into one row per struct."""
     return df.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
@@ -58,31 +64,30 @@ def column_info(df: DataFrame) -> DataFrame:
     return _long(counts, rows)
 
 
-def describe_numeric(
-    df: DataFrame, columns: list[str] | None = None, plain_rows: int = PLAIN_ROWS
-) -> DataFrame:
+def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, deviation, minimum, exact quartiles and maximum per column.
 
-    The input is read once: all figures come from the value histogram.
+    The columns are written once; moments and quartiles read them from there.
     """
     columns = columns or numeric_columns(df)
-    placed = placed_values(df, columns, plain_rows)
-    n, v = F.col("n"), F.col("value")
-    sums = placed.groupBy("column").agg(
-        F.sum("n").alias("count"),
-        (F.sum(v * n) / F.sum("n")).alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    numbers = numbers_of(df, columns)
+    wide = numbers.agg(
+        *[
+            F.struct(
+                F.lit(c).alias("column"),
+                F.count(f"v{i}").alias("count"),
+                F.avg(f"v{i}").alias("mean"),
+                F.stddev_samp(f"v{i}").alias("std"),
+                F.min(f"v{i}").alias("min"),
+                F.max(f"v{i}").alias("max"),
+            ).alias(f"s{i}")
+            for i, c in enumerate(columns)
+        ]
     )
     # One row per described column here and in the joins below.
-    off = v - F.col("mean")
-    spread = (
-        placed.join(F.broadcast(sums), "column")
-        .groupBy("column")
-        .agg(F.sqrt(F.try_divide(F.sum(n * off * off), F.sum("n") - 1)).alias("std"))
-    )
+    sums = _long(wide, [F.col(f"s{i}") for i in range(len(columns))])
     middle = (
-        quantiles_of(placed, QUARTILES)
+        quantiles_of(numbers, columns, QUARTILES)
         .groupBy("column")
         .pivot("prob", QUARTILES)
         .agg(F.max("quantile"))
@@ -90,7 +95,6 @@ def describe_numeric(
     )
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     out = names.join(F.broadcast(sums), "column", "left")
-    out = out.join(F.broadcast(spread), "column", "left")
     return out.join(F.broadcast(middle), "column", "left").select(
         "column", F.coalesce("count", F.lit(0)).alias("count"),
         "mean", "std", "min", "q25", "q50", "q75", "max",
@@ -160,7 +164,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of all pairs of numeric columns as (a, b, r), one aggregate."""
     columns = columns or numeric_columns(df)
-    value = {c: quoted(c).cast("double") for c in columns}
+    value = {c: _present(c) for c in columns}
     pairs = list(combinations(range(len(columns)), 2))
 
     def r(i: int, j: int) -> Column:
@@ -185,8 +189,8 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def _bounds(df: DataFrame, columns: list[str]) -> Column:
     """Struct with the least and greatest value of each column, read once."""
     wide = df.agg(
-        *[F.min(quoted(c).cast("double")).alias(f"lo_{i}") for i, c in enumerate(columns)],
-        *[F.max(quoted(c).cast("double")).alias(f"hi_{i}") for i, c in enumerate(columns)],
+        *[F.min(_present(c)).alias(f"lo_{i}") for i, c in enumerate(columns)],
+        *[F.max(_present(c)).alias(f"hi_{i}") for i, c in enumerate(columns)],
     )
     return wide.select(F.struct(*wide.columns)).scalar()
 
@@ -199,7 +203,7 @@ def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Rows per equal-width bin (bins without rows are left out) and the lower edge."""
-    value = quoted(column).cast("double")
+    value = _present(column)
     marked = df.select(value.alias("v"), _bounds(df, [column]).alias("m")).where("v IS NOT NULL")
     low, high = F.col("m.lo_0"), F.col("m.hi_0")
     return (
@@ -216,8 +220,8 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 def joint_histogram(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
     """Rows per cell of an equal-width grid over two columns."""
     marked = df.select(
-        quoted(x).cast("double").alias("x"),
-        quoted(y).cast("double").alias("y"),
+        _present(x).alias("x"),
+        _present(y).alias("y"),
         _bounds(df, [x, y]).alias("m"),
     ).where("x IS NOT NULL AND y IS NOT NULL")
     return marked.groupBy(
@@ -231,8 +235,8 @@ def pair_histograms(df: DataFrame, columns: list[str], bins: int = 20) -> DataFr
     row = _bounds(df, columns)
     place = [
         F.when(
-            quoted(c).isNotNull(),
-            _bin(quoted(c).cast("double"), F.col(f"_m.lo_{i}"), F.col(f"_m.hi_{i}"), bins),
+            _present(c).isNotNull(),
+            _bin(_present(c), F.col(f"_m.lo_{i}"), F.col(f"_m.hi_{i}"), bins),
         )
         for i, c in enumerate(columns)
     ]
@@ -260,11 +264,10 @@ def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
 
     A column without spread has no density and gives no rows.
 
-    Equal values are combined first. Each distinct value then adds its kernel to
-    the grid points, and the sums over the grid are combined per task, so only
-    ``points`` rows per task are shuffled.
+    Equal values are combined first. One aggregate then sums the kernels at every
+    grid point, a column for each, so a task sends one row.
     """
-    value = quoted(column).cast("double")
+    value = _present(column)
     counts = (
         df.select(value.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
     )
@@ -275,25 +278,32 @@ def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     row = whole.select(
         F.struct("total", "lo", "hi", (F.col("sd") * F.pow("total", F.lit(-0.2))).alias("bw"))
     ).scalar()
-    spread = counts.select(
-        "v", "n", row.alias("m"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
-    )
-    spread = spread.where(F.col("m.bw") > 0)
-    x = F.col("m.lo") + F.col("point") * (F.col("m.hi") - F.col("m.lo")) / (points - 1)
-    z = (x - F.col("v")) / F.col("m.bw")
+    marked = counts.select("v", "n", row.alias("m")).where(F.col("m.bw") > 0)
     scale = F.col("m.total") * F.col("m.bw") * F.sqrt(F.lit(2.0) * F.pi())
-    kernel = F.col("n") * F.exp(z * z * -0.5) / scale
-    return spread.groupBy("point", x.alias("x")).agg(F.sum(kernel).alias("density"))
+
+    def x(point: int) -> Column:
+        return F.col("m.lo") + (F.col("m.hi") - F.col("m.lo")) * point / (points - 1)
+
+    def kernel(point: int) -> Column:
+        z = (x(point) - F.col("v")) / F.col("m.bw")
+        return F.sum(F.col("n") * F.exp(z * z * -0.5) / scale)
+
+    wide = marked.agg(F.max("m").alias("m"), *[kernel(p).alias(f"p{p}") for p in range(points)])
+    rows = [
+        F.struct(F.lit(p).alias("point"), x(p).alias("x"), F.col(f"p{p}").alias("density"))
+        for p in range(points)
+    ]
+    return _long(wide.where("m IS NOT NULL"), rows)
 
 
-def box_plot(df: DataFrame, column: str, at_most: int | None = None) -> DataFrame:
+def box_plot(df: DataFrame, column: str) -> DataFrame:
     """Quartiles, whisker ends (last values within 1.5 interquartile ranges), outliers."""
-    q = quantiles(df, [column], QUARTILES, at_most=at_most).agg(
+    q = quantiles(df, [column], QUARTILES).agg(
         *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
           for p, n in zip(QUARTILES, ("q1", "median", "q3"))]
     )
     row = q.select(F.struct("q1", "median", "q3")).scalar()
-    marked = df.select(quoted(column).cast("double").alias("v"), row.alias("q")).where("v IS NOT NULL")
+    marked = df.select(_present(column).alias("v"), row.alias("q")).where("v IS NOT NULL")
     reach = (F.col("q.q3") - F.col("q.q1")) * 1.5
     inside = F.col("v").between(F.col("q.q1") - reach, F.col("q.q3") + reach)
     return marked.agg(
@@ -306,14 +316,14 @@ def box_plot(df: DataFrame, column: str, at_most: int | None = None) -> DataFram
     )
 
 
-def outlier_rows(df: DataFrame, column: str, at_most: int | None = None) -> DataFrame:
+def outlier_rows(df: DataFrame, column: str) -> DataFrame:
     """The rows beyond the whiskers."""
-    q = quantiles(df, [column], [0.25, 0.75], at_most=at_most).agg(
+    q = quantiles(df, [column], [0.25, 0.75]).agg(
         F.min("quantile").alias("q1"), F.max("quantile").alias("q3")
     )
     row = q.select(F.struct("q1", "q3")).scalar()
     reach = (F.col("_q.q3") - F.col("_q.q1")) * 1.5
-    value = quoted(column)
+    value = _present(column)
     beyond = (value < F.col("_q.q1") - reach) | (value > F.col("_q.q3") + reach)
     return df.withColumn("_q", row).where(beyond).drop("_q")
 

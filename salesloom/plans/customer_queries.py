@@ -25,15 +25,15 @@ _ROLLING = f"""SELECT {KEYS}, category, date, amount,
 @query("win01_rolling_revenue", _ROLLING)
 def _(t):
     rows = t.sales.select(*KEY, "category", "date", "amount")
-    rolled = features.rolling_revenue(rows, at_most=t.rows_at_most)
+    rolled = features.rolling_revenue(rows, KEY)
     return rounded(rolled, 6, "revenue_7d_ma")
 
 
-# The same results by the split form that large groups take.
+# The name of the former second form; there is one plan now.
 @query("win01_rolling_revenue_split", _ROLLING)
 def _(t):
     rows = t.sales.select(*KEY, "category", "date", "amount")
-    return rounded(features.rolling_revenue(rows, plain_rows=0), 6, "revenue_7d_ma")
+    return rounded(features.rolling_revenue(rows, KEY), 6, "revenue_7d_ma")
 
 
 @query(
@@ -48,7 +48,7 @@ def _(t):
     rows = t.sales_raw.select(
         *KEY, F.when(F.col("line_no") != 2, F.col("category")).alias("category"), "date", "amount"
     )
-    return rounded(features.rolling_revenue(rows, plain_rows=0), 6, "revenue_7d_ma")
+    return rounded(features.rolling_revenue(rows, KEY), 6, "revenue_7d_ma")
 
 
 @query(
@@ -60,7 +60,7 @@ def _(t):
         "_key", F.struct(F.col("date"), F.col("order_id"), F.col("line_no"), F.col("sku"), F.col("supp"))
     )
     rows = rows.withColumns({"_all": F.lit(0), "_one": F.lit(1)})
-    placed = ordered.total_before(rows, ["_all"], "_key", {"_one": "position"}, plain_rows=0)
+    placed = ordered.total_before(rows, ["_all"], "_key", {"_one": "position"})
     return placed.select(*KEY, "date", F.col("position").cast("bigint").alias("position"))
 
 
@@ -87,7 +87,7 @@ f AS (SELECT *, CAST(isodow(date) - 1 AS INT) AS day_of_week,
 def _(t):
     columns = [*KEY, "category", "date", "qty", "amount", "fulfilment", "ship_service_level", "b2b"]
     rows = t.sales.select(*columns, "promotion_ids", "status")
-    fe = features.engineer_features(rows, at_most=t.rows_at_most)
+    fe = features.engineer_features(rows, KEY)
     out = fe.select(
         *columns, "day_of_week", "is_weekend", "month", "price_per_unit", "has_promotion",
         "is_high_value", "revenue_7d_ma", "cancelled",
@@ -100,7 +100,7 @@ def _(t):
     "SELECT round(quantile_cont(amount, 0.75), 6) AS quantile FROM sales",
 )
 def _(t):
-    return rounded(ordered.quantile(t.sales, "amount", 0.75, t.rows_at_most), 6, "quantile")
+    return rounded(ordered.quantile(t.sales, "amount", 0.75), 6, "quantile")
 
 
 @query(
@@ -114,7 +114,7 @@ def _(t):
 )
 def _(t):
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    out = ordered.quantiles(t.sales, ["amount", "qty"], probs, plain_rows=0)
+    out = ordered.quantiles(t.sales, ["amount", "qty"], probs)
     return rounded(out, 6, "quantile")
 
 
@@ -127,8 +127,8 @@ def _(t):
 def _(t):
     rows = t.sales.select(*KEY, "category", "date", "qty", "amount", "promotion_ids", "status")
     columns = ["price_per_unit", "revenue_7d_ma"]
-    fe = features.engineer_features(rows, at_most=t.rows_at_most)
-    medians = ordered.quantiles(fe, columns, [0.5], at_most=t.rows_at_most)
+    fe = features.engineer_features(rows, KEY)
+    medians = ordered.quantiles(fe, columns, [0.5])
     return medians.agg(
         *[F.round(F.max(F.when(F.col("column") == c, F.col("quantile"))), 6).alias(c) for c in columns]
     )
@@ -183,7 +183,7 @@ def _(t):
 
 @query("win03_average_ranks_split", f"WITH {_RANKED} SELECT order_id, r_rank, f_rank, m_rank FROM k")
 def _(t):
-    return rfm.with_rfm_scores(_cents(t), plain_rows=0).select("order_id", "r_rank", "f_rank", "m_rank")
+    return rfm.with_rfm_scores(_cents(t)).select("order_id", "r_rank", "f_rank", "m_rank")
 
 
 @query("win04_rfm_score", f"WITH {_RANKED} SELECT *, r_rank + f_rank + m_rank AS rfm_score FROM k")

@@ -30,7 +30,7 @@ _INPUT = [
 
 
 def model_input(t):
-    fe = features.engineer_features(t.sales.select(_INPUT), at_most=t.rows_at_most)
+    fe = features.engineer_features(t.sales.select(_INPUT), KEY)
     return encoding.model_rows(fe, "cancelled", KEY)
 
 
@@ -164,7 +164,7 @@ def _(t):
 
 @query("ml13_metrics_split", _METRICS_SQL)
 def _(t):
-    return rounded(metrics.classification_metrics(_scored(t), plain_rows=0), 9, *metrics.METRICS)
+    return rounded(metrics.classification_metrics(_scored(t)), 9, *metrics.METRICS)
 
 
 _REPORT_SQL = f"""WITH {_SCORED_SQL},
@@ -241,12 +241,12 @@ def _(t):
         FROM sales JOIN c ON coalesce(sales.category, 'Unknown') = c.cat""",
 )
 def _(t):
-    return features.baseline_features(t.sales)
+    return features.baseline_features(t.sales, KEY)
 
 
 @query("ml19_baseline_coefficients")
 def _(t):
-    return training.baseline_model(stage(features.baseline_features(t.sales), "baseline"), KEY)
+    return training.baseline_model(stage(features.baseline_features(t.sales, KEY), "baseline"), KEY)
 
 
 def split_input(t):

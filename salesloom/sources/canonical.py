@@ -7,8 +7,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.workspace import broadcast_if_small
-
 
 # The columns the views use. Declared, so opening a table costs no job.
 SCHEMAS = {
@@ -36,26 +34,17 @@ class Tables:
     def source(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
-    @cached_property
-    def rows_at_most(self) -> int:
-        """Upper bound of the rows of the sales views, counted from the file footers.
-
-        The views join line items to keys that are unique, so they cannot grow.
-        """
-        return self.source("lineitem").count()
-
     @cached_property
     def order_side(self) -> DataFrame:
         """One row per order with everything the fact needs from it.
 
         Joined before the fact so that line items shuffle twice (order key, part
-        key) and not once per dimension. Spark guesses the size of a join badly,
-        so the orders are counted and decide about a broadcast; beyond the bound
-        the fact is joined by sort-merge.
+        key) and not once per dimension. Adaptive execution picks the joins from
+        the sizes it meets.
         """
         orders, customer = self.source("orders"), self.source("customer")
         nation = self.source("nation")
-        joined = (
+        return (
             orders.join(customer, orders.o_custkey == customer.c_custkey)
             .join(nation, customer.c_nationkey == nation.n_nationkey)
             .select(
@@ -67,7 +56,6 @@ class Tables:
                 (F.col("c_mktsegment") == "MACHINERY").alias("b2b"),
             )
         )
-        return broadcast_if_small(joined, counted=orders)
 
     def sales_from(self, lineitem: DataFrame) -> DataFrame:
         """Canonical sales rows for a batch or a stream of line items."""
@@ -139,6 +127,3 @@ class Tables:
             F.when(key == 0, "Amount").otherwise(balance).alias("expense_amount"),
         )
 
-
-# Order columns that make sales rows unique; used wherever ties must be broken.
-SALES_TIEBREAK = ["order_id", "line_no", "sku", "supp"]

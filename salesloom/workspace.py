@@ -7,10 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast only after a count showed it holds at most this many rows.
-BROADCAST_ROWS = 200_000
 
 _local_dirs: dict[str, str] = {}
 
@@ -68,18 +64,5 @@ def drop_staged(spark: SparkSession) -> None:
     delete_path(spark, run_dir(spark))
 
 
-def broadcast_if_small(
-    df: DataFrame, max_rows: int = BROADCAST_ROWS, counted: DataFrame | None = None
-) -> DataFrame:
-    """Hint a broadcast when ``df`` is counted and found small; else leave it be.
-
-    Beyond the bound Spark joins by shuffle, with adaptive skew splitting. The
-    count is a sum of one number per task. Where ``df`` is known to have no more
-    rows than a table that is cheaper to count, that table is given as ``counted``.
-    """
-    rows = (df if counted is None else counted).count()
-    return F.broadcast(df) if rows <= max_rows else df
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -157,5 +157,5 @@ def test_p_values(spark):
 
 
 def test_baseline_features_are_complete(tables):
-    fe = features.baseline_features(tables.sales)
+    fe = features.baseline_features(tables.sales, ["order_id", "line_no"])
     assert fe.dropna().count() == tables.sales.count()

@@ -1,4 +1,4 @@
-"""Shared folder, written tables and checked broadcasts."""
+"""Shared folder and written tables."""
 
 import os
 
@@ -23,13 +23,19 @@ def test_shared_folder_of_the_session_wins(spark):
     assert workspace.new_path(spark, "x") != workspace.new_path(spark, "x")
 
 
-def test_broadcast_only_up_to_the_bound(spark):
-    plain = workspace.broadcast_if_small(spark.range(11), max_rows=10)
-    hinted = workspace.broadcast_if_small(spark.range(10), max_rows=10)
-    assert "broadcast" not in plain._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" in hinted._jdf.queryExecution().logical().toString().lower()
-    other = workspace.broadcast_if_small(spark.range(10), max_rows=10, counted=spark.range(11))
-    assert "broadcast" not in other._jdf.queryExecution().logical().toString().lower()
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master, applicationId = "local-cluster[2,1,1024]", "app"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": lambda self, key, default=None: None})()
+
+    with pytest.raises(RuntimeError):
+        workspace.shared_dir(Session())
 
 
 def test_drop_staged(spark, tmp_path, monkeypatch):
