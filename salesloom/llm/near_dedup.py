@@ -6,12 +6,15 @@ agree in a band are candidates, and a link counts only after a comparison of the
 full shingle sets. With 16 bands of 4 coordinates a pair at the threshold of 0.85
 is missed with a chance below 1e-5, a closer pair with less.
 
-A bucket's members are never paired with each other all at once. Each round takes
-leads out of every bucket, outside its largest component, compares them with the
-members that are not yet in the lead's component, and merges what the comparison
-confirms. A bucket is done when its remaining members are in one component, so no
-link between components is ever skipped and a group of copies costs one comparison
-for each member. The number of leads doubles with each round.
+A bucket's members are never paired with each other all at once. Each round makes
+some of them leads, outside the bucket's largest component, and compares these with
+the members that are not yet in the lead's component. First come two cheap tests: set
+sizes that cannot reach the threshold, and a sketch of one bit of each of 1024 further
+coordinates, in which a pair at the threshold differs in more than the allowed places
+with a chance below 1e-5. Full sets decide on what is left, and confirmed links merge
+components. A bucket is done when its remaining members are in one component, so no
+link between components is skipped and a group of copies costs a few comparisons for
+each member. The number of leads grows from round to round.
 
 Defined results: a null or blank text has no shingles and is a group of its own
 (``component_id`` is its own id). Documents with equal shingle sets are one node,
@@ -23,6 +26,7 @@ empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +40,11 @@ from salesloom.workspace import stage
 RING = 1 << 20
 SEED = 20240607
 BANDS, ROWS = 16, 4
-# Leads that the first and the second round take out of a bucket at most.
-FIRST_LEADS, LEADS = 1, 16
+# Leads of a bucket in the first round, on average, and their growth by round.
+LEADS, GROWTH = 4, 16
+# Coordinates in the sketch (a multiple of 64), and how many standard deviations more
+# than expected at the threshold may differ.
+SKETCH, DEVIATIONS = 1024, 4.75
 
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -76,6 +83,18 @@ def band_keys(low: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return arrays.mix(total).view(np.int64)
 
 
+def sketch(shingle_set: np.ndarray, coordinates: int = SKETCH) -> np.ndarray:
+    """The lowest bit of each coordinate of a long signature, packed in 64-bit numbers."""
+    bits = (signature(shingle_set, coordinates) & 1).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
+
+
+def most_different(percent: int, coordinates: int = SKETCH) -> int:
+    """Differing bits that two sketches at the threshold may have."""
+    chance = (1 - percent / 100) / 2
+    return int(coordinates * chance + DEVIATIONS * math.sqrt(coordinates * chance * (1 - chance)))
+
+
 def set_key(shingle_set: np.ndarray) -> bytes:
     return hashlib.blake2b(shingle_set.tobytes(), digest_size=16).digest()
 
@@ -115,8 +134,10 @@ def _set_rows(size: int):
                 bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
+                short = pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), listed], names=["node", "shingles"]
+                    [part.column("node"), part.column("n_shingles"), short, listed],
+                    names=["node", "n_shingles", "sketch", "shingles"],
                 )
 
     return work
@@ -195,35 +216,31 @@ def _decided(
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    entries = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    entries = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stage(entries.join(shared.select("bucket"), "bucket"), "members")
     labels = stage(members.select("node", F.col("node").alias("label")).distinct(), "labels")
     wanted = nodes.join(labels.select("node"), "node").select(
-        "node", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")
+        "node",
+        "n_shingles",
+        F.col("one.doc_id").alias("one_id"),
+        F.col("one.text_hash").alias("one_hash"),
     )
     found = source.join(
         wanted,
         (source.text_hash == wanted.one_hash) & source.doc_id.eqNullSafe(wanted.one_id),
-    ).select("node", "text")
-    sets = stage(
-        found.mapInArrow(_set_rows(size), "node long, shingles array<long>").dropDuplicates(["node"]),
-        "sets",
-    )
-    leads = FIRST_LEADS
+    ).select("node", "n_shingles", "text")
+    kind = "node long, n_shingles long, sketch array<long>, shingles array<long>"
+    sets = stage(found.mapInArrow(_set_rows(size), kind).dropDuplicates(["node"]), "sets")
+    leads = LEADS
     while True:
-        live, pairs = _candidates(members, labels, percent, leads)
-        leads = max(LEADS, 2 * leads)
-        members = stage(live, "members")
-        if members.isEmpty():
+        opened = stage(_opened(members, labels, sets, leads), "open")
+        if opened.isEmpty():
             break
-        pairs = stage(pairs, "pairs")
-        compared = pairs.join(
-            sets.select(F.col("node").alias("x"), F.col("shingles").alias("xs")), "x"
-        ).join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("ys")), "y")
-        shared_runs = F.size(F.array_intersect("xs", "ys"))
-        union = F.size("xs") + F.size("ys") - shared_runs
-        links = stage(compared.where(shared_runs * 100 >= union * percent).select("x", "y"), "links")
+        pairs = stage(_pairs(opened, percent), "pairs")
+        members = opened.where("not lead").select("bucket", "node")
+        leads *= GROWTH
+        links = stage(_links(pairs, sets, percent), "links")
         if not links.isEmpty():
             labels = stage(_merged(labels, links), "labels")
     groups = nodes.select("set_key", "node", "low_id").join(labels, "node", "left")
@@ -253,41 +270,55 @@ def near_duplicates(
     return _decided(docs, key, text, percent, **options).drop("text_hash", "label")
 
 
-def _candidates(
-    members: DataFrame, labels: DataFrame, percent: int, leads: int
-) -> tuple[DataFrame, DataFrame]:
-    """What stays in the buckets after this round, and the pairs to compare in it."""
+def _opened(members: DataFrame, labels: DataFrame, sets: DataFrame, leads: int) -> DataFrame:
+    """Members of the buckets with more than one component, and which of them lead.
+
+    About ``leads`` members of each bucket lead, or all that are outside its largest
+    component; the choice is a hash of member and round.
+    """
     named = members.join(labels, "node")
     sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    open_buckets = (
+    buckets = (
         sizes.groupBy("bucket")
-        .agg(F.max(F.struct("n", "label")).alias("largest"), F.count("*").alias("labels"))
-        .where("labels > 1")
-        .select("bucket", F.col("largest.label").alias("main"))
-    )
-    named = stage(named.join(open_buckets, "bucket"), "open")
-    slot = F.pmod(F.xxhash64("node", F.lit(leads)), F.lit(leads)).alias("slot")
-    chosen = (
-        named.where("label <> main")
-        .groupBy("bucket", slot)
-        .agg(F.min(F.struct("node", "label", "n_shingles")).alias("lead"))
-        .select("bucket", "lead.*")
-        .toDF("bucket", "y", "y_label", "y_size")
-    )
-    chosen = stage(chosen, "leads")
-    fits = (
-        F.least("n_shingles", "y_size") * 100 >= F.greatest("n_shingles", "y_size") * percent
+        .agg(F.max(F.struct("n", "label")).alias("largest"), F.sum("n").alias("all"))
+        .where(F.col("all") > F.col("largest.n"))
+        .select(
+            "bucket",
+            F.col("largest.label").alias("main"),
+            F.ceil((F.col("all") - F.col("largest.n")) / leads).alias("share"),
+        )
     )
-    pairs = (
-        named.join(chosen, "bucket")
-        .where((F.col("label") != F.col("y_label")) & fits)
-        .select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y"))
-        .distinct()
+    chosen = F.pmod(F.xxhash64("node", F.lit(leads)), F.col("share")) == 0
+    lead = (F.col("label") != F.col("main")) & chosen
+    named = named.join(buckets, "bucket").select("bucket", "node", "label", lead.alias("lead"))
+    return named.join(sets.select("node", "n_shingles", "sketch"), "node")
+
+
+def _pairs(opened: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a lead and a member of another component that may be similar enough."""
+    side = opened.where("lead").select(
+        "bucket", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "n_shingles", "sketch")]
     )
-    live = named.join(
-        chosen.select("bucket", F.col("y").alias("node")), ["bucket", "node"], "left_anti"
-    ).select("bucket", "node", "n_shingles")
-    return live, pairs
+    smaller = F.least("n_shingles", "y_n_shingles")
+    larger = F.greatest("n_shingles", "y_n_shingles")
+    different = F.lit(0)
+    for i in range(SKETCH // 64):
+        different = different + F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("y_sketch")[i]))
+    near = (smaller * 100 >= larger * percent) & (different <= most_different(percent))
+    kept = opened.join(side, "bucket").where((F.col("label") != F.col("y_label")) & near)
+    return kept.select(
+        F.least("node", "y_node").alias("x"), F.greatest("node", "y_node").alias("y")
+    ).distinct()
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    compared = pairs.join(
+        sets.select(F.col("node").alias("x"), F.col("shingles").alias("xs")), "x"
+    ).join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("ys")), "y")
+    both = F.size(F.array_intersect("xs", "ys"))
+    union = F.size("xs") + F.size("ys") - both
+    return compared.where(both * 100 >= union * percent).select("x", "y")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:

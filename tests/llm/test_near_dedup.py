@@ -153,3 +153,18 @@ def test_signature_estimates_similarity(share):
         b = arrays.mix(np.arange(n - keep, 2 * n - keep, dtype=np.uint64) + np.uint64(trial * 10_000_000))
         agree.append((near_dedup.signature(a) == near_dedup.signature(b)).mean())
     assert abs(np.mean(agree) - share) < 0.03
+
+
+def test_sketch_keeps_pairs_at_the_threshold():
+    n, share = 400, 0.85
+    keep = int(2 * n * share / (1 + share)) + 1
+    limit, near, far = near_dedup.most_different(85), [], []
+    for trial in range(60):
+        shift = np.uint64(trial * 10_000_000)
+        a = arrays.mix(np.arange(n, dtype=np.uint64) + shift)
+        b = arrays.mix(np.arange(n - keep, 2 * n - keep, dtype=np.uint64) + shift)
+        c = arrays.mix(np.arange(n // 3, n + n // 3, dtype=np.uint64) + shift)
+        bits = [np.unpackbits(near_dedup.sketch(x).view(np.uint8)) for x in (a, b, c)]
+        near.append(int((bits[0] != bits[1]).sum()))
+        far.append(int((bits[0] != bits[2]).sum()))
+    assert max(near) <= limit < min(far)
