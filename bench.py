@@ -46,6 +46,7 @@ def main() -> None:
     from salesloom.plans import QUERIES, runnable
     from salesloom.session import local_session
     from salesloom.sources.canonical import Tables
+    from salesloom.workspace import drop_staged
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
@@ -69,6 +70,7 @@ def main() -> None:
             }
         )
     )
+    drop_staged(spark)
     spark.stop()
 
 

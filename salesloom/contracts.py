@@ -25,6 +25,12 @@ LEDGER_COLUMNS = [
     "index", "Income_Particular", "Income_Amount", "Expense_Particular", "Expense_Amount",
 ]
 
+# Columns that a table cannot do without.
+REQUIRED = {
+    "sales": ["order_id", "date", "status", "amount"],
+    "inventory": ["sku_code", "stock"],
+}
+
 # Target type per canonical column; columns not listed stay text.
 TYPES = {
     "sales": {

@@ -52,6 +52,12 @@ def headline(sales: DataFrame) -> DataFrame:
     )
 
 
+def cancellation_rate_rows(sales: DataFrame) -> DataFrame:
+    """Share of cancelled rows: one aggregate, no shuffle of rows."""
+    hit = F.count(F.when(is_cancelled(F.col("status")), 1))
+    return sales.agg(_ratio0(hit, F.count("*")).alias("cancellation_rate_rows"))
+
+
 def total_revenue(sales: DataFrame) -> DataFrame:
     return sales.agg(sum0(F.col("amount")).alias("total_revenue"))
 
@@ -221,6 +227,7 @@ def executive_summary(sales: DataFrame, expenses: DataFrame) -> DataFrame:
     cost = ledger_totals(expenses).select("total_expense").scalar()
     wide = headline(sales).withColumn("total_expense", cost)
     gain = F.col("total_revenue") - F.col("total_expense")
+    # The names of the report's figures.
     figures = {
         "Total Revenue": F.col("total_revenue"),
         "Total Orders": F.col("total_orders"),

@@ -40,6 +40,7 @@ GRIDS = {
 }
 MODEL_NAMES = list(GRIDS)
 DEEPEST = 30
+MOST_CLASSES = 2
 
 
 def random_rows(df: DataFrame, keys: list[str], n: int, seed: int = SEED) -> DataFrame:
@@ -78,7 +79,10 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
-    weights = {r[label]: r["weight"] for r in class_weights(df, label).collect()}
+    found = class_weights(df, label).limit(MOST_CLASSES + 1).collect()
+    if len(found) > MOST_CLASSES:
+        raise ValueError(f"{label} has more than {MOST_CLASSES} classes")
+    weights = {r[label]: r["weight"] for r in found}
     return df.withColumn("weight", lookup(F.col(label), weights, 1.0))
 
 
@@ -112,7 +116,9 @@ def param_grid(name: str) -> list[dict]:
 
 
 def with_score(predicted: DataFrame) -> DataFrame:
-    return predicted.withColumn("score", vector_to_array("probability")[1])
+    """Probability of class 1; a model that saw one class only has none, so 0."""
+    chance = F.get(vector_to_array("probability"), F.lit(1))
+    return predicted.withColumn("score", F.coalesce(chance, F.lit(0.0)))
 
 
 @dataclass

@@ -9,7 +9,7 @@ from salesloom.operators import features, rfm, segments, stats_tests
 from salesloom.operators.training import random_rows
 from salesloom.plans.kpi_queries import rounded
 from salesloom.plans.registry import query
-from salesloom.workspace import stage
+from salesloom.workspace import remembered, stage
 
 KEY = ["order_id", "line_no", "sku", "supp"]
 KEYS = ", ".join(KEY)
@@ -304,15 +304,12 @@ def _(t):
     return rounded(rfm.segment_revenue_share(_segmented(t)), 2, "revenue")
 
 
-# One k-means fit per application and data directory serves both queries.
-_fitted: dict[tuple[str, str], segments.Segmentation] = {}
-
-
 def _kmeans(t):
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
-    if key not in _fitted:
-        _fitted[key] = segments.segment_customers(rfm.compute_rfm(t.sales))
-    return _fitted[key].rows
+    """One k-means fit per application and data directory serves both queries."""
+    fit = remembered(
+        t.spark, ("kmeans", t.sf_dir), lambda: segments.segment_customers(rfm.compute_rfm(t.sales))
+    )
+    return fit.rows
 
 
 @query("ml21_kmeans_segments")

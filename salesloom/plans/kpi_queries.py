@@ -66,7 +66,7 @@ def _(t):
 )
 def _(t):
     return rounded(
-        kpis.headline(t.sales).select("cancellation_rate_rows"), 9, "cancellation_rate_rows"
+        kpis.cancellation_rate_rows(t.sales), 9, "cancellation_rate_rows"
     )
 
 

@@ -21,7 +21,7 @@ from salesloom.operators.cleaning import text_categories
 from salesloom.plans.customer_queries import FEATURES, KEY, KEYS
 from salesloom.plans.kpi_queries import rounded
 from salesloom.plans.registry import query
-from salesloom.workspace import new_path, stage
+from salesloom.workspace import new_path, remembered, stage
 
 _INPUT = [
     *KEY, "category", "date", "qty", "amount", "fulfilment", "ship_service_level", "b2b",
@@ -254,18 +254,16 @@ def split_input(t):
     return training.train_test_split(rows, KEY, "label")
 
 
-# One comparison per application and data directory serves the queries on its models.
-_compared: dict[tuple[str, str], list] = {}
-
-
 def compared(t):
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
-    if key not in _compared:
+    """One comparison per application and data directory serves the queries on its models."""
+
+    def make():
         train, test = split_input(t)
-        _compared[key] = training.compare_models(
+        return training.compare_models(
             train, test, KEY, grid=False, settings={"Random Forest": {"max_depth": 10}}
         )
-    return _compared[key]
+
+    return remembered(t.spark, ("compared", t.sf_dir), make)
 
 
 def _metrics_of(t, name: str):
@@ -372,13 +370,9 @@ def _(t):
     return banded.groupBy("risk_level").agg(F.count("*").alias("n"))
 
 
-# One saved model per application and data directory serves the scoring queries.
-_saved: dict[tuple[str, str], str] = {}
-
-
 def saved_bundle(t):
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
-    path = _saved.setdefault(key, new_path(t.spark, "bundle"))
+    """One saved model per application and data directory serves the scoring queries."""
+    path = remembered(t.spark, ("bundle", t.sf_dir), lambda: new_path(t.spark, "bundle"))
     return reports.cancellation_model(
         t.spark, path, t.sales.select(_INPUT), names=["Logistic Regression"], grid=False
     )

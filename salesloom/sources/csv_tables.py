@@ -7,23 +7,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesloom.contracts import JUNK_COLUMNS, LEDGER_COLUMNS, MISSING_TOKENS, TYPES
+from salesloom.contracts import JUNK_COLUMNS, LEDGER_COLUMNS, MISSING_TOKENS, REQUIRED, TYPES
 from salesloom.operators import cleaning
 
 
 def read_text_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """All columns as text, missing-value tokens as NULL.
 
+    Every file of a folder must have the same header in the same order, else the
+    read fails: Spark compares each header with the first one. It cannot where the
+    header has blank names; the headers are then compared file by file beforehand.
     ``multiline`` is for free text with line breaks inside quotes. Such a file
     cannot be split, so it stays off for fact tables.
     """
-    df = (
-        spark.read.option("header", True)
-        .option("multiLine", multiline)
-        .option("encoding", "UTF-8")
-        .option("escape", '"')
-        .csv(path)
-    )
+    def read(source: str | list[str], **options) -> DataFrame:
+        reader = spark.read.options(header=True, multiLine=multiline, encoding="UTF-8", escape='"')
+        return reader.options(**options).csv(source)
+
+    df = read(path)
+    if any(c == f"_c{i}" for i, c in enumerate(df.columns)):
+        for file in df.inputFiles():
+            if read(file).columns != df.columns:
+                raise ValueError(f"{file} has other columns than the first file of {path}")
+    else:
+        df = read(path, enforceSchema=False)
     names = [
         f"Unnamed: {i}" if c == f"_c{i}" else c for i, c in enumerate(df.columns)
     ]
@@ -35,6 +42,13 @@ def _prepared(spark: SparkSession, path: str, table: str, multiline: bool = Fals
     return cleaning.drop_columns(df, JUNK_COLUMNS[table])
 
 
+def _required(df: DataFrame, table: str) -> DataFrame:
+    missing = [c for c in REQUIRED[table] if c not in df.columns]
+    if missing:
+        raise ValueError(f"{table} lacks the columns {', '.join(missing)}")
+    return df
+
+
 def clean_sales(df: DataFrame) -> DataFrame:
     """Text rows to clean sales.
 
@@ -42,7 +56,8 @@ def clean_sales(df: DataFrame) -> DataFrame:
     merged while they are still text, then types are set. An amount that is
     there but cannot be read stays in the table as NULL.
     """
-    df = cleaning.canonical_headers(df).dropna(subset=["amount"]).dropDuplicates()
+    df = _required(cleaning.canonical_headers(df), "sales")
+    df = df.dropna(subset=["amount"]).dropDuplicates()
     return cleaning.coerce(df, TYPES["sales"])
 
 
@@ -62,7 +77,7 @@ def load_expenses(spark: SparkSession, path: str, keep_index: bool = False) -> D
 
 
 def load_inventory(spark: SparkSession, path: str) -> DataFrame:
-    df = cleaning.canonical_headers(_prepared(spark, path, "inventory"))
+    df = _required(cleaning.canonical_headers(_prepared(spark, path, "inventory")), "inventory")
     return cleaning.coerce(df, TYPES["inventory"])
 
 

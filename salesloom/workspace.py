@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_remembered: dict[tuple, Any] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,8 +62,22 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def remembered(spark: SparkSession, key: tuple, make: Callable[[], Any]) -> Any:
+    """The result of ``make``, made once per application and key until ``drop_staged``."""
+    whole = (spark.sparkContext.applicationId, *key)
+    if whole not in _remembered:
+        _remembered[whole] = make()
+    return _remembered[whole]
+
+
 def drop_staged(spark: SparkSession) -> None:
-    """Delete everything this application staged. Call it when results are written."""
+    """Delete everything this application staged. Call it when results are written.
+
+    What ``remembered`` holds goes, too, because it reads staged tables.
+    """
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _remembered if k[0] == app]:
+        del _remembered[key]
     delete_path(spark, run_dir(spark))
 
 

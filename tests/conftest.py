@@ -13,9 +13,11 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from salesloom.session import local_session
+    from salesloom.workspace import drop_staged
 
     session = local_session(8)
     yield session
+    drop_staged(session)
     session.stop()
 
 
