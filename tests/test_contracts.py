@@ -129,3 +129,33 @@ def test_many_classes_are_refused(spark):
     df = spark.createDataFrame([(float(i),) for i in range(10)], "label double")
     with pytest.raises(ValueError):
         training.with_class_weight(df)
+
+
+def test_from_a_csv_export_to_scores(spark, tmp_path):
+    """An export as it comes, without any column of the test tables."""
+    import salesloom as sl
+
+    lines = ["Order ID,Date,Status,Fulfilment,ship-service-level,Style,SKU,Category,Size,Qty,currency,Amount,"
+             "ship-state,ship-postal-code,promotion-ids,B2B"]
+    for i in range(120):
+        status = "Cancelled" if i % 3 == 0 else "Shipped"
+        side = ("Amazon", "Expedited") if i % 2 else ("Merchant", "Standard")
+        lines.append(
+            f"o{i},2022-{i % 9 + 1:02d}-{i % 27 + 1:02d},{status},{side[0]},{side[1]},ST{i % 4},S{i % 7},"
+            f"C{i % 3},M,{i % 4 + 1},INR,{100 + i * (2 if i % 3 else 1)},MH,400001,{'P' if i % 5 else ''},False"
+        )
+    (tmp_path / "sales.csv").write_text("\n".join(lines) + "\n")
+    sales = sl.load_and_clean(spark, {"sales": str(tmp_path / "sales.csv")})["sales"]
+    fe = sl.engineer_features(sales)
+    assert fe.count() == 120 and fe.where("revenue_7d_ma is null").count() == 0
+    model = sl.cancellation_model(
+        spark, str(tmp_path / "model"), sales, names=["Logistic Regression"], grid=False
+    )
+    requests = sales.select(
+        "order_id", F.month("date").alias("month"), "qty", "amount", F.lit(False).alias("is_weekend"),
+        F.col("promotion_ids").isNotNull().alias("has_promotion"), "fulfilment",
+        F.col("ship_service_level").alias("service_level"), "b2b", "category",
+    )
+    scores = sl.score_requests(requests, model, ["order_id"]).collect()
+    assert len(scores) == 120 and scores[0].features_used == model.features
+    assert all(0 <= r.cancellation_probability <= 1 for r in scores)
