@@ -27,7 +27,7 @@ LEDGER_COLUMNS = [
 
 # Columns that a table cannot do without.
 REQUIRED = {
-    "sales": ["order_id", "date", "status", "amount"],
+    "sales": ["order_id", "date", "amount"],
     "inventory": ["sku_code", "stock"],
 }
 
