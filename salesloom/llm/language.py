@@ -43,7 +43,9 @@ SAMPLE_ROWS = 4000
 MARGIN = 2.0
 LONG = 400
 LEAST_SPREAD = 0.5
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+# Rows of counts that a task holds before it adds them up, and before it passes them on.
+HELD_ROWS = 1_000_000
 SPACE = 32
 
 _letters: list[np.ndarray] = []
@@ -132,10 +134,10 @@ def _count(order: int):
                         )
                         held.append((k + 1, int(lang), *rows))
                         size += len(rows[0])
-                if size > 2_000_000:
+                if size > HELD_ROWS:
                     held = _folded(held)
                     size = sum(len(h[2]) for h in held)
-                    if size > 1_000_000:
+                    if size > HELD_ROWS // 2:
                         yield from _rows(held, names)
                         held, size = [], 0
         yield from _rows(_folded(held), names)
@@ -260,15 +262,20 @@ def _by_text(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _summed_at(places: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Column sums of ``values`` by place."""
+    return np.stack([np.bincount(places, column, minlength=size) for column in values.T], axis=1)
+
+
 def estimate(counted: pa.Table, order: int = ORDER) -> Model:
     """Interpolated Kneser-Ney estimates from summed n-gram counts."""
-    langs = sorted(set(counted.column("lang").to_pylist()))
+    coded = counted.column("lang").combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    langs = sorted(names)
     model = Model(langs, order)
     if not langs:
         return model
     place = {x: i for i, x in enumerate(langs)}
-    coded = counted.column("lang").combine_chunks().dictionary_encode()
-    names = coded.dictionary.to_pylist()
     lang = np.array([place[x] for x in names])[coded.indices.to_numpy(zero_copy_only=False)]
     column = {c: counted.column(c).to_numpy() for c in ("order", "key", "context", "suffix", "n")}
     raw, context, suffix = [], [], []
@@ -276,7 +283,7 @@ def estimate(counted: pa.Table, order: int = ORDER) -> Model:
         use = column["order"] == k
         keys, first, inverse = np.unique(column["key"][use], return_index=True, return_inverse=True)
         counts = np.zeros((len(keys), len(langs)))
-        np.add.at(counts, (inverse, lang[use]), column["n"][use])
+        counts[inverse, lang[use]] = column["n"][use]
         model.keys.append(keys)
         raw.append(counts)
         below = model.keys[k - 2] if k > 1 else None
@@ -286,8 +293,7 @@ def estimate(counted: pa.Table, order: int = ORDER) -> Model:
     for k in range(1, order + 1):
         counts = raw[k - 1]
         if k < order:  # in how many ways an n-gram continues something; a word's start does not
-            kinds = np.zeros_like(counts)
-            np.add.at(kinds, suffix[k], raw[k] > 0)
+            kinds = _summed_at(suffix[k], raw[k] > 0, len(counts))
             counts = np.where(kinds > 0, kinds, counts)
         ones, twos = (counts == 1).sum(axis=0), (counts == 2).sum(axis=0)
         discount = np.where(ones > 0, ones / np.maximum(ones + 2 * twos, 1), 0.5)
@@ -299,16 +305,15 @@ def estimate(counted: pa.Table, order: int = ORDER) -> Model:
             p = np.maximum(counts - discount, 0) / np.maximum(total, 1) + unseen
             model.unseen = np.log(unseen)
         else:
-            shape = (len(model.keys[k - 2]), len(langs))
-            total, kinds = np.zeros(shape), np.zeros(shape)
-            np.add.at(total, context[k - 1], counts)
-            np.add.at(kinds, context[k - 1], counts > 0)
+            below = len(model.keys[k - 2])
+            total = _summed_at(context[k - 1], counts, below)
+            kinds = _summed_at(context[k - 1], counts > 0, below)
             rest = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
             held = np.maximum(counts - discount, 0) / np.maximum(total, 1)[context[k - 1]]
             p = held + rest[context[k - 1]] * lower[suffix[k - 1]]
-            model.weight.append(np.log(rest))
-        model.logp.append(np.log(p))
-        lower = p
+            model.weight.append(np.log(rest).astype(np.float32))
+        model.logp.append(np.log(p).astype(np.float32))
+        raw[k - 1], lower = None, p
     return model
 
 
