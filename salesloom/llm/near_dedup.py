@@ -136,8 +136,8 @@ def _set_rows(size: int):
                 listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
                 short = pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), part.column("n_shingles"), short, listed],
-                    names=["node", "n_shingles", "sketch", "shingles"],
+                    [*(part.column(c) for c in ("node", "n_shingles", "bands")), short, listed],
+                    names=["node", "n_shingles", "bands", "sketch", "shingles"],
                 )
 
     return work
@@ -216,29 +216,30 @@ def _decided(
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    entries = nodes.select("node", F.explode("bands").alias("bucket"))
+    entries = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stage(entries.join(shared.select("bucket"), "bucket"), "members")
     labels = stage(members.select("node", F.col("node").alias("label")).distinct(), "labels")
     wanted = nodes.join(labels.select("node"), "node").select(
         "node",
         "n_shingles",
+        "bands",
         F.col("one.doc_id").alias("one_id"),
         F.col("one.text_hash").alias("one_hash"),
     )
     found = source.join(
         wanted,
         (source.text_hash == wanted.one_hash) & source.doc_id.eqNullSafe(wanted.one_id),
-    ).select("node", "n_shingles", "text")
-    kind = "node long, n_shingles long, sketch array<long>, shingles array<long>"
+    ).select("node", "n_shingles", "bands", "text")
+    kind = "node long, n_shingles long, bands array<long>, sketch array<long>, shingles array<long>"
     sets = stage(found.mapInArrow(_set_rows(size), kind).dropDuplicates(["node"]), "sets")
     leads = LEADS
     while True:
         opened = stage(_opened(members, labels, sets, leads), "open")
         if opened.isEmpty():
             break
-        pairs = stage(_pairs(opened, percent), "pairs")
-        members = opened.where("not lead").select("bucket", "node")
+        pairs = stage(_pairs(opened, percent, bands), "pairs")
+        members = opened.where("not lead").select("band", "bucket", "node")
         leads *= GROWTH
         links = stage(_links(pairs, sets, percent), "links")
         if not links.isEmpty():
@@ -290,22 +291,28 @@ def _opened(members: DataFrame, labels: DataFrame, sets: DataFrame, leads: int)
     )
     chosen = F.pmod(F.xxhash64("node", F.lit(leads)), F.col("share")) == 0
     lead = (F.col("label") != F.col("main")) & chosen
-    named = named.join(buckets, "bucket").select("bucket", "node", "label", lead.alias("lead"))
-    return named.join(sets.select("node", "n_shingles", "sketch"), "node")
+    named = named.join(buckets, "bucket")
+    named = named.select("band", "bucket", "node", "label", lead.alias("lead"))
+    return named.join(sets.select("node", "n_shingles", "bands", "sketch"), "node")
 
 
-def _pairs(opened: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a lead and a member of another component that may be similar enough."""
-    side = opened.where("lead").select(
-        "bucket", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "n_shingles", "sketch")]
-    )
+def _pairs(opened: DataFrame, percent: int, bands: int) -> DataFrame:
+    """Pairs of a lead and a member of another component that may be similar enough.
+
+    A pair counts in the first band that its two nodes share. Each bucket by itself
+    compares all pairs of its components, so the others need not.
+    """
+    columns = ("node", "label", "n_shingles", "bands", "sketch")
+    side = opened.where("lead").select("bucket", *[F.col(c).alias(f"y_{c}") for c in columns])
     smaller = F.least("n_shingles", "y_n_shingles")
     larger = F.greatest("n_shingles", "y_n_shingles")
     different = F.lit(0)
     for i in range(SKETCH // 64):
         different = different + F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("y_sketch")[i]))
     near = (smaller * 100 >= larger * percent) & (different <= most_different(percent))
-    kept = opened.join(side, "bucket").where((F.col("label") != F.col("y_label")) & near)
+    shared = [F.when(F.col("bands")[i] == F.col("y_bands")[i], F.lit(i)) for i in range(bands)]
+    once = F.col("band") == F.coalesce(*shared)
+    kept = opened.join(side, "bucket").where((F.col("label") != F.col("y_label")) & near & once)
     return kept.select(
         F.least("node", "y_node").alias("x"), F.greatest("node", "y_node").alias("y")
     ).distinct()
