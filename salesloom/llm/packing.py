@@ -41,23 +41,20 @@ def offered_cuts(
     bounds: np.ndarray, sentence_ends: np.ndarray, stride: int = STRIDE
 ) -> tuple[np.ndarray, np.ndarray]:
     """Places where the stream may be cut, in order, and what a cut there costs."""
-    documents = np.unique(bounds[bounds > 0])
-    sentences = np.setdiff1d(sentence_ends, documents)
-    places = np.union1d(documents, sentences)
-    gaps = np.diff(places, prepend=0)
-    long = np.flatnonzero(gaps > stride)
-    more = [np.arange(places[i] - gaps[i] + stride, places[i], stride) for i in long]
-    hard = np.concatenate(more) if more else np.zeros(0, dtype=np.int64)
-    every = np.concatenate([documents, sentences, hard])
-    costs = np.concatenate(
-        [
-            np.zeros(len(documents), dtype=np.int64),
-            np.full(len(sentences), SENTENCE_COST),
-            np.full(len(hard), TOKEN_COST),
-        ]
-    )
+    documents = bounds[1:]
+    places = np.concatenate([documents, sentence_ends])
+    costs = np.repeat([0, SENTENCE_COST], [len(documents), len(sentence_ends)])
+    order = np.lexsort((costs, places))
+    places, costs = places[order], costs[order]
+    first = np.concatenate([[True], places[1:] > places[:-1]])
+    places, costs = places[first], costs[first]
+    begins = np.concatenate([[0], places[:-1]])
+    more = (places - begins - 1) // stride
+    number = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+    hard = np.repeat(begins, more) + number * stride
+    every = np.concatenate([places, hard])
     order = np.argsort(every, kind="stable")
-    return every[order], costs[order]
+    return every[order], np.concatenate([costs, np.full(len(hard), TOKEN_COST)])[order]
 
 
 def end_cost(rest: int, window: int = WINDOW) -> int:

@@ -2,14 +2,15 @@
 
 Such a tokenizer never joins characters across a blank, so a text's ids are those of
 its words one after the other, and it lower-cases, so A to Z may be lowered before.
-Each distinct word is encoded once and remembered; beyond ``REMEMBERED`` words the
-memory is emptied. Strings of special
+Each distinct word is put together once from its body and closing signs, which are
+encoded once, and remembered; beyond ``REMEMBERED`` entries a memory is emptied. Strings of special
 tokens in a text are ordinary text, so special ids never come out of a text.
 """
 
 from __future__ import annotations
 
-from itertools import chain
+import os
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -18,13 +19,46 @@ from tokenizers import Tokenizer
 
 from salesloom.llm import arrays
 
+# A task has one core; threads of its own would only get in the way of other tasks.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 WORD_TOKENIZER = "word_bpe_49k.json"
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _encoders: dict[str, WordEncoder] = {}
 
 
+class _Pool:
+    """Names with a stretch of ids each."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(0, dtype=np.uint32)
+        self.begin = np.zeros(0, dtype=np.int64)
+        self.size = np.zeros(0, dtype=np.int64)
+
+    def add(self, names: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        at = len(self.known)
+        self.known.update(zip(names, range(at, at + len(names)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def places(self, names: list[str]) -> np.ndarray:
+        """Places of the names, -1 for unknown ones."""
+        found = map(self.known.get, names, repeat(-1))
+        return np.fromiter(found, dtype=np.int64, count=len(names))
+
+    def taken(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at the places one after the other, and where each place's ids end."""
+        size = self.size[places]
+        ends = np.cumsum(size)
+        source = np.repeat(self.begin[places] - ends + size, size)
+        source += np.arange(len(source))
+        return self.ids[source], ends
+
+
 class WordEncoder:
     def __init__(self, name: str):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
@@ -32,44 +66,45 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        """The memory: pieces by name, the stretch of ids of each, whether it closes a sentence."""
-        self.known: dict[str, int] = {"": 0}
-        self.ids = np.zeros(0, dtype=np.uint32)
-        self.begin = np.zeros(1, dtype=np.int64)
-        self.size = np.zeros(1, dtype=np.int64)
-        self.closes = np.zeros(1, dtype=bool)
-
-    def _learn(self, names: list[str], found: list[list[int]]) -> None:
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=size.sum())
-        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
-        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, flat])
-        closes = np.fromiter((w[-1] in ".!?" for w in names), dtype=bool, count=len(names))
-        self.closes = np.concatenate([self.closes, closes])
+        """The memory: whole words, whether they close a sentence, and their pieces."""
+        self._forget_words()
+        self.pieces = _Pool()
+        self.pieces.add([""], np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64))
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """For each distinct word the places of its body and of the signs that end it.
+    def _forget_words(self) -> None:
+        self.words = _Pool()
+        self.closes = np.zeros(0, dtype=bool)
 
-        After a letter or digit, a run of other signs is encoded by itself.
-        """
+    def _learn(self, words: list[str]) -> None:
+        """Add words. After a letter or digit, a run of other signs is encoded by itself."""
         bare = [w.rstrip(SIGNS) for w in words]
         bodies = [b if b and b[-1].isalnum() else w for b, w in zip(bare, words, strict=True)]
         signs = [w[len(b) :] for b, w in zip(bodies, words, strict=True)]
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        known = self.known
-        new = list(dict.fromkeys([x for x in chain(bodies, signs) if x not in known]))
+        new = list(dict.fromkeys(x for x in chain(bodies, signs) if x not in self.pieces.known))
         for a in range(0, len(new), 1000):
             part = new[a : a + 1000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self._learn(part, [e.ids for e in found])
-        get = known.__getitem__
-        both = np.empty((len(words), 2), dtype=np.int64)
-        both[:, 0] = np.fromiter(map(get, bodies), dtype=np.int64, count=len(words))
-        both[:, 1] = np.fromiter(map(get, signs), dtype=np.int64, count=len(words))
-        return both
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=size.sum())
+            self.pieces.add(part, flat, size)
+        both = np.stack([self.pieces.places(bodies), self.pieces.places(signs)], axis=1)
+        ids, ends = self.pieces.taken(both.ravel())
+        self.words.add(words, ids, np.diff(ends[1::2], prepend=0))
+        closes = np.fromiter((w[-1] in ".!?" for w in words), dtype=bool, count=len(words))
+        self.closes = np.concatenate([self.closes, closes])
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Places of the distinct words in the memory, after learning the new ones."""
+        if len(self.pieces.known) > REMEMBERED:
+            self._forget()
+        elif len(self.words.known) > REMEMBERED:
+            self._forget_words()
+        at = self.words.places(words)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(self.words.known) + np.arange(len(new))
+            self._learn([words[i] for i in new.tolist()])
+        return at
 
     def encode(
         self, texts: pa.Array, last: int | None = None
@@ -81,21 +116,17 @@ class WordEncoder:
         """
         flat, starts = arrays.words(texts, lower=True)
         coded = flat.dictionary_encode()
-        number = self._numbers(coded.dictionary.to_pylist())
-        number = number[coded.indices.to_numpy(zero_copy_only=False)].ravel()
-        starts = 2 * starts
+        at = self._places(coded.dictionary.to_pylist())
+        at = at[coded.indices.to_numpy(zero_copy_only=False)]
         if last is not None:
             name = f" {last}"  # no word holds a blank
-            if name not in self.known:
-                self._learn([name], [[last]])
-            number = np.insert(number, starts[1:], self.known[name])
+            if name not in self.words.known:
+                self.words.add([name], np.array([last], dtype=np.uint32), np.ones(1, dtype=np.int64))
+                self.closes = np.append(self.closes, False)
+            at = np.insert(at, starts[1:], self.words.known[name])
             starts = starts + np.arange(len(starts))
-        size = self.size[number]
-        ends = np.cumsum(size)
-        bounds = np.concatenate([[0], ends])[starts]
-        source = np.repeat(self.begin[number] - ends + size, size)
-        source += np.arange(len(source))
-        return self.ids[source], bounds, ends[self.closes[number]]
+        ids, ends = self.words.taken(at)
+        return ids, np.concatenate([[0], ends])[starts], ends[self.closes[at]]
 
 
 def encoder(name: str = WORD_TOKENIZER) -> WordEncoder:
