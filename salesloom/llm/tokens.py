@@ -3,8 +3,9 @@
 Such a tokenizer never joins characters across a blank, so a text's ids are those of
 its words one after the other, and it lower-cases, so A to Z may be lowered before.
 Each distinct word is put together once from its body and closing signs, which are
-encoded once, and remembered; beyond ``REMEMBERED`` entries a memory is emptied. Strings of special
-tokens in a text are ordinary text, so special ids never come out of a text.
+encoded once, and remembered; beyond ``REMEMBERED`` entries a memory is emptied.
+Strings of special tokens in a text are ordinary text, so special ids never come out
+of a text.
 """
 
 from __future__ import annotations
