@@ -324,7 +324,12 @@ def calibrate(model: Model, sample: pa.Table) -> Model:
     if not n or not sample.num_rows:
         return model
     truth = np.array([model.langs.index(x) for x in sample.column("lang").to_pylist()])
-    entropy, chars, _ = model.entropies(sample.column("text").combine_chunks())
+    parts = [
+        model.entropies(part.column("text"))[:2]
+        for batch in sample.to_batches()
+        for part in arrays.sliced(batch, "text", SLICE_BYTES // 4)
+    ]
+    entropy, chars = (np.concatenate(x) for x in zip(*parts, strict=True))
     truth, entropy, chars = truth[chars > 0], entropy[chars > 0], chars[chars > 0]
     if not len(truth):
         return model
