@@ -9,7 +9,7 @@ is missed with a chance below 1e-5, a closer pair with less.
 A bucket's members are never paired with each other all at once. Each round makes
 some of them leads, outside the bucket's largest component, and compares these with
 the members that are not yet in the lead's component. First come two cheap tests: set
-sizes that cannot reach the threshold, and a sketch of one bit of each of 1024 further
+sizes that cannot reach the threshold, and a sketch of one bit of each of 2048 further
 coordinates, in which a pair at the threshold differs in more than the allowed places
 with a chance below 1e-5. Full sets decide on what is left, and confirmed links merge
 components. A bucket is done when its remaining members are in one component, so no
@@ -44,7 +44,7 @@ BANDS, ROWS = 16, 4
 LEADS, GROWTH = 4, 16
 # Coordinates in the sketch (a multiple of 64), and how many standard deviations more
 # than expected at the threshold may differ.
-SKETCH, DEVIATIONS = 1024, 4.75
+SKETCH, DEVIATIONS = 2048, 4.75
 
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -68,8 +68,8 @@ def signature(shingle_set: np.ndarray, coordinates: int = BANDS * ROWS) -> np.nd
     """Circulant MinHash of a non-empty set of 64-bit shingle hashes."""
     scatter, shifted = permutations(coordinates)
     low = np.full(coordinates, RING, dtype=np.uint32)
-    for a in range(0, len(shingle_set), 4096):
-        places = scatter[(shingle_set[a : a + 4096] >> np.uint64(44)).astype(np.int64)]
+    for a in range(0, len(shingle_set), 1024):
+        places = scatter[(shingle_set[a : a + 1024] >> np.uint64(44)).astype(np.int64)]
         np.minimum(low, shifted[places].min(axis=0), out=low)
     return low
 
