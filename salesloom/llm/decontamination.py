@@ -18,8 +18,14 @@ The index is built by Spark over all items and used in shards of at most
 ``SHARD_WORDS`` words (or one longer item), each broadcast for one pass over the
 documents. Words are runs of characters other than white space, A to Z in lower case.
 
-Defined results: items with a null text or fewer than ``LEAST_WORDS`` words match
-nothing, nor do null or blank documents. Repeated rows and ids are answered row by
+With ``bare`` (the stage of the pipeline; the query follows its SQL twin) words lose the
+signs before their first and after their last letter, mark or digit, and words of signs
+only go. A part of fewer than ``FEW_WORDS`` words then also counts with the share of its
+words that stand in order beside a match of the other part, and an item of fewer than
+``LEAST_WORDS`` words is asked for as one phrase.
+
+Defined results: items with a null text or (without ``bare``) fewer than ``LEAST_WORDS``
+words match nothing, nor do null or blank documents. Repeated rows and ids are answered row by
 row, equal items each with their own id. Empty tables give empty results, or leave
 all documents. Other columns do not matter and may have any name.
 """
@@ -31,6 +37,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,38 +48,56 @@ from salesloom.workspace import stage
 ENTRY_WORDS, PASSAGE_WORDS = 32, 64
 SHARE, OVERLAP = 0.5, 0.8
 LEAST_WORDS, RUN = 5, 5
+FEW_WORDS = 10
+SIGNS = r"^[^\pL\pM\pN]+|[^\pL\pM\pN]+$"
 K1, B = 1.2, 0.75
 BLOCK = 8
 SHARD_WORDS = 1_000_000
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashes(texts: pa.Array, bare: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and where each text's words start."""
+    flat, starts = arrays.words(texts, lower=True)
+    if not bare:
+        return arrays.word_hashes(flat), starts
+    coded = flat.dictionary_encode()
+    own = pc.replace_substring_regex(coded.dictionary, SIGNS, "")
+    place = coded.indices.to_numpy(zero_copy_only=False)
+    real = (pc.binary_length(own).to_numpy(zero_copy_only=False) > 0)[place]
+    before = np.concatenate([[0], np.cumsum(real)])
+    return arrays.word_hashes(own)[place[real]], before[starts]
+
+
+def _entries(bare: bool):
     """Terms of the entries of each item: number within the item, length, frequencies."""
-    for batch in batches:
-        for part in arrays.sliced(batch, "text"):
-            flat, starts = arrays.words(part.column("text"), lower=True)
-            hashes = arrays.word_hashes(flat)
-            rows = []
-            for i, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
-                if b - a < LEAST_WORDS:
-                    continue
-                for n, own in enumerate(np.array_split(hashes[a:b], -(-(b - a) // ENTRY_WORDS))):
-                    terms, counts = np.unique(own, return_counts=True)
-                    rows.append((i, n, len(own), terms, counts))
-            sizes = [len(r[3]) for r in rows]
-            column = lambda k: np.repeat([r[k] for r in rows], sizes).astype(np.int64)
-            terms = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.uint64)
-            counts = np.concatenate([r[4] for r in rows]) if rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("item").take(pa.array(column(0))),
-                    pa.array(column(1)),
-                    pa.array(column(2)),
-                    pa.array(terms.view(np.int64)),
-                    pa.array(counts.astype(np.int64)),
-                ],
-                names=["item", "entry", "size", "term", "n"],
-            )
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in arrays.sliced(batch, "text"):
+                hashes, starts = _hashes(part.column("text"), bare)
+                rows = []
+                for i, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
+                    if b - a < (1 if bare else LEAST_WORDS):
+                        continue
+                    for n, own in enumerate(np.array_split(hashes[a:b], -(-(b - a) // ENTRY_WORDS))):
+                        terms, counts = np.unique(own, return_counts=True)
+                        rows.append((i, n, len(own), terms, counts))
+                sizes = [len(r[3]) for r in rows]
+                column = lambda k: np.repeat([r[k] for r in rows], sizes).astype(np.int64)
+                terms = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.uint64)
+                counts = np.concatenate([r[4] for r in rows]) if rows else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("item").take(pa.array(column(0))),
+                        pa.array(column(1)),
+                        pa.array(column(2)),
+                        pa.array(terms.view(np.int64)),
+                        pa.array(counts.astype(np.int64)),
+                    ],
+                    names=["item", "entry", "size", "term", "n"],
+                )
+
+    return work
 
 
 @dataclass
@@ -90,18 +115,26 @@ class Index:
     block: np.ndarray
     block_top: np.ndarray
     block_posting: np.ndarray  # first posting of each block row, n + 1 numbers
-    parts: list[list[tuple[int, np.ndarray]]] = field(default_factory=list)
+    # Of question and answer: run size, distinct runs, words; empty without words.
+    parts: list[list[tuple[int, np.ndarray, np.ndarray] | None]] = field(default_factory=list)
+    bare: bool = False
 
 
-def _runs_of(text: pa.Array) -> list[tuple[int, np.ndarray]]:
-    flat, starts = arrays.words(text, lower=True)
-    size = min(RUN, int(starts[-1]))
+def _part(words: np.ndarray) -> tuple[int, np.ndarray, np.ndarray] | None:
+    size = min(RUN, len(words))
     if not size:
-        return []
-    return [(size, np.unique(arrays.shingles(arrays.word_hashes(flat), starts, size)[0]))]
+        return None
+    return size, np.unique(arrays.shingles(words, np.array([0, len(words)]), size)[0]), words
+
 
+def _parts(text: str, bare: bool) -> list[tuple[int, np.ndarray, np.ndarray] | None]:
+    question, _, answer = text.partition("\n")
+    own = [_hashes(pa.array([t]), bare)[0] for t in (question, answer)]
+    whole = np.concatenate(own)
+    return [_part(w) for w in ((whole, whole[:0]) if len(whole) < LEAST_WORDS else own)]
 
-def build_index(items: pa.Table, postings: pa.Table) -> Index:
+
+def build_index(items: pa.Table, postings: pa.Table, bare: bool = False) -> Index:
     """``items``: item, item_id, text; ``postings``: item, entry, term, weight, own."""
     listed = items.column("item").to_pylist()
     number = {x: i for i, x in enumerate(listed)}
@@ -121,10 +154,7 @@ def build_index(items: pa.Table, postings: pa.Table) -> Index:
     new[1:] = (place[1:] != place[:-1]) | (block[1:] != block[:-1])
     first = np.flatnonzero(new)
     texts = items.column("text").to_pylist()
-    parts = []
-    for text in texts:
-        question, _, answer = text.partition("\n")
-        parts.append([p for t in (question, answer) for p in [_runs_of(pa.array([t]))]])
+    parts = [_parts(text, bare) for text in texts]
     reduced = np.maximum.reduceat if len(term) else (lambda x, _: x)
     return Index(
         items.column("item_id").to_pylist(),
@@ -139,6 +169,7 @@ def build_index(items: pa.Table, postings: pa.Table) -> Index:
         reduced(share, first),
         np.append(first, len(term)),
         parts,
+        bare,
     )
 
 
@@ -204,34 +235,71 @@ def retrieve(
     return [(t, i, s) for (t, i), s in sorted(best.items())]
 
 
+def _in_order(wanted: np.ndarray, have: np.ndarray) -> int:
+    """Length of the longest common subsequence."""
+    best = np.zeros(len(have) + 1, dtype=np.int64)
+    for word in wanted:
+        step = np.where(have == word, best[:-1] + 1, best[1:])
+        best[1:] = np.maximum.accumulate(step)
+    return int(best[-1])
+
+
+def _beside(words: np.ndarray, wanted: np.ndarray, other: tuple, at: np.ndarray, after: bool) -> float:
+    """Largest share of the wanted words in order, after or before a match of the other part.
+
+    ``at`` has the places of the other part's runs. A stretch is twice as long as the
+    wanted part, and longer by what may lack at the other part's end.
+    """
+    size, runs, own = other
+    reach = 2 * len(wanted) + len(own) - int(OVERLAP * len(own))
+    gap = np.diff(at) > size
+    if after:
+        begins = at[np.append(gap, True)] + size
+        ends = begins + reach
+    else:
+        ends = at[np.insert(gap, 0, True)]
+        begins = np.maximum(ends - reach, 0)
+    best = 0
+    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+        best = max(best, _in_order(wanted, words[a:b]))
+        if best == len(wanted):
+            break
+    return best / len(wanted)
+
+
 def _confirmed(index: Index, part: pa.RecordBatch, share: float, overlap: float) -> list[tuple]:
     """(row, item number, share, question overlap, answer overlap) of confirmed matches."""
-    flat, starts = arrays.words(part.column("text"), lower=True)
-    hashes = arrays.word_hashes(flat)
+    hashes, starts = _hashes(part.column("text"), index.bare)
     rows, runs = [], {}
     for row, item, score in retrieve(index, hashes, starts, share):
+        words = hashes[starts[row] : starts[row + 1]]
         shares = []
         for wanted in index.parts[item]:
-            if not wanted:
+            if wanted is None:
                 shares.append(None)
                 continue
-            size, own = wanted[0]
+            size, own, _ = wanted
             if (row, size) not in runs:
-                words = hashes[starts[row] : starts[row + 1]]
                 runs[(row, size)] = arrays.shingles(words, np.array([0, len(words)]), size)[0]
             shares.append(float(np.isin(own, runs[(row, size)]).mean()))
+        if index.bare and None not in shares and max(shares) >= overlap > min(shares):
+            low = int(shares[1] < overlap)
+            wanted, other = index.parts[item][low], index.parts[item][1 - low]
+            if len(wanted[2]) < FEW_WORDS:
+                at = np.flatnonzero(np.isin(runs[(row, other[0])], other[1]))
+                shares[low] = max(shares[low], _beside(words, wanted[2], other, at, bool(low)))
         if all(s is None or s >= overlap for s in shares):
             rows.append((row, item, score, *shares))
     return rows
 
 
-def _shards(items: DataFrame, item_id: str, text: str) -> Iterator[Index]:
+def _shards(items: DataFrame, item_id: str, text: str, bare: bool = False) -> Iterator[Index]:
     rows = items.select(
         F.col(item_id).alias("item_id"), F.col(text).alias("text"), F.lit(0).alias("zero")
     ).where("text is not null")
     rows = stage(rows.drop("zero").withColumn("item", F.monotonically_increasing_id()), "items")
     kind = "item long, entry long, size long, term long, n long"
-    terms = stage(rows.select("item", "text").mapInArrow(_entries, kind), "postings")
+    terms = stage(rows.select("item", "text").mapInArrow(_entries(bare), kind), "postings")
     entries = terms.select("item", "entry", "size").distinct()
     count, mean, words = entries.agg(F.count("*"), F.avg("size"), F.sum("size")).first()
     if not count:
@@ -250,7 +318,7 @@ def _shards(items: DataFrame, item_id: str, text: str) -> Iterator[Index]:
     for number in range(shards):
         postings = weighted.where(F.col("shard") == number).drop("shard")
         used = rows.join(postings.select("item").distinct(), "item")
-        yield build_index(used.toArrow(), postings.toArrow())
+        yield build_index(used.toArrow(), postings.toArrow(), bare)
 
 
 def matches(
@@ -262,6 +330,7 @@ def matches(
     item_text: str = "text",
     share: float = SHARE,
     overlap: float = OVERLAP,
+    bare: bool = False,
 ) -> DataFrame:
     """Confirmed matches: doc_id, item_id, share, question_overlap, answer_overlap.
 
@@ -292,7 +361,7 @@ def matches(
         return rows.mapInArrow(work, schema)
 
     found = None
-    for index in _shards(items, item_id, item_text):
+    for index in _shards(items, item_id, item_text, bare):
         one = searched(index)
         found = one if found is None else found.unionByName(one)
     return spark.createDataFrame([], schema) if found is None else found
@@ -306,9 +375,10 @@ def clean(
     item_text: str = "text",
     share: float = SHARE,
     overlap: float = OVERLAP,
+    bare: bool = False,
 ) -> DataFrame:
     """The documents that contain no test item, with all their columns. No shuffle."""
-    for index in _shards(items, item_id, item_text):
+    for index in _shards(items, item_id, item_text, bare):
         docs = _without(docs, index, text, share, overlap)
     return docs
 

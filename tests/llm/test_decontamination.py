@@ -155,3 +155,36 @@ def test_odd_and_empty(spark, odd_docs, documents, empty):
     else:
         assert dc.matches(odd_docs, items.limit(0)).count() == 0
         assert dc.clean(odd_docs.withColumn("item", F.lit(1)), items.limit(0)).count() == odd_docs.count()
+
+
+def test_bare_words(spark, docs_of):
+    """Signs on words, a short answer with a lost word, and items of few words."""
+    text = (
+        "Die. Ber enachver als lichgete erachein ßü schau. Keitein schge tzkeit bech erauung.\n"
+        "Erpfsch in ieungber keitau chbeheitä."
+    )
+    items = [text, "who wrote the famous long book about whales\nherman melville did so back then", "short\nphrase", None, " . "]
+    question = items[1].split("\n")[0]
+    texts = [
+        f"=== junk {text.replace(chr(10), ' ')}%%% junk",
+        f"{question} ... and later: herman melville did it back then.",
+        f"herman melville did it back then. {question}",
+        f"{question} {'x ' * 40} herman melville did it back then.",
+        f"{question} and herman wrote back",
+        "a short, phrase.",
+        "a phrase short",
+        ". ... !",
+        None,
+    ]
+    got = dc.matches(docs_of(texts), items_of(spark, items), bare=True).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (1, 1), (5, 2)}
+    left = dc.clean(docs_of(texts), items_of(spark, items), bare=True)
+    assert {r.doc_id for r in left.collect()} == set(range(9)) - {0, 1, 5}
+
+
+def test_document_262(spark):
+    """Item 11 word for word, with signs on its last word: the stage drops the document."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id = 262")
+    assert docs.count() == 1 and corpus_pipeline.drop_test_items(spark, docs, "/root/testdata/sf0.1").count() == 0
