@@ -6,8 +6,8 @@ documents. N-grams live in hash arrays sorted by key, one for each order, with a
 column for each language; a text takes the language with the lowest cross-entropy
 per character. Words are scored once for each distinct word of a slice.
 
-Size of a model: keys are folded to ``FOLD_BITS`` bits, so an order has at most
-2 ** FOLD_BITS rows, whatever the corpus. Two n-grams on one key share their counts.
+Size of a model: an n-gram's key is a hash of 64 bits, so an order has one row for each
+distinct n-gram. The tables grow with these, and go to the driver and to each task whole.
 
 The score is the probability of the chosen language, softmax(-sharpness * entropy),
 and ``rejected`` marks texts that fit no language: the entropy lies above its median
@@ -38,7 +38,6 @@ from salesloom.llm import arrays
 
 UNKNOWN = "und"
 ORDER = 5
-FOLD_BITS = 21
 SAMPLE_ROWS = 4000
 MARGIN = 2.0
 LONG = 400
@@ -85,17 +84,17 @@ def events(words: list[str], order: int = ORDER) -> Events:
     before = np.concatenate([[0], last[:-1]])
     event = np.flatnonzero(~space | np.concatenate([[False], ~space[:-1]]))
     n_letters = np.bincount(owner[~space], minlength=len(words))[: len(words)]
-    grams, shift = [arrays.mix(codes + np.uint64(1))], np.uint64(64 - FOLD_BITS)
+    grams = [arrays.mix(codes + np.uint64(1))]
     for _ in range(1, order):
         earlier = np.concatenate([np.zeros(1, np.uint64), grams[-1][:-1]])
         grams.append(arrays.mix(earlier * np.uint64(0x9E3779B97F4A7C15) + codes))
-    folded = [(g >> shift).astype(np.int32) for g in grams]
+    grams = [g.view(np.int64) for g in grams]
     keys, context, suffix = [], [], []
-    empty = np.zeros(len(event), dtype=np.int32)
+    empty = np.zeros(len(event), dtype=np.int64)
     for k in range(order):
-        keys.append(folded[k][event])
-        context.append(folded[k - 1][event - 1] if k else empty)
-        suffix.append(folded[k - 1][event] if k else empty)
+        keys.append(grams[k][event])
+        context.append(grams[k - 1][event - 1] if k else empty)
+        suffix.append(grams[k - 1][event] if k else empty)
     return Events(
         (owner[event] - space[event]).astype(np.int64),
         np.minimum(event - before[event] + 1, order),
@@ -160,7 +159,7 @@ def _folded(held: list) -> list:
     ]
 
 
-_COUNTED = "lang string, order int, key int, context int, suffix int, n long"
+_COUNTED = "lang string, order int, key long, context long, suffix long, n long"
 
 
 def _rows(held: list, names: dict[str, int]) -> Iterator[pa.RecordBatch]:

@@ -97,6 +97,23 @@ def test_probabilities_sum_to_one(spark):
     assert np.isfinite(sums).all() and (sums < 0).all() and (first < 0).all()
 
 
+def test_each_ngram_has_its_own_row(spark):
+    """As many rows as distinct n-grams, and as many n-grams on a context as it has."""
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(0x4E00 + c) for c in rng.integers(0, 3000, 8)) for _ in range(5000)]
+    df = spark.createDataFrame([(" ".join(words), "zh")], "text string, lang string")
+    counted = df.mapInArrow(language._count(5), language._COUNTED).toPandas()
+    want = defaultdict(set)
+    for word in words:
+        for context, char in grams(word, 5):
+            for k in range(len(context) + 1):
+                want[k + 1].add((*context[len(context) - k :], char))
+    for k in range(1, 6):
+        own = counted[counted["order"] == k]
+        assert own.key.nunique() == len(want[k])
+        assert own.context.nunique() == len({g[:-1] for g in want[k]})
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.train(docs.where(~language.held_out("doc_id")))
