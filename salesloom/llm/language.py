@@ -11,10 +11,12 @@ distinct n-gram. The tables grow with these, and go to the driver and to each ta
 
 The score is the probability of the chosen language, softmax(-sharpness * entropy),
 and ``rejected`` marks texts that fit no language: the entropy lies above its median
-by more than ``MARGIN`` times the largest distance seen in calibration. The distance
-allowed is one number for texts of ``LONG`` characters or more; for shorter ones it
-grows with the square root of what they lack. Sharpness and distances come from at
-most ``SAMPLE_ROWS`` labelled documents, a tenth at most, which counting leaves out.
+by more than ``MARGIN`` times the median distance from it in calibration, where texts
+that the models give to another language than their label do not count. A language with
+fewer than ``FEW_TEXTS`` such texts takes the median distance of all, if that is larger.
+The distance allowed is one number for texts of ``LONG`` characters or more; for shorter
+ones it grows with the square root of what they lack. Sharpness and distances come from
+at most ``SAMPLE_ROWS`` labelled documents, a tenth at most, which counting leaves out.
 
 Defined results: a null text and one without letters are ``und`` with score 0, and
 rejected; so is every text when there is nothing to learn from. Ties go to the first
@@ -39,7 +41,8 @@ from salesloom.llm import arrays
 UNKNOWN = "und"
 ORDER = 5
 SAMPLE_ROWS = 4000
-MARGIN = 2.0
+MARGIN = 40.0
+FEW_TEXTS = 20
 LONG = 400
 LEAST_SPREAD = 0.5
 SLICE_BYTES = 2 << 20
@@ -338,12 +341,18 @@ def calibrate(model: Model, sample: pa.Table) -> Model:
         chance = scaled[np.arange(len(truth)), truth] - np.log(np.exp(scaled).sum(axis=1))
         losses[float(sharpness)] = -np.maximum(chance, -20).mean()
     model.sharpness = min(losses, key=losses.get)
+    agreed = truth == entropy.argmin(axis=1)
+    distance = {}
     for j in range(n):
-        own = truth == j
+        own = agreed & (truth == j)
         if own.any():
             model.mean[j] = np.median(entropy[own, j])
-            beyond = (entropy[own, j] - model.mean[j]) * _weight(chars[own])
-            model.spread[j] = max(MARGIN * beyond.max(), LEAST_SPREAD)
+            distance[j] = np.abs(entropy[own, j] - model.mean[j]) * _weight(chars[own])
+    if distance:
+        common = np.median(np.concatenate(list(distance.values())))
+    for j, own in distance.items():
+        typical = np.median(own) if len(own) >= FEW_TEXTS else max(np.median(own), common)
+        model.spread[j] = max(MARGIN * typical, LEAST_SPREAD)
     return model
 
 

@@ -127,6 +127,38 @@ def test_held_out_accuracy(spark):
     assert all(r.rejected for r in language.identify(alien, model).collect())
 
 
+def test_bounds_with_wrong_and_mixed_labels():
+    """Mislabelled, mixed and foreign texts in the sample do not loosen a bound."""
+    rng = np.random.default_rng(7)
+    vocabulary = {
+        lang: ["".join(rng.choice(list(letters), 6)) for _ in range(300)]
+        for lang, letters in (("aa", "abcdefgh"), ("bb", "nopqrstu"))
+    }
+
+    def texts(lang, n):
+        return [" ".join(rng.choice(vocabulary[lang], 80)) for _ in range(n)]
+
+    learned = [(t, lang) for lang in vocabulary for t in texts(lang, 60)]
+    batch = pa.RecordBatch.from_pylist([{"text": t, "lang": lang} for t, lang in learned])
+    counted = pa.Table.from_batches(language._count(5)(iter([batch])))
+
+    def calibrated(rows):
+        sample = pa.Table.from_pylist([{"text": t, "lang": lang} for t, lang in rows])
+        return language.calibrate(language.estimate(counted), sample)
+
+    clean = [(t, lang) for lang in vocabulary for t in texts(lang, 60)]
+    mixed = [
+        f"{' '.join(a.split()[:48])} {' '.join(b.split()[:32])}"
+        for a, b in zip(texts("aa", 3), texts("bb", 3), strict=True)
+    ]
+    alien = ["zxyv kwvx vyzz jjkw " * 30]
+    planted = [(t, "aa") for t in [*texts("bb", 3), *mixed, *alien]]
+    model, other = calibrated(clean), calibrated(clean + planted)
+    assert np.allclose(model.spread, other.spread, rtol=0.2)
+    assert all(other.judged(pa.array(alien))[2])
+    assert not any(other.judged(pa.array([t for t, _ in clean]))[2])
+
+
 def test_odd_documents(odd_docs, documents):
     model = language.train(documents)
     rows = language.identify(odd_docs, model).collect()
