@@ -12,11 +12,12 @@ distinct n-gram. The tables grow with these, and go to the driver and to each ta
 The score is the probability of the chosen language, softmax(-sharpness * entropy),
 and ``rejected`` marks texts that fit no language: the entropy lies above its median
 by more than ``MARGIN`` times the median distance from it in calibration, where texts
-that the models give to another language than their label do not count. A language with
+that the models give to another language than their label do not count (unless all are). A language with
 fewer than ``FEW_TEXTS`` such texts takes the median distance of all, if that is larger.
 The distance allowed is one number for texts of ``LONG`` characters or more; for shorter
 ones it grows with the square root of what they lack. Sharpness and distances come from
-at most ``SAMPLE_ROWS`` labelled documents, a tenth at most, which counting leaves out.
+about ``SAMPLE_ROWS`` distinct labelled texts, a tenth at most, and a model without them;
+the model that is used counts them as well.
 
 Defined results: a null text and one without letters are ``und`` with score 0, and
 rejected; so is every text when there is nothing to learn from. Ties go to the first
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesloom.llm import arrays
+from salesloom.workspace import stage
 
 UNKNOWN = "und"
 ORDER = 5
@@ -285,7 +287,7 @@ def estimate(counted: pa.Table, order: int = ORDER) -> Model:
         use = column["order"] == k
         keys, first, inverse = np.unique(column["key"][use], return_index=True, return_inverse=True)
         counts = np.zeros((len(keys), len(langs)))
-        counts[inverse, lang[use]] = column["n"][use]
+        np.add.at(counts, (inverse, lang[use]), column["n"][use])
         model.keys.append(keys)
         raw.append(counts)
         below = model.keys[k - 2] if k > 1 else None
@@ -344,7 +346,8 @@ def calibrate(model: Model, sample: pa.Table) -> Model:
     agreed = truth == entropy.argmin(axis=1)
     distance = {}
     for j in range(n):
-        own = agreed & (truth == j)
+        own = truth == j
+        own = agreed & own if (agreed & own).any() else own
         if own.any():
             model.mean[j] = np.median(entropy[own, j])
             distance[j] = np.abs(entropy[own, j] - model.mean[j]) * _weight(chars[own])
@@ -359,18 +362,39 @@ def calibrate(model: Model, sample: pa.Table) -> Model:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER) -> Model:
     """Learn from all rows of ``docs`` that have a text and a language.
 
-    Counting is one pass with sums in the tasks and one small shuffle. Equal texts
-    are counted or set apart together.
+    Counting is one pass with sums in the tasks and one small shuffle. Calibration uses
+    distinct texts of each language and a model that has not counted them; then they are
+    counted, too. A language with two distinct texts or more sets one apart at least, one
+    with a single text none, so it has no bound.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = rows.where("text is not null and lang is not null")
-    share = min(0.1, SAMPLE_ROWS / max(rows.count(), 1))
-    apart = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))
-    counted = rows.where(~apart).mapInArrow(_count(order), _COUNTED).groupBy("lang", "order", "key")
-    counted = counted.agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("n").alias("n"))
-    model = estimate(counted.toArrow(), order)
-    sample = rows.where(apart & F.col("lang").isin(model.langs)).limit(SAMPLE_ROWS)
-    return calibrate(model, sample.toArrow())
+    rows = rows.where("text is not null and lang is not null").withColumn("hash", F.xxhash64("text"))
+    kinds = rows.groupBy("lang", "hash").agg(F.lit(1).alias("one")).groupBy("lang")
+    kinds = stage(kinds.agg(F.count("*").alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high")), "kinds")
+    total = kinds.agg(F.sum("n")).first()[0] or 1
+    share = min(0.1, SAMPLE_ROWS / total)
+    chosen = F.pmod("hash", F.lit(1 << 30)) < int(share * (1 << 30))
+    apart = ((F.col("hash") == F.col("low")) | chosen) & (F.col("hash") != F.col("high"))
+    rows = rows.join(F.broadcast(kinds), "lang").withColumn("apart", apart)
+
+    def counted(which: DataFrame) -> pa.Table:
+        found = which.select("text", "lang").mapInArrow(_count(order), _COUNTED)
+        found = found.groupBy("lang", "order", "key").agg(
+            F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("n").alias("n")
+        )
+        return found.toArrow()
+
+    most = counted(rows.where("not apart"))
+    model = estimate(most, order)
+    sample = rows.where(F.col("apart") & F.col("lang").isin(model.langs)).select("text", "lang")
+    model = calibrate(model, sample.distinct().toArrow())
+    whole = estimate(pa.concat_tables([most, counted(rows.where("apart"))]), order)
+    n = len(whole.langs)
+    whole.sharpness, whole.mean, whole.spread = model.sharpness, np.zeros(n), np.full(n, np.inf)
+    for j, name in enumerate(model.langs):
+        at = whole.langs.index(name)
+        whole.mean[at], whole.spread[at] = model.mean[j], model.spread[j]
+    return whole
 
 
 def held_out(key: str) -> Column:

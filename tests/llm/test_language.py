@@ -159,6 +159,23 @@ def test_bounds_with_wrong_and_mixed_labels():
     assert not any(other.judged(pa.array([t for t, _ in clean]))[2])
 
 
+def test_all_texts_are_counted(spark):
+    """A language with one text, or two, is learned, also if the hash sets the text apart."""
+    rng = np.random.default_rng(11)
+    names = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(200)]
+    texts = spark.createDataFrame([(f"{a} {b}",) for a, b in zip(names, names[1:], strict=False)], "text string")
+    low = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(0.1 * (1 << 30))
+    falls = [r.text for r in texts.where(low).collect()]
+    rows = [(r.text, "aa") for r in texts.collect()] + [(falls[0], "bb")] * 3 + [(t, "cc") for t in falls[1:3]]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = language.train(df)
+    assert model.langs == ["aa", "bb", "cc"]
+    want = df.mapInArrow(language._count(5), language._COUNTED).toPandas()
+    for k in range(1, 6):
+        assert set(model.keys[k - 1]) == set(want[want["order"] == k].key)
+    assert np.isfinite(model.spread[[0, 2]]).all()
+
+
 def test_odd_documents(odd_docs, documents):
     model = language.train(documents)
     rows = language.identify(odd_docs, model).collect()
