@@ -12,14 +12,17 @@ from salesloom.llm import (
     decontamination,
     extraction,
     language,
+    merkle,
     near_dedup,
+    nn_descent,
     packing,
     quality,
     secret_scan,
     sharding,
+    spelling,
     token_counts,
 )
-from salesloom.llm.sql import DECONTAMINATION, SECRETS
+from salesloom.llm.sql import DECONTAMINATION, MANIFEST, SECRETS, SPELLING
 from salesloom.workspace import delete_path, new_path, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +145,26 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of the packed files of all documents; the files stay in the shared folder."""
     return binary_packing.pack(table(spark, sf_dir, "documents"), new_path(spark, "packed"))
+
+
+QUERY_EVERY = 20
+
+
+@query("op11_nn_descent")
+def op11_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors whose id ``QUERY_EVERY`` divides, against all others."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = nn_descent.build(rows, "vec_id", "embedding")
+    asked = rows.where(F.col("vec_id") % QUERY_EVERY == 0)
+    found = nn_descent.search(index, asked, "vec_id", "embedding")
+    return found.withColumnRenamed("id", "vec_id")
+
+
+@query("op12_spelling", SPELLING)
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_manifest", MANIFEST)
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from salesloom.llm import secret_scan
+from salesloom.llm import merkle, secret_scan, spelling
 
 _LOWER = (
     f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
@@ -122,3 +122,122 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        coalesce(spans, '') AS spans
 FROM doc LEFT JOIN listed USING (n)
 """
+
+
+def _crc_table() -> list[int]:
+    """The 256 steps of the reflected CRC-32 polynomial."""
+    steps = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ 0xEDB88320 if value & 1 else value >> 1
+        steps.append(value)
+    return steps
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a text whose code points are below 2048."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: unicode(c))"
+    two = "[192 | (u >> 6), 128 | (u & 63)]"
+    codes = f"flatten(list_transform({codes}, lambda u: CASE WHEN u < 128 THEN [u] ELSE {two} END))"
+    steps = f"{_crc_table()}::BIGINT[]"
+    folded = (
+        f"list_reduce(list_transform({codes}, lambda b: b::BIGINT), "
+        f"lambda c, b: xor(c >> 8, ({steps})[(xor(c, b) & 255) + 1]), 4294967295::BIGINT)"
+    )
+    return f"xor({folded}, 4294967295::BIGINT)"
+
+
+# Pairs at one edit by another way: equal words after one place is blanked, or one letter goes.
+SPELLING = f"""
+WITH RECURSIVE run AS (
+  SELECT id, run, count(*) AS times FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+           unnest(regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'),
+                                     '[a-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE len(run) >= {spelling.LEAST_LENGTH} GROUP BY ALL),
+hashed AS (SELECT run, times, {_crc32("id || ':' || run")} AS h FROM run),
+occurrence AS (
+  SELECT CASE WHEN h % {spelling.DROP_EVERY} = 0
+              THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, times
+  FROM hashed),
+words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM occurrence
+  WHERE len(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(times) >= {spelling.LEAST_COUNT}),
+gone AS (
+  SELECT word, n, i, substr(word, 1, i - 1) AS low, substr(word, i + 1) AS high
+  FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM gone a JOIN gone b USING (i, low, high) WHERE a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM gone g JOIN words w ON w.word = g.low || g.high
+  UNION SELECT w.word, g.word, g.n FROM gone g JOIN words w ON w.word = g.low || g.high),
+best AS (
+  SELECT *, count(*) OVER (PARTITION BY word) AS n_near,
+         row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM near),
+formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near,
+         CASE WHEN near_n >= {spelling.RATIO} * w.n THEN near END AS form,
+         CASE WHEN near_n >= {spelling.RATIO} * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word AND b.place = 1),
+chain AS (
+  SELECT word, word AS reached, 0 AS depth FROM formed
+  UNION ALL SELECT c.word, f.form, c.depth + 1 FROM chain c JOIN formed f ON f.word = c.reached WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n
+FROM formed JOIN (SELECT word, arg_max(reached, depth) AS root FROM chain GROUP BY word) USING (word)
+"""
+
+
+def _written(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    columns = ["doc_id", "source", "lang", n_chars, "text"]
+    return "sha256(" + " || ".join(_written(c) for c in columns) + ")"
+
+
+# Trees level by level. A tree is named by k: that of a language, or -1 over the languages.
+MANIFEST = f"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS id, doc_id, {_leaf("n_chars")} AS leaf,
+         CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % {merkle.TAMPER_EVERY} = 0
+              THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS seen,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS k FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY k) AS total FROM doc),
+low AS (
+  SELECT k, 0 AS level, i, total, leaf AS digest FROM placed
+  UNION ALL
+  SELECT k, level + 1, i // 2, (total + 1) // 2, sha256(digest || coalesce(beside, ''))
+  FROM (SELECT *, lead(digest) OVER (PARTITION BY k, level ORDER BY i) AS beside FROM low WHERE total > 1)
+  WHERE i % 2 = 0),
+subroots AS (SELECT k, digest AS subroot FROM low WHERE total = 1),
+high AS (
+  SELECT -1 AS k, 0 AS level, k AS i, (SELECT count(*) FROM subroots) AS total, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT k, level + 1, i // 2, (total + 1) // 2, sha256(digest || coalesce(beside, ''))
+  FROM (SELECT *, lead(digest) OVER (PARTITION BY level ORDER BY i) AS beside FROM high WHERE total > 1)
+  WHERE i % 2 = 0),
+steps AS (
+  SELECT n.k, n.i, n.level, CASE WHEN n.i % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(s.digest, '') AS step
+  FROM (SELECT * FROM low WHERE total > 1 UNION ALL SELECT * FROM high WHERE total > 1) n
+  LEFT JOIN (SELECT * FROM low UNION ALL SELECT * FROM high) s
+    ON s.k = n.k AND s.level = n.level AND s.i = xor(n.i, 1)),
+up AS (
+  SELECT p.id, list(s.step ORDER BY s.level) AS path
+  FROM placed p JOIN steps s ON s.k = p.k AND s.i = p.i >> s.level GROUP BY p.id),
+crown AS (
+  SELECT r.k, list(s.step ORDER BY s.level) AS path
+  FROM subroots r JOIN steps s ON s.k = -1 AND s.i = r.k >> s.level GROUP BY r.k),
+whole AS (
+  SELECT p.doc_id, p.leaf, p.seen, subroot, (SELECT digest FROM high WHERE total = 1) AS root,
+         list_concat(coalesce(up.path, []), coalesce(crown.path, [])) AS path
+  FROM placed p JOIN subroots USING (k) LEFT JOIN up USING (id) LEFT JOIN crown ON crown.k = p.k),
+folded AS (
+  SELECT *, CASE WHEN len(path) = 0 THEN seen ELSE list_reduce(path, lambda a, s: sha256(
+    CASE WHEN s[1] = 'L' THEN s[2:] || a ELSE a || s[2:] END), seen) END AS folded_root FROM whole)
+SELECT doc_id, leaf, subroot, root,
+       sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM folded
+"""
