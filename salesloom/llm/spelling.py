@@ -45,19 +45,17 @@ def _lowered(run: Column) -> Column:
 
 def occurrences(docs: DataFrame, key: str, text: str, drop_every: int = DROP_EVERY) -> DataFrame:
     """(word): one row for each occurrence, with one letter of the chosen ones gone."""
-    runs = docs.select(
-        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("id"),
-        F.explode(F.regexp_extract_all(F.col(text), F.lit(RUNS), F.lit(0))).alias("run"),
+    whole = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    runs = F.transform(F.regexp_extract_all(F.col(text), F.lit(RUNS), F.lit(0)), _lowered)
+    # Runs and their hashes are columns before they are used several times.
+    hashed = F.transform(
+        runs, lambda run: F.struct(run.alias("run"), F.crc32(F.concat_ws(":", whole, run).cast("binary")).alias("h"))
     )
-    runs = runs.withColumn("run", _lowered(F.col("run")))
-    hashed = F.crc32(F.concat_ws(":", "id", "run").cast("binary"))
+    found = docs.select(F.inline(hashed).alias("run", "h"))
     at = (F.col("h") % F.length("run")).cast("int")
-    shorter = F.concat(
-        F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run"))
-    )
-    runs = runs.withColumn("h", hashed)
+    shorter = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
     word = F.when(F.col("h") % drop_every == 0, shorter).otherwise(F.col("run"))
-    return runs.select(word.alias("word")).where(F.length("word") >= LEAST_LENGTH)
+    return found.select(word.alias("word")).where(F.length("word") >= LEAST_LENGTH)
 
 
 def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
