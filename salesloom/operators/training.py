@@ -1,16 +1,23 @@
 """Splits, class weights, classifiers, grid search and model comparison.
 
 Rows are written once after preparation and every fit reads them from there;
-only class counts, metrics and importances reach the driver.
+only class counts, metrics and importances reach the driver. A comparison fits on a
+bounded, repeatable sample of the training rows and measures on all test rows. Its
+search is one written table with a score for every setting and fold, from which the
+best settings follow.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
+from py4j.protocol import Py4JError
 from pyspark import inheritable_thread_target
+from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -19,7 +26,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salesloom.functions.scalars import hash_fraction, lookup
@@ -30,6 +37,14 @@ from salesloom.workspace import shared_dir, stage
 SEED = 42
 FOLDS = 3
 
+# Labelled rows that the fits of a comparison share, and fits that run side by side.
+# A single fit of small data keeps few cores busy.
+SAMPLE_ROWS, PARALLELISM = 20_000, 8
+# Rows of a bounded sample in one partition: most of a small fit is the start of tasks.
+PARTITION_ROWS = 10_000
+# What a fit raises for settings or rows that it cannot work with.
+FIT_ERRORS = (PySparkException, Py4JError, ValueError)
+
 # The searched settings. A depth of None means "not limited"; the
 # deepest tree Spark grows has 30 levels. Such trees grow with the data and are
 # kept on the driver, so on large data give the forest a depth.
@@ -64,6 +79,25 @@ def train_test_split(
     return df.where(where >= test_share), df.where(where < test_share)
 
 
+def bounded_sample(
+    rows: DataFrame, keys: list[str], label: str = "label", most: int = SAMPLE_ROWS, seed: int = SEED
+) -> DataFrame:
+    """The rows with the smallest hashes of each label, all labels in proportion.
+
+    All rows where there are at most ``most``, else one row per label more at most. The
+    choice depends on keys and seed only.
+    """
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    quota = F.least(F.col("_n"), F.ceil(F.col("_n") * most / total))
+    counts = counts.select(label, quota.alias("_quota"))
+    order = Window.partitionBy(label).orderBy(hash_fraction(keys, seed + 2), *keys)
+    # The fixed bound keeps all but ``most`` rows of a label out of the shuffle.
+    ranked = rows.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most)
+    chosen = ranked.join(counts, label).where(F.col("_place") <= F.col("_quota"))
+    return chosen.select(rows.columns)
+
+
 def with_fold(df: DataFrame, keys: list[str], folds: int = FOLDS, seed: int = SEED) -> DataFrame:
     fold = F.floor(hash_fraction(keys, seed + 1) * folds).cast("int")
     return df.withColumn("fold", fold)
@@ -154,36 +188,102 @@ def prepare(train: DataFrame) -> Prepared:
     return Prepared(fitted, rows, rows.count(), names)
 
 
-def search(
-    name: str, train: DataFrame, keys: list[str], folds: int = FOLDS, parallelism: int = 2,
-    grid: list[dict] | None = None, **settings,
-) -> list[dict]:
-    """Mean F1 of each setting over the folds, best first.
+SEARCH = "model string, setting int, params string, fold int, f1 double, failure string"
+
+
+def _side_by_side(spark: SparkSession, work: Callable, jobs: list, parallelism: int) -> list:
+    with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), jobs, chunksize=1)
+
 
-    Preparation is fitted on the training part of each fold and shared by all
-    settings of that fold.
+def search_scores(
+    names: list[str], train: DataFrame, keys: list[str], folds: int = FOLDS,
+    parallelism: int = PARALLELISM, grids: dict[str, list[dict]] | None = None,
+    settings: dict[str, dict] | None = None,
+) -> DataFrame:
+    """A written table with the F1 of every model, setting and fold.
+
+    Preparation is fitted on the training part of each fold and shared by all models
+    and settings of that fold. A fit that fails has no score but the reason.
     """
+    spark = train.sparkSession
     rows = stage(with_fold(train, keys, folds), "folds")
-    candidates = grid or param_grid(name)
-    scores: list[list[float]] = [[] for _ in candidates]
-    for k in range(folds):
-        part = prepare(rows.where(F.col("fold") != k).drop("fold"))
-        held = part.stages.transform(rows.where(F.col("fold") == k))
-        held = stage(held.select("label", encoding.VECTOR), "held-out")
-
-        def score(candidate: dict, part=part, held=held) -> float:
-            chosen = classifier(name, part.count, **{**settings, **candidate})
-            return metrics.f1_score(chosen.fit(part.rows).transform(held)).first()["f1"]
-
-        pool = ThreadPool(min(parallelism, len(candidates)))
-        results = pool.map(inheritable_thread_target(train.sparkSession)(score), candidates)
-        pool.close()
-        for slot, value in zip(scores, results):
-            slot.append(value)
-    ranked = [
-        {"params": c, "mean_f1": sum(v) / len(v)} for c, v in zip(candidates, scores)
+
+    def parts(k: int):
+        try:
+            part = prepare(rows.where(F.col("fold") != k).drop("fold"))
+            held = part.stages.transform(rows.where(F.col("fold") == k))
+            return part, stage(held.select("label", encoding.VECTOR), "held-out"), None
+        except FIT_ERRORS as e:
+            return None, None, str(e)
+
+    prepared = _side_by_side(spark, parts, list(range(folds)), parallelism)
+
+    def score(job: tuple) -> tuple:
+        name, i, params, k = job
+        part, held, failure = prepared[k]
+        f1 = None
+        if part is not None:
+            try:
+                chosen = classifier(name, part.count, **{**(settings or {}).get(name, {}), **params})
+                f1 = metrics.f1_score(chosen.fit(part.rows).transform(held)).first()["f1"]
+            except FIT_ERRORS as e:
+                failure = str(e)
+        return name, i, json.dumps(params), k, f1, failure
+
+    # Boosting fits its trees one after the other, so its fits start first.
+    jobs = [
+        (name, i, params, k)
+        for name in reversed(names)
+        for i, params in enumerate((grids or {}).get(name) or param_grid(name))
+        for k in range(folds)
     ]
-    return sorted(ranked, key=lambda r: -r["mean_f1"])
+    return stage(spark.createDataFrame(_side_by_side(spark, score, jobs, parallelism), SEARCH), "search")
+
+
+def ranked_settings(scores: DataFrame) -> DataFrame:
+    """model, setting, params, mean_f1 and place, best first within a model.
+
+    A setting that failed in a fold is left out. Of equals the earlier setting wins.
+    """
+    means = scores.groupBy("model", "setting", "params").agg(
+        F.avg("f1").alias("mean_f1"), F.count(F.when(F.col("f1").isNull(), 1)).alias("failed")
+    )
+    order = Window.partitionBy("model").orderBy(F.desc("mean_f1"), "setting")
+    kept = means.where("failed = 0").drop("failed")
+    return kept.withColumn("place", F.row_number().over(order))
+
+
+def _candidates(scores: DataFrame, name: str) -> list[dict]:
+    found = ranked_settings(scores.where(F.col("model") == name)).orderBy("place").collect()
+    return [{"params": json.loads(r.params), "mean_f1": r.mean_f1} for r in found]
+
+
+def search(
+    name: str, train: DataFrame, keys: list[str], folds: int = FOLDS, parallelism: int = PARALLELISM,
+    grid: list[dict] | None = None, **settings,
+) -> list[dict]:
+    """Mean F1 of each setting over the folds, best first; settings that fail are left out."""
+    grids = {name: grid} if grid else None
+    scores = search_scores([name], train, keys, folds, parallelism, grids, {name: settings})
+    return _candidates(scores, name)
+
+
+def _searchable(prepared: Prepared) -> bool:
+    """Whether there are two classes, and a class with a row for every fold."""
+    classes = prepared.rows.groupBy("label").count().agg(F.count("*"), F.max("count")).first()
+    return classes[0] > 1 and classes[1] >= FOLDS
+
+
+def _fitted(name: str, prepared: Prepared, test: DataFrame, candidates: list[dict], settings: dict) -> Trained:
+    best = candidates[0]["params"] if candidates else {}
+    fitted = classifier(name, prepared.count, **{**settings, **best}).fit(prepared.rows)
+    model = PipelineModel(stages=[*prepared.stages.stages, fitted])
+    scored = stage(
+        with_score(model.transform(test)).select("label", "prediction", "score"), "scored"
+    )
+    quality = metrics.classification_metrics(scored).first().asDict()
+    return Trained(name, model, prepared.names, best, quality, candidates)
 
 
 def train_and_evaluate(
@@ -198,40 +298,57 @@ def train_and_evaluate(
     """Search the grid if wanted, fit on all training rows, measure on the test rows.
 
     The search is skipped where there is a single class, or where no class has a
-    row for every fold.
+    row for every fold. Where no setting can be fitted, the plain one is.
     """
     prepared = prepared or prepare(train)
-    classes = prepared.rows.groupBy("label").count().agg(F.count("*"), F.max("count")).first()
-    candidates = []
-    if grid and classes[0] > 1 and classes[1] >= FOLDS:
-        candidates = search(name, train, keys, **settings)
-        settings = {**settings, **candidates[0]["params"]}
-    fitted = classifier(name, prepared.count, **settings).fit(prepared.rows)
-    model = PipelineModel(stages=[*prepared.stages.stages, fitted])
-    scored = stage(
-        with_score(model.transform(test)).select("label", "prediction", "score"), "scored"
-    )
-    quality = metrics.classification_metrics(scored).first().asDict()
-    return Trained(
-        name, model, prepared.names, candidates[0]["params"] if candidates else {},
-        quality, candidates,
-    )
+    wanted = grid and _searchable(prepared)
+    candidates = search(name, train, keys, **settings) if wanted else []
+    return _fitted(name, prepared, test, candidates, settings)
 
 
-def compare_models(
+@dataclass
+class Comparison:
+    """Models, best area under the curve first, and the scores of the search, if any."""
+
+    results: list[Trained]
+    scores: DataFrame | None
+
+
+def tuned_comparison(
     train: DataFrame, test: DataFrame, keys: list[str], grid: bool = True,
     settings: dict[str, dict] | None = None, names: list[str] | None = None,
-) -> list[Trained]:
-    """The classifiers on the same rows, best area under the curve first.
+    sample_rows: int = SAMPLE_ROWS, parallelism: int = PARALLELISM,
+    grids: dict[str, list[dict]] | None = None,
+) -> Comparison:
+    """Search, refit and measure the classifiers on the same rows.
 
-    ``settings`` holds per model what differs from its defaults.
+    Search and fits use the ``bounded_sample`` of the training rows, the metrics all test
+    rows. ``settings`` holds per model what differs from its defaults.
     """
-    prepared = prepare(train)
-    results = [
-        train_and_evaluate(n, train, test, keys, grid, prepared, **(settings or {}).get(n, {}))
-        for n in names or MODEL_NAMES
-    ]
-    return sorted(results, key=lambda r: -(r.metrics["roc_auc"] or 0.0))
+    spark = train.sparkSession
+    names = names or MODEL_NAMES
+    sample = stage(bounded_sample(train, keys, most=sample_rows), "sample")
+    sample = sample.coalesce(max(1, sample_rows // PARTITION_ROWS))
+    prepared = prepare(sample)
+    scores = None
+    if grid and _searchable(prepared):
+        scores = search_scores(names, sample, keys, parallelism=parallelism, grids=grids, settings=settings)
+    test = stage(test, "test")
+
+    def fit(name: str) -> Trained:
+        candidates = [] if scores is None else _candidates(scores, name)
+        return _fitted(name, prepared, test, candidates, (settings or {}).get(name, {}))
+
+    results = _side_by_side(spark, fit, names, parallelism)
+    return Comparison(sorted(results, key=lambda r: -(r.metrics["roc_auc"] or 0.0)), scores)
+
+
+def compare_models(
+    train: DataFrame, test: DataFrame, keys: list[str], grid: bool = True,
+    settings: dict[str, dict] | None = None, names: list[str] | None = None, **options,
+) -> list[Trained]:
+    """The classifiers of ``tuned_comparison``, best area under the curve first."""
+    return tuned_comparison(train, test, keys, grid, settings, names, **options).results
 
 
 def comparison_table(spark: SparkSession, results: list[Trained]) -> DataFrame:

@@ -9,7 +9,7 @@ from salesloom.operators import features, rfm, segments, stats_tests
 from salesloom.operators.training import random_rows
 from salesloom.plans.kpi_queries import rounded
 from salesloom.plans.registry import query
-from salesloom.workspace import remembered, stage
+from salesloom.workspace import file_state, remembered, stage
 
 KEY = ["order_id", "line_no", "sku", "supp"]
 KEYS = ", ".join(KEY)
@@ -305,10 +305,9 @@ def _(t):
 
 
 def _kmeans(t):
-    """One k-means fit per application and data directory serves both queries."""
-    fit = remembered(
-        t.spark, ("kmeans", t.sf_dir), lambda: segments.segment_customers(rfm.compute_rfm(t.sales))
-    )
+    """One k-means fit per application and state of the data serves both queries."""
+    key = ("kmeans", t.sf_dir, file_state(t.spark, t.sf_dir))
+    fit = remembered(t.spark, key, lambda: segments.segment_customers(rfm.compute_rfm(t.sales)))
     return fit.rows
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from salesloom.operators.cleaning import text_categories
 from salesloom.plans.customer_queries import FEATURES, KEY, KEYS
 from salesloom.plans.kpi_queries import rounded
 from salesloom.plans.registry import query
-from salesloom.workspace import new_path, remembered, stage
+from salesloom.workspace import file_state, new_path, remembered, stage
 
 _INPUT = [
     *KEY, "category", "date", "qty", "amount", "fulfilment", "ship_service_level", "b2b",
@@ -249,25 +251,28 @@ def _(t):
     return training.baseline_model(stage(features.baseline_features(t.sales, KEY), "baseline"), KEY)
 
 
+def _once(t, name: str, make):
+    """Made once per application and state of the data, for all queries that read it."""
+    return remembered(t.spark, (name, t.sf_dir, file_state(t.spark, t.sf_dir)), make)
+
+
+def engineered(t):
+    make = lambda: stage(features.engineer_features(t.sales.select(_INPUT), KEY), "features")
+    return _once(t, "engineered", make)
+
+
 def split_input(t):
-    rows = stage(model_input(t), "model-input")
+    rows = encoding.model_rows(engineered(t), "cancelled", KEY)
     return training.train_test_split(rows, KEY, "label")
 
 
 def compared(t):
-    """One comparison per application and data directory serves the queries on its models."""
-
-    def make():
-        train, test = split_input(t)
-        return training.compare_models(
-            train, test, KEY, grid=False, settings={"Random Forest": {"max_depth": 10}}
-        )
-
-    return remembered(t.spark, ("compared", t.sf_dir), make)
+    """The three tuned classifiers: all settings, three folds, refit and test metrics."""
+    return _once(t, "compared", lambda: training.tuned_comparison(*split_input(t), KEY))
 
 
 def _metrics_of(t, name: str):
-    return training.comparison_table(t.spark, [r for r in compared(t) if r.name == name])
+    return training.comparison_table(t.spark, [r for r in compared(t).results if r.name == name])
 
 
 @query("ml08_logistic_regression")
@@ -287,27 +292,43 @@ def _(t):
 
 @query("ml11_ml12_grid_search")
 def _(t):
-    train, _test = split_input(t)
-    ranked = training.search("Logistic Regression", train, KEY)
-    rows = [(str(r["params"]), float(r["mean_f1"])) for r in ranked]
-    return t.spark.createDataFrame(rows, "params string, mean_f1 double")
+    """The mean score of every setting of every model."""
+    return training.ranked_settings(compared(t).scores)
+
+
+_GRID_SQL = ", ".join(
+    f"('{name}', {i}, '{json.dumps(params)}')"
+    for name in training.MODEL_NAMES
+    for i, params in enumerate(training.param_grid(name))
+)
+
+
+@query(
+    "ml12_fits_of_the_search",
+    f"""SELECT model, CAST(setting AS INT) AS setting, params, CAST(fold AS INT) AS fold, true AS scored
+        FROM (VALUES {_GRID_SQL}) g(model, setting, params), range({training.FOLDS}) f(fold)""",
+)
+def _(t):
+    """Every setting is fitted and scored in every fold."""
+    scored = F.col("f1").between(0, 1) & F.col("failure").isNull()
+    return compared(t).scores.select("model", "setting", "params", "fold", scored.alias("scored"))
 
 
 @query("ml16_compare_models")
 def _(t):
-    return training.comparison_table(t.spark, compared(t))
+    return training.comparison_table(t.spark, compared(t).results)
 
 
 @query("ml17_best_model_importance")
 def _(t):
-    return training.feature_importance(t.spark, compared(t)[0])
+    return training.feature_importance(t.spark, compared(t).results[0])
 
 
 @query("ml18_feature_importance")
 def _(t):
     tables = [
         training.feature_importance(t.spark, r).withColumn("model", F.lit(r.name))
-        for r in compared(t)
+        for r in compared(t).results
     ]
     return tables[0].unionByName(tables[1]).unionByName(tables[2])
 
@@ -371,11 +392,14 @@ def _(t):
 
 
 def saved_bundle(t):
-    """One saved model per application and data directory serves the scoring queries."""
-    path = remembered(t.spark, ("bundle", t.sf_dir), lambda: new_path(t.spark, "bundle"))
-    return reports.cancellation_model(
-        t.spark, path, t.sales.select(_INPUT), names=["Logistic Regression"], grid=False
-    )
+    """The best tuned classifier, saved and loaded: batch and stream score with it."""
+
+    def make():
+        path = new_path(t.spark, "bundle")
+        reports.save_best(t.spark, path, compared(t).results[0], engineered(t))
+        return path
+
+    return persistence.load_bundle(t.spark, _once(t, "bundle", make))
 
 
 @query("ml23_batch_scores")

@@ -62,8 +62,22 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def file_state(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of change of everything in a folder, as its store knows them."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for entry in store.listStatus(target):
+        size = store.getContentSummary(entry.getPath()).getLength()
+        found.append((entry.getPath().getName(), size, entry.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def remembered(spark: SparkSession, key: tuple, make: Callable[[], Any]) -> Any:
-    """The result of ``make``, made once per application and key until ``drop_staged``."""
+    """The result of ``make``, made once per application and key until ``drop_staged``.
+
+    A key that names data should hold their ``file_state``.
+    """
     whole = (spark.sparkContext.applicationId, *key)
     if whole not in _remembered:
         _remembered[whole] = make()

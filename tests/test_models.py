@@ -44,9 +44,7 @@ def test_split_is_disjoint_complete_and_repeatable(rows):
     assert all(abs(s - 0.2) < 0.04 for s in shares)
 
 
-def test_training_learns(spark, rows):
-    # A target that the inputs explain, so that every model has something to find.
-    easy = rows.withColumn("label", (F.col("qty") > 25).cast("double"))
+def test_training_learns(spark, easy):
     train, test = training.train_test_split(easy, KEY, "label")
     results = training.compare_models(
         train, test, KEY, grid=False,
@@ -70,6 +68,57 @@ def test_search_uses_every_candidate(rows):
         assert ranked[0]["mean_f1"] >= ranked[-1]["mean_f1"]
 
 
+@pytest.fixture(scope="module")
+def easy(rows):
+    """A target that the inputs explain, so that every model has something to find."""
+    return rows.withColumn("label", (F.col("qty") > 25).cast("double"))
+
+
+def test_sample_is_bounded_repeatable_and_in_proportion(rows):
+    got = training.bounded_sample(rows, KEY, most=500)
+    again = training.bounded_sample(rows.repartition(5), KEY, most=500)
+    assert got.columns == rows.columns and 500 <= got.count() <= 502
+    assert got.exceptAll(again).count() == 0
+    whole, part = (training.class_weights(d).orderBy("label").collect() for d in (rows, got))
+    for a, b in zip(whole, part, strict=True):
+        assert b.n == math.ceil(500 * a.n / rows.count())
+    assert training.bounded_sample(rows, KEY, most=10**6).exceptAll(rows).count() == 0
+    assert training.bounded_sample(rows, KEY, most=10**6).count() == rows.count()
+    assert training.bounded_sample(rows.limit(0), KEY).count() == 0
+
+
+def test_a_failing_setting_is_left_out(easy):
+    grids = {
+        "Logistic Regression": [{"c": -1.0}, {"c": 1.0}],
+        "Gradient Boosting": [{"learning_rate": 5.0}, {"learning_rate": -1.0}],
+    }
+    few = training.bounded_sample(easy, KEY, most=600)
+    train, test = training.train_test_split(few, KEY, "label")
+    found = training.tuned_comparison(
+        train, test, KEY, names=list(grids), grids=grids, settings={"Gradient Boosting": {"trees": 2}}
+    )
+    table = found.scores.collect()
+    assert len(table) == 4 * training.FOLDS
+    for r in table:
+        failed = r.model == "Gradient Boosting" or '"c": -1.0' in r.params
+        assert (r.f1 is None) == failed and bool(r.failure) == failed
+    one, two = sorted(found.results, key=lambda r: r.name, reverse=True)
+    assert one.best_params == {"c": 1.0} and len(one.candidates) == 1
+    # All settings fail: a plain fit, as where nothing is searched.
+    assert two.best_params == {} and two.candidates == [] and two.metrics["accuracy"] > 0.9
+
+
+def test_best_setting_follows_from_the_written_scores(spark):
+    rows = [
+        ("a", 0, "{}", 0, 0.5, None), ("a", 0, "{}", 1, 0.7, None),
+        ("a", 1, "{}", 0, 0.6, None), ("a", 1, "{}", 1, 0.6, None),
+        ("a", 2, "{}", 0, 0.9, None), ("a", 2, "{}", 1, None, "no"),
+        ("b", 0, "{}", 0, 0.1, None), ("b", 0, "{}", 1, 0.1, None),
+    ]
+    ranked = training.ranked_settings(spark.createDataFrame(rows, training.SEARCH)).collect()
+    assert {(r.model, r.setting, r.place) for r in ranked} == {("a", 0, 1), ("a", 1, 2), ("b", 0, 1)}
+
+
 def test_single_class_skips_the_search(rows):
     only = rows.withColumn("label", F.lit(0.0))
     train, test = training.train_test_split(only, KEY)
