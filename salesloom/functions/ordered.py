@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from salesloom.workspace import shuffle_partitions, stage
 
 RANGE = "_range"
+# Number that rises with the order of the rows over all ranges.
+PLACE = "_place"
 
 # Accuracy of the approximate percentiles that bracket an exact one, and the shares of
 # the rows by which brackets may reach out; the narrowest that is safe is taken.
@@ -32,6 +34,18 @@ def in_ranges(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame
     return stage(ranged.withColumn(RANGE, F.spark_partition_id()), "ranges")
 
 
+def in_order(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """``in_ranges`` with sorted ranges and the place of each row as ``PLACE``.
+
+    Within a group and range the places follow each other without gaps.
+    """
+    n = shuffle_partitions(df.sparkSession)
+    keys = [*[F.col(g) for g in group], *order]
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    places = {RANGE: F.spark_partition_id(), PLACE: F.monotonically_increasing_id()}
+    return stage(ranged.withColumns(places), "ordered")
+
+
 def total_before(
     df: DataFrame, group: list[str], order: str, weights: dict[str, str]
 ) -> DataFrame:
@@ -66,7 +80,7 @@ def total_before(
     return joined.select(*df.columns, *totals)
 
 
-def _number(column: str) -> Column:
+def number(column: str) -> Column:
     """A column as double, not-a-number as NULL."""
     value = F.col(f"`{column}`").cast("double")
     return F.when(~F.isnan(value), value)
@@ -79,10 +93,10 @@ def value_histogram(df: DataFrame, columns: list[str]) -> DataFrame:
     per task.
     """
     if len(columns) == 1:
-        values = df.select(_number(columns[0]).alias("value"))
+        values = df.select(number(columns[0]).alias("value"))
         values = values.withColumn("column", F.lit(columns[0]))
     else:
-        cells = [F.struct(F.lit(c).alias("column"), _number(c).alias("value")) for c in columns]
+        cells = [F.struct(F.lit(c).alias("column"), number(c).alias("value")) for c in columns]
         values = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
     present = values.where(F.col("value").isNotNull())
     return present.groupBy("column", "value").agg(F.count("*").alias("n"))
@@ -90,7 +104,7 @@ def value_histogram(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def numbers_of(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns as doubles named v0, v1, ..., written once."""
-    return stage(df.select([_number(c).alias(f"v{i}") for i, c in enumerate(columns)]), "numbers")
+    return stage(df.select([number(c).alias(f"v{i}") for i, c in enumerate(columns)]), "numbers")
 
 
 def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
@@ -101,8 +115,10 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFram
     return quantiles_of(numbers_of(df, columns), columns, probs)
 
 
-def _brackets(numbers: DataFrame, columns: list[str], probs: list[float]) -> Column:
-    """One struct: per column n, and per wanted quantile the bracket around it.
+def brackets(
+    numbers: DataFrame, columns: list[str], probs: list[float], also: list[Column] | None = None
+) -> DataFrame:
+    """One written row: per column n, per wanted quantile the bracket around it, and ``also``.
 
     An approximate percentile lies within n / ACCURACY ranks of its position. A reach
     of s * n ranks is safe where it covers this error on both sides and the rounding
@@ -118,11 +134,12 @@ def _brackets(numbers: DataFrame, columns: list[str], probs: list[float]) -> Col
             F.max(v).alias(f"max{i}"),
             F.percentile_approx(v, [float(s) for s in shares], ACCURACY).alias(f"near{i}"),
         ]
-    wide = numbers.agg(*aggregates)
+    known = [f"n{i}" for i in range(len(columns))]
+    wide = numbers.agg(*aggregates, *(also or []))
+    known += wide.columns[len(aggregates) :]
     out = []
     for i in range(len(columns)):
         n = F.col(f"n{i}")
-        out.append(n.alias(f"n{i}"))
         for j, p in enumerate(probs):
             low = high = None
             for reach in REACHES:
@@ -133,13 +150,21 @@ def _brackets(numbers: DataFrame, columns: list[str], probs: list[float]) -> Col
                 high = F.when(safe, b) if high is None else high.when(safe, b)
             out.append(low.otherwise(F.col(f"min{i}")).alias(f"low{i}_{j}"))
             out.append(high.otherwise(F.col(f"max{i}")).alias(f"high{i}_{j}"))
-    return stage(wide.select(*out), "brackets").select(F.struct("*")).scalar()
+    return stage(wide.select(*known, *out), "brackets")
+
 
+def quantiles_of(
+    numbers: DataFrame, columns: list[str], probs: list[float], bracketed: DataFrame | None = None
+) -> DataFrame:
+    """Quantiles of written columns v0, v1, ... that carry the given names.
 
-def quantiles_of(numbers: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """Quantiles of written columns v0, v1, ... that carry the given names."""
+    ``bracketed`` is their row of ``brackets``. After it, one pass counts what lies below
+    the brackets and one gathers the values inside. A bracket that misses its position is
+    an error, not a missing row.
+    """
     spots = [(i, j) for i in range(len(columns)) for j in range(len(probs))]
-    marked = numbers.withColumn("_b", _brackets(numbers, columns, probs))
+    row = brackets(numbers, columns, probs) if bracketed is None else bracketed
+    marked = numbers.withColumn("_b", row.select(F.struct("*")).scalar())
     bound = {s: (F.col(f"_b.low{s[0]}_{s[1]}"), F.col(f"_b.high{s[0]}_{s[1]}")) for s in spots}
     counts = marked.agg(
         *[F.count(F.when(F.col(f"v{i}") < bound[i, j][0], 1)).alias(f"{i}_{j}") for i, j in spots]
@@ -164,15 +189,15 @@ def quantiles_of(numbers: DataFrame, columns: list[str], probs: list[float]) ->
     placed = total_before(inside, ["i", "j"], "value", {"n": "before"})
     named = [(i, j, columns[i], float(probs[j])) for i, j in spots]
     wanted = numbers.sparkSession.createDataFrame(named, "i int, j int, column string, prob double")
-    sizes = numbers.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))])
-    sizes = sizes.select(
+    sizes = row.select(
         F.explode(
             F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"n{i}").alias("total")) for i in range(len(columns))])
         ).alias("r")
     ).select("r.*")
     position = (F.col("total") - 1) * F.col("prob")
     # One row per column and probability in all three tables.
-    wanted = wanted.join(F.broadcast(below), ["i", "j"]).join(F.broadcast(sizes), "i").select(
+    wanted = wanted.join(F.broadcast(below), ["i", "j"]).join(F.broadcast(sizes), "i")
+    wanted = wanted.where("total > 0").select(
         "i", "j", "column", "prob", "below",
         (position - F.floor(position)).alias("part"),
         F.floor(position).alias("first"),
@@ -182,13 +207,15 @@ def quantiles_of(numbers: DataFrame, columns: list[str], probs: list[float]) ->
     holds_first = (start <= F.col("first")) & (F.col("first") < start + F.col("n"))
     holds_second = (start <= F.col("second")) & (F.col("second") < start + F.col("n"))
     hits = placed.join(F.broadcast(wanted), ["i", "j"]).where(holds_first | holds_second)
-    ends = hits.groupBy("column", "prob", "part").agg(
+    ends = hits.groupBy("i", "j").agg(
         F.max(F.when(holds_first, F.col("value"))).alias("a"),
         F.max(F.when(holds_second, F.col("value"))).alias("b"),
     )
-    return ends.select(
-        "column", "prob", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("quantile")
-    )
+    found = wanted.join(ends, ["i", "j"], "left")
+    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
+    missed = F.raise_error(F.concat(F.lit("a bracket misses a quantile of "), F.col("column")))
+    value = F.coalesce(value, missed.cast("double"))
+    return found.select("column", "prob", value.alias("quantile"))
 
 
 def quantile(df: DataFrame, column: str, prob: float) -> DataFrame:
@@ -239,38 +266,43 @@ def rolling_mean(
     Missing values are skipped and missing order values come last; rows without
     a group get no mean.
     """
-    ranged = in_ranges(df, [group], [F.col(c).asc_nulls_last() for c in order])
-    return rolling_mean_of(ranged, group, order, value, out, rows).drop(RANGE)
+    ranged = in_order(df, [group], [F.col(c).asc_nulls_last() for c in order])
+    return rolling_mean_of(ranged, group, value, out, rows).drop(RANGE, PLACE)
 
 
 def rolling_mean_of(
-    ranged: DataFrame, group: str, order: list[str], value: str, out: str, rows: int = 7
+    ranged: DataFrame, group: str, value: str, out: str, rows: int = 7
 ) -> DataFrame:
-    """``rolling_mean`` of rows that ``in_ranges`` wrote.
+    """``rolling_mean`` of rows that ``in_order`` wrote.
 
-    The last ``rows - 1`` rows of each group and range are found first, a table of
-    that many rows per range. Each range is then averaged together with the last
-    values before it, in one window.
+    Each range is averaged alone, in one window by place. Only its first ``rows - 1``
+    rows lack values of earlier ranges; these come from a table with the last values
+    before each group and range.
     """
-    keys = [F.col(c).asc_nulls_last() for c in order]
     margin = rows - 1
-    back = Window.partitionBy(group, RANGE).orderBy(*[F.col(c).desc_nulls_first() for c in order])
-    tails = ranged.select(group, RANGE, *order, F.col(value).alias("_value"))
-    tails = tails.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= margin)
-    tails = stage(tails.select(group, RANGE, "_back", F.struct("_value").alias("_value")), "tails")
-    # The values before the first tail row of a range are the last ones of earlier ranges.
-    before = Window.partitionBy(group).orderBy(RANGE, F.desc("_back"))
-    own = Window.partitionBy(group, RANGE).orderBy(F.desc("_back"))
+    keys = [group, RANGE]
+    spans = ranged.groupBy(*keys).agg(F.min(PLACE).alias("_first"), F.max(PLACE).alias("_last"))
+    spans = stage(spans, "spans")
+    tails = ranged.select(*keys, PLACE, F.struct(value).alias("_value")).join(spans, keys)
+    tails = tails.where(F.col(PLACE) > F.col("_last") - margin)
+    # At most ``rows - 1`` rows for each group and range.
+    before = Window.partitionBy(group).orderBy(PLACE).rowsBetween(-margin, -1)
+    own = Window.partitionBy(*keys).orderBy(PLACE)
     halo = tails.select(
-        group, RANGE, F.row_number().over(own).alias("_first"),
-        F.collect_list("_value").over(before.rowsBetween(-margin, -1)).alias("_halo"),
-    ).where("_first = 1")
-    halo = halo.select(group, RANGE, F.posexplode("_halo").alias("_place", "_cell"))
-    extra = halo.select(
-        group, RANGE, "_place", F.col("_cell._value").alias(value), F.lit(True).alias("_extra")
+        *keys,
+        "_first",
+        F.collect_list("_value").over(before).alias("_halo"),
+        F.row_number().over(own).alias("_number"),
     )
-    both = ranged.withColumns({"_extra": F.lit(False), "_place": F.lit(None).cast("int")})
-    both = both.unionByName(extra, allowMissingColumns=True)
-    frame = Window.partitionBy(group, RANGE).orderBy(F.desc("_extra"), "_place", *keys)
-    mean = F.when(F.col(group).isNotNull(), F.avg(value).over(frame.rowsBetween(-margin, 0)))
-    return both.withColumn(out, mean).where("not _extra").drop("_extra", "_place")
+    halo = halo.where("_number = 1").drop("_number")
+    frame = Window.partitionBy(*keys).orderBy(PLACE).rowsBetween(-margin, 0)
+    local = ranged.withColumns({"_sum": F.sum(value).over(frame), "_count": F.count(value).over(frame)})
+    local = local.join(halo, keys, "left")
+    lacking = F.lit(margin) - (F.col(PLACE) - F.col("_first")).cast("int")
+    start = F.greatest(F.size("_halo") - lacking + 1, F.lit(1))
+    earlier = F.when(lacking > 0, F.transform(F.slice("_halo", start, lacking), lambda v: v[value]))
+    present = F.filter(F.coalesce(earlier, F.array().cast("array<double>")), lambda v: v.isNotNull())
+    total = F.aggregate(present, F.coalesce("_sum", F.lit(0)).cast("double"), lambda a, v: a + v)
+    count = F.col("_count") + F.size(present)
+    mean = F.when(F.col(group).isNotNull(), F.try_divide(total, count))
+    return local.withColumn(out, mean).drop("_sum", "_count", "_halo", "_first")

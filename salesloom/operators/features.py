@@ -66,10 +66,12 @@ def engineer_features(sales: DataFrame, tiebreak: list[str] | None = None) -> Da
     quartile that marks a high value both read it from there.
     """
     order = ["date", *_tiebreak(sales, tiebreak)]
-    ranged = ordered.in_ranges(sales, ["category"], [F.col(c).asc_nulls_last() for c in order])
-    threshold = ordered.quantile(ranged, "amount", 0.75).scalar()
-    rolled = ordered.rolling_mean_of(ranged, "category", order, "amount", "revenue_7d_ma", 7)
-    return row_features(rolled.drop(ordered.RANGE), threshold)
+    ranged = ordered.in_order(sales, ["category"], [F.col(c).asc_nulls_last() for c in order])
+    amounts = ranged.select(ordered.number("amount").alias("v0"))
+    threshold = ordered.quantiles_of(amounts, ["amount"], [0.75])
+    threshold = threshold.agg(F.max("quantile")).scalar()
+    rolled = ordered.rolling_mean_of(ranged, "category", "amount", "revenue_7d_ma", 7)
+    return row_features(rolled.drop(ordered.RANGE, ordered.PLACE), threshold)
 
 
 def baseline_features(sales: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salesloom.functions.ordered import numbers_of, quantiles, quantiles_of
+from salesloom.functions.ordered import brackets, numbers_of, quantiles, quantiles_of
 from salesloom.operators.cleaning import numeric_columns, quoted
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -67,12 +67,13 @@ def column_info(df: DataFrame) -> DataFrame:
 def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, deviation, minimum, exact quartiles and maximum per column.
 
-    The columns are written once; moments and quartiles read them from there.
+    The columns are written once. One pass has the moments and the brackets of the
+    quartiles, two more the quartiles.
     """
     columns = columns or numeric_columns(df)
     numbers = numbers_of(df, columns)
-    wide = numbers.agg(
-        *[
+    wide = brackets(
+        numbers, columns, QUARTILES, [
             F.struct(
                 F.lit(c).alias("column"),
                 F.count(f"v{i}").alias("count"),
@@ -82,12 +83,12 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFra
                 F.max(f"v{i}").alias("max"),
             ).alias(f"s{i}")
             for i, c in enumerate(columns)
-        ]
+        ],
     )
     # One row per described column here and in the joins below.
     sums = _long(wide, [F.col(f"s{i}") for i in range(len(columns))])
     middle = (
-        quantiles_of(numbers, columns, QUARTILES)
+        quantiles_of(numbers, columns, QUARTILES, wide)
         .groupBy("column")
         .pivot("prob", QUARTILES)
         .agg(F.max("quantile"))

@@ -55,6 +55,41 @@ def test_writing_statements_are_refused(spark, text):
         sqllib.run_user_sql(spark, text)
 
 
+BEYOND = [
+    "SELECT TRANSFORM(a) USING 'cat' AS (b) FROM VALUES (1) t(a)",
+    "WITH x AS (SELECT TRANSFORM(a) USING 'cat' FROM VALUES (1) t(a)) SELECT * FROM x",
+    "SELECT reflect('java.lang.System', 'nanoTime')",
+    "SELECT (SELECT max(java_method('java.lang.System', 'nanoTime')))",
+    "SELECT sum(try_reflect('java.lang.System', 'nanoTime')) OVER () FROM VALUES (1) t(a)",
+    "SELECT IDENTIFIER('refl' || 'ect')('java.lang.System', 'nanoTime')",
+    "SELECT 1 AS a WHERE 1 IN (SELECT reflect('java.lang.System', 'nanoTime'))",
+    "SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`",
+    "WITH x AS (SELECT * FROM csv.`/etc/hosts`) SELECT * FROM x",
+    "SELECT * FROM no_such_table", "SELECT * FROM no_such_function()", "EXECUTE IMMEDIATE 'SELECT 1'",
+]
+PLAIN = [
+    "SELECT a, count(*) AS n FROM facts GROUP BY a HAVING count(*) > 0 ORDER BY a LIMIT 3",
+    "WITH x AS (SELECT * FROM facts), y AS (SELECT * FROM x) SELECT * FROM y JOIN x USING (a)",
+    "SELECT * FROM (SELECT a, row_number() OVER (PARTITION BY a ORDER BY a) AS r FROM facts) WHERE r = 1",
+    "SELECT * FROM facts WHERE EXISTS (SELECT 1 FROM facts f WHERE f.a = facts.a)",
+    "SELECT * FROM facts LATERAL VIEW explode(array(1, 2)) z AS k", "SELECT * FROM range(3)",
+    "SELECT * FROM (SELECT a, 'x' AS k FROM facts) PIVOT (sum(a) FOR k IN ('x'))",
+    "SELECT a FROM facts EXCEPT SELECT 99", "SELECT u.a FROM facts u, LATERAL (SELECT u.a + 1)",
+]
+
+
+@pytest.mark.parametrize("text", BEYOND)
+def test_scripts_reflection_and_paths_are_refused(spark, text):
+    with pytest.raises(ValueError, match="not "):
+        sqllib.run_user_sql(spark, text)
+
+
+@pytest.mark.parametrize("text", PLAIN)
+def test_plain_queries_run(spark, text):
+    facts = spark.createDataFrame([(1,), (2,), (2,)], "a int")
+    assert sqllib.run_user_sql(spark, text, {"facts": facts}).count() >= 1
+
+
 @pytest.mark.parametrize("text", READS)
 def test_reading_statements_run(spark, text):
     assert sqllib.run_user_sql(spark, text).count() >= 1
