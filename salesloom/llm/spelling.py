@@ -68,16 +68,15 @@ def _part(word: Column, begin: Column, end: Column) -> Column:
     return F.substring(word, begin + 1, end - begin)
 
 
-def _keys(word: Column, length: Column, shift: int) -> Column:
-    """The four keys that a word of ``length + shift`` letters shares with one of ``length``.
+def _keys(shift: int) -> Column:
+    """The four keys that a word shares with one that is ``shift`` letters shorter.
 
-    Half and quarter are taken at the places they have in the shorter word, those behind
-    the edit ``shift`` places further. Without a shift these are the word's own chunks.
+    ``cuts`` are the ends of the quarters of the shorter word. Half and quarter are taken
+    at the places they have there, those behind the edit ``shift`` places further.
+    Without a shift these are the word's own chunks.
     """
-    zero = F.lit(0)
-    half = F.floor(length / 2).cast("int")
-    first = F.floor(half / 2).cast("int")  # end of the first quarter
-    third = half + F.floor((length - half) / 2).cast("int")  # end of the third
+    word, zero = F.col("word"), F.lit(0)
+    first, half, third, length = (F.col(f"cut{k}") for k in range(4))
     spots = [
         ((zero, half, 0), (half, third, 0)),
         ((zero, half, 0), (third, length, shift)),
@@ -97,21 +96,23 @@ def _keys(word: Column, length: Column, shift: int) -> Column:
     )
 
 
+def _keyed(words: DataFrame, shift: int) -> DataFrame:
+    """(word, n, key) of ``words`` as partners of words that are ``shift`` letters shorter."""
+    length = F.length("word") - shift
+    half = F.floor(length / 2)
+    cuts = [F.floor(half / 2), half, half + F.floor((length - half) / 2), length]
+    # The cuts are written, so that each is worked out once.
+    cut = stage(words.withColumns({f"cut{k}": c.cast("int") for k, c in enumerate(cuts)}), "cuts")
+    return cut.select("word", "n", F.explode(_keys(shift)).alias("key"))
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n): each pair of words of ``words`` (word, n) at one edit, once."""
-    length = F.length("word")
-    word = F.col("word")
-    chunks = words.select(
-        word.alias("a"), F.col("n").alias("a_n"), F.explode(_keys(word, length, 0)).alias("key")
-    )
-    same = chunks.select(F.col("a").alias("b"), F.col("a_n").alias("b_n"), "key", F.lit(0).alias("shift"))
-    longer = words.select(
-        word.alias("b"),
-        F.col("n").alias("b_n"),
-        F.explode(_keys(word, length - 1, 1)).alias("key"),
-        F.lit(1).alias("shift"),
+    chunks = _keyed(words, 0)
+    grams = chunks.withColumn("shift", F.lit(0)).unionByName(
+        _keyed(words, 1).withColumn("shift", F.lit(1))
     )
-    met = chunks.join(same.unionByName(longer), "key")
+    met = chunks.toDF("a", "a_n", "key").join(grams.toDF("b", "b_n", "key", "shift"), "key")
     met = met.where((F.col("shift") == 1) | (F.col("a") < F.col("b")))
     met = met.where(F.levenshtein("a", "b", 1) == 1)
     return met.select("a", "a_n", "b", "b_n").distinct()
