@@ -51,9 +51,9 @@ MOST_BITS = 32
 # Rounds end when a round changes less than this share of the edges.
 STILL, MOST_ROUNDS = 0.02, 8
 # Nodes a search keeps, how many it looks at in a step, and fixed entry nodes.
-BEAM, STEP, ENTRIES = 96, 24, 8
+BEAM, STEP, ENTRIES = 96, 32, 8
 # Lists that are worked on at once.
-LISTS = 256
+LISTS = 64
 
 Groups = Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]
 
@@ -242,21 +242,46 @@ def _meetings(batch: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
     return _best(*(np.concatenate(x) for x in zip(*found, strict=True)), DEGREE)
 
 
-def _scored(batch: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
-    """Scores of candidates. The first row of each query has the query's own vector."""
-    vectors = _numbers(batch.column("half"))
-    sizes = np.diff(at)
-    owner = np.repeat(at[:-1], sizes)
-    rows = np.setdiff1d(np.arange(batch.num_rows), at[:-1], assume_unique=True)
-    scores = np.einsum("ij,ij->i", vectors[rows], vectors[owner[rows]])
-    return pa.RecordBatch.from_arrays(
-        [
-            batch.column("q").take(pa.array(rows)),
-            batch.column("w").take(pa.array(rows)),
-            pa.array(scores),
-        ],
-        names=["q", "w", "score"],
-    )
+# Rows of a search step: the query's vector, its beam so far, candidates.
+QUERY, HELD, CANDIDATE = 0, 1, 2
+STATE = "q long, w long, score float, looked boolean, ahead boolean, open boolean"
+
+
+def _stepped(batch: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+    """The new beam of each query: candidates scored, the best ``BEAM`` nodes kept, and the
+    best of those not looked at marked as the next ones. ``open`` tells whether there are any.
+    """
+    kind = batch.column("kind").to_numpy(zero_copy_only=False)
+    q, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("q", "w"))
+    held = pa.array(kind == HELD)
+    score = np.zeros(len(q), dtype=np.float32)
+    looked = np.zeros(len(q), dtype=bool)
+    score[kind == HELD] = batch.column("score").filter(held).to_numpy(zero_copy_only=False)
+    looked[kind == HELD] = batch.column("looked").filter(held).to_numpy(zero_copy_only=False)
+    vectors = _numbers(batch.column("half").filter(pa.array(kind != HELD)))
+    place = np.cumsum(kind != HELD) - 1
+    rows, ahead, still = [], [], []
+    for a, b in zip(at, at[1:], strict=False):
+        if b - a < 2:
+            continue
+        old = np.arange(a, b)[kind[a:b] == HELD]
+        new = np.arange(a, b)[kind[a:b] == CANDIDATE]
+        new = new[~np.isin(w[new], w[old])]
+        score[new] = vectors[place[new]] @ vectors[place[a]]
+        both = np.concatenate([old, new])
+        best = both[np.lexsort((w[both], -score[both]))[:BEAM]]
+        follow = np.flatnonzero(~looked[best])[:STEP]
+        chosen = np.zeros(len(best), dtype=bool)
+        chosen[follow] = True
+        rows.append(best)
+        ahead.append(chosen)
+        still.append(np.full(len(best), len(follow) > 0))
+    rows = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+    ahead = np.concatenate(ahead) if ahead else np.zeros(0, dtype=bool)
+    still = np.concatenate(still) if still else np.zeros(0, dtype=bool)
+    columns = [q[rows], w[rows], score[rows], looked[rows] | ahead, ahead, still]
+    names = ["q", "w", "score", "looked", "ahead", "open"]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
 EDGE = "u long, v long, score float"
@@ -384,13 +409,20 @@ def _searchable(edges: DataFrame) -> DataFrame:
     return both.distinct()
 
 
-def _scores(candidates: DataFrame, queries: DataFrame, coded: DataFrame) -> DataFrame:
-    """(q, w, score, looked) of candidates (q, w)."""
-    rows = candidates.join(coded, F.col("w") == F.col("node")).select("q", "w", "half")
-    own = queries.select("q", F.lit(-1).cast("long").alias("w"), "half")
-    rows = rows.unionByName(own).repartition("q").sortWithinPartitions("q", "w")
-    found = rows.mapInArrow(_each(["q"], _scored), "q long, w long, score float")
-    return found.withColumn("looked", F.lit(False))
+def _step(state: DataFrame | None, candidates: DataFrame, queries: DataFrame, coded: DataFrame) -> DataFrame:
+    """The next state of the queries that ``state`` holds, with candidates (q, w)."""
+    near = candidates.join(coded, F.col("w") == F.col("node"))
+    near = near.select("q", F.lit(CANDIDATE).alias("kind"), "w", "half")
+    rows = near.unionByName(
+        queries.select("q", F.lit(QUERY).alias("kind"), F.lit(-1).cast("long").alias("w"), "half")
+    ).withColumns({"score": F.lit(None).cast("float"), "looked": F.lit(None).cast("boolean")})
+    if state is not None:
+        held = state.select(
+            "q", F.lit(HELD).alias("kind"), "w", F.lit(None).cast("binary").alias("half"), "score", "looked"
+        )
+        rows = rows.unionByName(held)
+    ordered = rows.repartition("q").sortWithinPartitions("q", "kind", "w")
+    return stage(ordered.mapInArrow(_each(["q"], _stepped), STATE), "state")
 
 
 def _searched(index: Index, queries: DataFrame) -> DataFrame:
@@ -402,30 +434,20 @@ def _searched(index: Index, queries: DataFrame) -> DataFrame:
     kind = "q long, half binary"
     coded = stage(queries.select("q", "vec").mapInArrow(_as_queries(index.width), kind), "queries")
     entries = F.array(*[F.lit(e).cast("long") for e in index.entries]).cast("array<long>")
-    start = own.select("q", F.col("node").alias("w"))
-    start = start.unionByName(
+    near = own.select("q", F.col("node").alias("w"))
+    near = near.unionByName(
         own.join(index.graph, F.col("node") == F.col("v")).select("q", "w")
     ).unionByName(queries.select("q", F.explode(entries).alias("w")))
-    seen = stage(_scores(start.distinct(), coded, index.coded), "seen")
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "w")
-    found = None
+    state = found = None
     while True:
-        beam = seen.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= BEAM)
-        beam = stage(beam, "beam")
-        ahead = beam.where("not looked").withColumn("turn", F.row_number().over(best))
-        ahead = stage(ahead.where(F.col("turn") <= STEP).select("q", "w"), "ahead")
-        active = ahead.select("q").distinct()
-        ended = beam.join(active, "q", "left_anti").select("q", F.col("w").alias("node"))
+        state = _step(state, near.distinct(), coded, index.coded)
+        ended = state.where("not open").select("q", F.col("w").alias("node"))
         found = ended if found is None else found.unionByName(ended)
-        if ahead.isEmpty():
+        state = state.where("open")
+        if state.isEmpty():
             return found
-        seen = seen.join(active, "q", "left_semi")
-        near = ahead.withColumnRenamed("w", "v").join(index.graph, "v").select("q", "w").distinct()
-        near = near.join(seen.select("q", "w"), ["q", "w"], "left_anti")
-        marked = seen.join(ahead.withColumn("now", F.lit(True)), ["q", "w"], "left")
-        looked = (F.col("looked") | F.coalesce("now", F.lit(False))).alias("looked")
-        marked = marked.select("q", "w", "score", looked)
-        seen = stage(marked.unionByName(_scores(near, coded, index.coded)), "seen")
+        near = state.where("ahead").select("q", F.col("w").alias("v"))
+        near = near.join(index.graph, "v").select("q", "w")
 
 
 def _exact(width: int) -> Callable:
