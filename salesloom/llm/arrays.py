@@ -71,12 +71,14 @@ def string_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _power_table(base: np.uint64, n: int) -> np.ndarray:
+    """Powers of ``base``. A table longer than a slice's usual bytes is not kept."""
     table = _powers.get(int(base))
     if table is None or len(table) < n:
         table = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         table[0] = 1
         table = np.multiply.accumulate(table)
-        _powers[int(base)] = table
+        if n <= SLICE_BYTES + 1:
+            _powers[int(base)] = table
     return table[:n]
 
 

@@ -3,7 +3,8 @@
 Such a tokenizer never joins characters across a blank, so a text's ids are those of
 its words one after the other, and it lower-cases, so A to Z may be lowered before.
 Each distinct word is put together once from its body and closing signs, which are
-encoded once, and remembered; beyond ``REMEMBERED`` entries a memory is emptied.
+encoded once, and remembered; beyond its number of entries a memory is emptied. Many
+words are encoded as one text in which a special token stands between them.
 Strings of special tokens in a text are ordinary text, so special ids never come out
 of a text.
 """
@@ -24,7 +25,7 @@ from salesloom.llm import arrays
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 WORD_TOKENIZER = "word_bpe_49k.json"
-REMEMBERED = 500_000
+REMEMBERED, REMEMBERED_WORDS = 500_000, 200_000
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _encoders: dict[str, WordEncoder] = {}
@@ -64,6 +65,8 @@ class WordEncoder:
     def __init__(self, name: str):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
+        self.cutting = Tokenizer.from_file(public_tokenizers.path(name))
+        self.special = {t.content: i for i, t in self.cutting.get_added_tokens_decoder().items()}
         self._forget()
 
     def _forget(self) -> None:
@@ -84,21 +87,33 @@ class WordEncoder:
         new = list(dict.fromkeys(x for x in chain(bodies, signs) if x not in self.pieces.known))
         for a in range(0, len(new), 1000):
             part = new[a : a + 1000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=size.sum())
-            self.pieces.add(part, flat, size)
+            self.pieces.add(part, *self._encoded(part))
         both = np.stack([self.pieces.places(bodies), self.pieces.places(signs)], axis=1)
         ids, ends = self.pieces.taken(both.ravel())
         self.words.add(words, ids, np.diff(ends[1::2], prepend=0))
         closes = np.fromiter((w[-1] in ".!?" for w in words), dtype=bool, count=len(words))
         self.closes = np.concatenate([self.closes, closes])
 
+    def _encoded(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the names one after the other, and how many each has."""
+        cut = next(iter(self.special), None)
+        text = "" if cut is None else cut.join(names)
+        if cut is not None and all(text.count(s) == (len(names) - 1) * (s == cut) for s in self.special):
+            whole = self.cutting.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(whole[0].ids, dtype=np.uint32)
+            own = ids != self.special[cut]
+            ends = np.concatenate([np.flatnonzero(~own), [len(ids)]])
+            if len(ends) == len(names):
+                return ids[own], np.diff(ends, prepend=-1) - 1
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=size.sum()), size
+
     def _places(self, words: list[str]) -> np.ndarray:
         """Places of the distinct words in the memory, after learning the new ones."""
         if len(self.pieces.known) > REMEMBERED:
             self._forget()
-        elif len(self.words.known) > REMEMBERED:
+        elif len(self.words.known) > REMEMBERED_WORDS:
             self._forget_words()
         at = self.words.places(words)
         new = np.flatnonzero(at < 0)
