@@ -47,9 +47,9 @@ MARGIN = 40.0
 FEW_TEXTS = 20
 LONG = 400
 LEAST_SPREAD = 0.5
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 # Rows of counts that a task holds before it adds them up, and before it passes them on.
-HELD_ROWS = 1_000_000
+HELD_ROWS = 250_000
 SPACE = 32
 
 _letters: list[np.ndarray] = []
