@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 # A task works on about this many text bytes at a time; one longer text is a slice alone.
 SLICE_BYTES = 2 << 20
@@ -22,6 +23,14 @@ _PLACE = np.array(
 _powers: dict[int, np.ndarray] = {}
 
 
+def fresh(name: str, df: DataFrame, *others: str) -> str:
+    """``name``, with underscores before it until no column or other name is the same."""
+    taken = {c.lower() for c in (*df.columns, *others)}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def sliced(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a slice hold about ``most`` bytes."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

@@ -354,11 +354,14 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     chosen = chosen.select("doc_id", "one.text_hash", "one.copies").unionByName(
         counted.where("blank").select("doc_id", "text_hash", F.lit(1).cast("long").alias("copies"))
     )
-    chosen = stage(chosen, "kept").toDF("_kept_id", "_kept_hash", "_copies")
-    rows = docs.withColumn("_text_hash", F.xxhash64(text)).join(
+    kept_id, kept_hash, copies, own = (
+        arrays.fresh(c, docs) for c in ("_kept_id", "_kept_hash", "_copies", "_text_hash")
+    )
+    chosen = stage(chosen, "kept").toDF(kept_id, kept_hash, copies)
+    rows = docs.withColumn(own, F.xxhash64(text)).join(
         chosen,
-        (F.col("_text_hash") == F.col("_kept_hash")) & F.col(key).eqNullSafe(F.col("_kept_id")),
+        (F.col(own) == F.col(kept_hash)) & F.col(key).eqNullSafe(F.col(kept_id)),
     )
-    once = rows.where("_copies = 1").select(docs.columns)
-    again = rows.where("_copies > 1").dropDuplicates([key, "_text_hash"]).select(docs.columns)
+    once = rows.where(F.col(copies) == 1).select(docs.columns)
+    again = rows.where(F.col(copies) > 1).dropDuplicates([key, own]).select(docs.columns)
     return once.unionByName(again)

@@ -85,10 +85,12 @@ def _found(kind: str, pattern: str, group: int = 0, keep: str = "true") -> str:
 def _high() -> str:
     tests = []
     for _, alphabet, window, least in secret_scan.CLASSES:
+        width = f"least(len(value), {window})"
         tests.append(
-            f"""(translate(value, {_quoted(alphabet)}, '') = '' AND len(value) >= {window} AND
-     list_max(list_transform(range(1, len(value) - {window} + 2), lambda i:
-       list_aggregate(string_split(substr(value, i, {window}), ''), 'entropy'))) >= {least})"""
+            f"""(translate(value, {_quoted(alphabet)}, '') = '' AND
+     list_max(list_transform(range(1, len(value) - {width} + 2), lambda i:
+       list_aggregate(string_split(substr(value, i, {width}), ''), 'entropy')))
+     >= {least} * log2({width}) / log2({window}))"""
         )
     return " OR ".join(tests)
 

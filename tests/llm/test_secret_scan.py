@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ def base(text):
 
 
 def entropy(run, window):
-    best = 0.0
+    best, window = 0.0, min(len(run), window)
     for i in range(len(run) - window + 1):
         counts = Counter(run[i : i + window]).values()
         best = max(best, -sum(c / window * math.log2(c / window) for c in counts))
@@ -39,7 +41,10 @@ def extra(text, known):
             continue
         if any(b[0] < m.end() and m.start() < b[2] for b in known):
             continue
-        if any(set(run) <= set(a) and entropy(run, w) >= least for _, a, w, least in scan.CLASSES):
+        def bound(w, least, n=len(run)):
+            return least * math.log2(min(n, w)) / math.log2(w)
+
+        if any(set(run) <= set(a) and entropy(run, w) >= bound(w, least) for _, a, w, least in scan.CLASSES):
             out.append((m.start(), 3, m.end(), "entropy"))
     return out
 
@@ -80,10 +85,32 @@ def test_given_documents(documents):
 def test_window_entropy(spark):
     runs = ["abcdef0123456789", "0000000000000000", "00112233445566778899", "abc", "0123456789abcdefabcdabcd0000"]
     df = spark.createDataFrame([(r,) for r in runs], "r string")
-    got = [x[0] for x in df.select(scan.window_entropy(F.col("r"), "0123456789abcdef", 16)).collect()]
+    got = [x[0] for x in df.select(scan.window_entropy(F.col("r"), 16)).collect()]
     assert all(abs(a - entropy(r, 16)) < 1e-9 for a, r in zip(got, runs, strict=True))
 
 
+def test_runs_shorter_than_the_window(docs_of):
+    """Keys of 16 to 19 characters are one window, with a bound that follows their length."""
+    texts = ["x Zx9Qw2Er7Ty4Ui1O z", "x Zx9Qw2Er7Ty4Ui1O5p z", "x aaaaaaaaaaaaa1Aa z", "x aZ1aZ1aZ1aZ1aZ1aZ z"]
+    got = spans(scan.scan(docs_of(texts)).orderBy("doc_id"))
+    assert got == [tuple(plain(t)) for t in texts]
+    assert [len(s) for s in got] == [1, 1, 0, 0]
+
+
+def test_long_runs_and_many_matches_in_proportion(spark, docs_of):
+    """A run of 100,000 characters and 20,000 matches in a text, each in seconds."""
+    rng = random.Random(5)
+    low = "".join(rng.choice("ab1") for _ in range(100_000))
+    texts = [f"x {low} y", f"x {low}Zx9Qw2Er7Ty4Ui1O5pLk y", "0123456789abcdef " * 20_000]
+    scan.scan(docs_of(["warm Zx9Qw2Er7Ty4Ui1O5pLk"])).collect()
+    for text in texts:
+        docs = docs_of([text])
+        begin = time.perf_counter()
+        got = spans(scan.scan(docs))
+        assert time.perf_counter() - begin < 15
+        assert got == [tuple(plain(text))]
+
+
 def test_masking(docs_of):
     docs = docs_of(TEXTS)
     left = scan.redacted(docs, length="n_chars").orderBy("doc_id").collect()
@@ -98,7 +125,7 @@ def test_masking(docs_of):
 
 
 def test_odd_empty_and_clashing(odd_docs, documents):
-    named = odd_docs.withColumns({c: F.lit(1) for c in ("gap", "whole", "value", "found", "at", "spans2")})
+    named = odd_docs.withColumns({c: F.lit(1) for c in ("gap", "whole", "value", "found", "at", "spans2", "_spans", "_base_spans")})
     assert scan.redacted(named).columns == named.columns
     assert scan.scan(odd_docs).count() == odd_docs.count()
     assert scan.redacted(documents.limit(0)).count() == 0
