@@ -1,28 +1,36 @@
 """Benchmark decontamination: BM25 retrieval of test items for every passage.
 
-The test items are cut into entries of at most ``ENTRY_WORDS`` words, indexed by term.
+Question and answer of a test item (the text up to the first line break, and what
+follows) are cut into entries of at most ``ENTRY_WORDS`` words each, indexed by term.
 Every document is read as passages of ``PASSAGE_WORDS`` words that start every half
 passage, so each stretch as long as an entry lies in one passage as a whole. A passage
-is a query of its distinct words. It retrieves all entries that reach ``SHARE`` of
-the score an entry gives itself. Three bounds come before the scores, as in WAND with
+is a query of its distinct words. It retrieves all entries that reach the score they
+need. Three bounds come before the scores, as in WAND with
 block maxima: the sum of the terms' largest shares, the same with each term once, and
 for each block of entries the sum of the terms' largest shares in that block. All are
 upper bounds, so nothing above the threshold is lost.
 
+The needed score follows from ``OVERLAP``. In a part that reaches it, at most the other
+share of the five-word runs is missing. A word is uncovered only if all runs with it
+are, which costs a run for each such word at least, so the part lacks no more words than
+runs and one of its entries at most an equal share of them. The entry needs its own
+score without that many of its heaviest terms. So an item is retrieved wherever the
+words of an entry that the document holds lie in one passage. Runs strewn over longer
+stretches may fail to retrieve it.
+
 A retrieved item is confirmed on the whole document: at least ``OVERLAP`` of the
-five-word runs of its question and of its answer must occur. The question is the text
-up to the first line break, the answer what follows; a part without words asks
+five-word runs of its question and of its answer must occur. A part without words asks
 nothing, and a part of fewer than five words counts as one run.
 
 The index is built by Spark over all items and used in shards of at most
 ``SHARD_WORDS`` words (or one longer item), each broadcast for one pass over the
 documents. Words are runs of characters other than white space, A to Z in lower case.
 
-With ``bare`` (the stage of the pipeline; the query follows its SQL twin) words lose the
-signs before their first and after their last letter, mark or digit, and words of signs
-only go. A part of fewer than ``FEW_WORDS`` words then also counts with the share of its
-words that stand in order beside a match of the other part, and an item of fewer than
-``LEAST_WORDS`` words is asked for as one phrase.
+With ``bare`` words lose the signs before their first and after their last letter, mark
+or digit, words of signs only go, and an item of fewer than ``LEAST_WORDS`` words is asked
+for as one phrase. With ``in_order`` (the stage of the pipeline) a part of fewer than
+``FEW_WORDS`` words then also counts with the share of its words that stand in order
+beside a match of the other part.
 
 Defined results: items with a null text or (without ``bare``) fewer than ``LEAST_WORDS``
 words match nothing, nor do null or blank documents. Repeated rows and ids are answered row by
@@ -38,7 +46,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,7 +54,7 @@ from salesloom.llm import arrays
 from salesloom.workspace import stage
 
 ENTRY_WORDS, PASSAGE_WORDS = 32, 64
-SHARE, OVERLAP = 0.5, 0.8
+OVERLAP = 0.8
 LEAST_WORDS, RUN = 5, 5
 FEW_WORDS = 10
 SIGNS = r"^[^\pL\pM\pN]+|[^\pL\pM\pN]+$"
@@ -68,34 +76,44 @@ def _hashes(texts: pa.Array, bare: bool) -> tuple[np.ndarray, np.ndarray]:
     return arrays.word_hashes(own)[place[real]], before[starts]
 
 
-def _entries(bare: bool):
+def _needed(words: np.ndarray, overlap: float) -> list[tuple[np.ndarray, int]]:
+    """Entries of a part, and how many words each may lack."""
+    if not len(words):
+        return []
+    size = min(RUN, len(words))
+    runs = len(np.unique(arrays.shingles(words, np.array([0, len(words)]), size)[0]))
+    missing = int((1 - overlap) * runs + 1e-9)
+    entries = np.array_split(words, -(-len(words) // ENTRY_WORDS))
+    return [(own, missing // len(entries)) for own in entries]
+
+
+def _entries(bare: bool, overlap: float):
     """Terms of the entries of each item: number within the item, length, frequencies."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in arrays.sliced(batch, "text"):
-                hashes, starts = _hashes(part.column("text"), bare)
-                rows = []
-                for i, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
-                    if b - a < (1 if bare else LEAST_WORDS):
-                        continue
-                    for n, own in enumerate(np.array_split(hashes[a:b], -(-(b - a) // ENTRY_WORDS))):
-                        terms, counts = np.unique(own, return_counts=True)
-                        rows.append((i, n, len(own), terms, counts))
-                sizes = [len(r[3]) for r in rows]
-                column = lambda k: np.repeat([r[k] for r in rows], sizes).astype(np.int64)
-                terms = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.uint64)
-                counts = np.concatenate([r[4] for r in rows]) if rows else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("item").take(pa.array(column(0))),
-                        pa.array(column(1)),
-                        pa.array(column(2)),
-                        pa.array(terms.view(np.int64)),
-                        pa.array(counts.astype(np.int64)),
-                    ],
-                    names=["item", "entry", "size", "term", "n"],
-                )
+            rows = []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                parts = _words_of(text, bare)
+                if not bare and sum(map(len, parts)) < LEAST_WORDS:
+                    continue
+                entries = [e for words in parts for e in _needed(words, overlap)]
+                for n, (own, spare) in enumerate(entries):
+                    terms, counts = np.unique(own, return_counts=True)
+                    rows.append((i, n, len(own), spare, terms, counts))
+            sizes = [len(r[4]) for r in rows]
+            column = lambda k: np.repeat([r[k] for r in rows], sizes).astype(np.int64)
+            terms = np.concatenate([r[4] for r in rows]) if rows else np.zeros(0, np.uint64)
+            counts = np.concatenate([r[5] for r in rows]) if rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("item").take(pa.array(column(0))),
+                    *(pa.array(column(k)) for k in (1, 2, 3)),
+                    pa.array(terms.view(np.int64)),
+                    pa.array(counts.astype(np.int64)),
+                ],
+                names=["item", "entry", "size", "spare", "term", "n"],
+            )
 
     return work
 
@@ -109,7 +127,7 @@ class Index:
     terms: np.ndarray
     begin: np.ndarray  # first posting of each term, n + 1 numbers
     entry: np.ndarray  # entry of each posting, rising within a term
-    share: np.ndarray  # part of the entry's own score that the term gives
+    share: np.ndarray  # part of the entry's needed score that the term gives
     top: np.ndarray  # largest share of each term
     block_begin: np.ndarray  # first block row of each term, n + 1 numbers
     block: np.ndarray
@@ -127,15 +145,20 @@ def _part(words: np.ndarray) -> tuple[int, np.ndarray, np.ndarray] | None:
     return size, np.unique(arrays.shingles(words, np.array([0, len(words)]), size)[0]), words
 
 
-def _parts(text: str, bare: bool) -> list[tuple[int, np.ndarray, np.ndarray] | None]:
+def _words_of(text: str, bare: bool) -> list[np.ndarray]:
+    """Hashes of the words of question and answer; all in one for an item of few words."""
     question, _, answer = text.partition("\n")
     own = [_hashes(pa.array([t]), bare)[0] for t in (question, answer)]
     whole = np.concatenate(own)
-    return [_part(w) for w in ((whole, whole[:0]) if len(whole) < LEAST_WORDS else own)]
+    return [whole, whole[:0]] if len(whole) < LEAST_WORDS else own
+
+
+def _parts(text: str, bare: bool) -> list[tuple[int, np.ndarray, np.ndarray] | None]:
+    return [_part(words) for words in _words_of(text, bare)]
 
 
 def build_index(items: pa.Table, postings: pa.Table, bare: bool = False) -> Index:
-    """``items``: item, item_id, text; ``postings``: item, entry, term, weight, own."""
+    """``items``: item, item_id, text; ``postings``: item, entry, term, weight, needed."""
     listed = items.column("item").to_pylist()
     number = {x: i for i, x in enumerate(listed)}
     item = np.array([number[x] for x in postings.column("item").to_pylist()], dtype=np.int64)
@@ -143,7 +166,7 @@ def build_index(items: pa.Table, postings: pa.Table, bare: bool = False) -> Inde
     pair, entries = np.unique(np.stack([item, entry], axis=1), axis=0, return_inverse=True)
     entries = entries.reshape(-1)
     term = postings.column("term").to_numpy().view(np.uint64)
-    share = postings.column("weight").to_numpy() / postings.column("own").to_numpy()
+    share = postings.column("weight").to_numpy() / postings.column("needed").to_numpy()
     order = np.lexsort((entries, term))
     term, entries, share = term[order], entries[order], share[order]
     terms, begin = np.unique(term, return_index=True)
@@ -180,9 +203,12 @@ def _spread(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def retrieve(
-    index: Index, hashes: np.ndarray, starts: np.ndarray, share: float = SHARE
+    index: Index, hashes: np.ndarray, starts: np.ndarray, share: float = 1.0
 ) -> list[tuple[int, int, float]]:
-    """(text, item, best share) for all items that a passage of the text retrieves."""
+    """(text, item, best share) for all items that a passage of the text retrieves.
+
+    Shares are multiples of the score that an entry needs.
+    """
     if not len(index.terms) or not len(hashes):
         return []
     half = PASSAGE_WORDS // 2
@@ -267,11 +293,11 @@ def _beside(words: np.ndarray, wanted: np.ndarray, other: tuple, at: np.ndarray,
     return best / len(wanted)
 
 
-def _confirmed(index: Index, part: pa.RecordBatch, share: float, overlap: float) -> list[tuple]:
+def _confirmed(index: Index, part: pa.RecordBatch, overlap: float, in_order: bool) -> list[tuple]:
     """(row, item number, share, question overlap, answer overlap) of confirmed matches."""
     hashes, starts = _hashes(part.column("text"), index.bare)
     rows, runs = [], {}
-    for row, item, score in retrieve(index, hashes, starts, share):
+    for row, item, score in retrieve(index, hashes, starts):
         words = hashes[starts[row] : starts[row + 1]]
         shares = []
         for wanted in index.parts[item]:
@@ -282,7 +308,7 @@ def _confirmed(index: Index, part: pa.RecordBatch, share: float, overlap: float)
             if (row, size) not in runs:
                 runs[(row, size)] = arrays.shingles(words, np.array([0, len(words)]), size)[0]
             shares.append(float(np.isin(own, runs[(row, size)]).mean()))
-        if index.bare and None not in shares and max(shares) >= overlap > min(shares):
+        if in_order and None not in shares and max(shares) >= overlap > min(shares):
             low = int(shares[1] < overlap)
             wanted, other = index.parts[item][low], index.parts[item][1 - low]
             if len(wanted[2]) < FEW_WORDS:
@@ -293,13 +319,14 @@ def _confirmed(index: Index, part: pa.RecordBatch, share: float, overlap: float)
     return rows
 
 
-def _shards(items: DataFrame, item_id: str, text: str, bare: bool = False) -> Iterator[Index]:
-    rows = items.select(
-        F.col(item_id).alias("item_id"), F.col(text).alias("text"), F.lit(0).alias("zero")
-    ).where("text is not null")
-    rows = stage(rows.drop("zero").withColumn("item", F.monotonically_increasing_id()), "items")
-    kind = "item long, entry long, size long, term long, n long"
-    terms = stage(rows.select("item", "text").mapInArrow(_entries(bare), kind), "postings")
+def _shards(
+    items: DataFrame, item_id: str, text: str, bare: bool = False, overlap: float = OVERLAP
+) -> Iterator[Index]:
+    rows = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
+    rows = rows.where("text is not null").withColumn("item", F.monotonically_increasing_id())
+    rows = stage(rows, "items")
+    kind = "item long, entry long, size long, spare long, term long, n long"
+    terms = stage(rows.select("item", "text").mapInArrow(_entries(bare, overlap), kind), "postings")
     entries = terms.select("item", "entry", "size").distinct()
     count, mean, words = entries.agg(F.count("*"), F.avg("size"), F.sum("size")).first()
     if not count:
@@ -310,11 +337,14 @@ def _shards(items: DataFrame, item_id: str, text: str, bare: bool = False) -> It
     weighted = terms.join(found, "term").withColumn(
         "weight", idf * F.col("n") * (K1 + 1) / (F.col("n") + norm)
     )
-    own = weighted.groupBy("item", "entry").agg(F.sum("weight").alias("own"))
+    # The rows of an entry are its terms, at most ``ENTRY_WORDS``.
+    entry = Window.partitionBy("item", "entry")
+    heavy = F.row_number().over(entry.orderBy(F.desc("weight"), "term"))
+    needed = F.sum(F.when(F.col("heavy") > F.col("spare"), F.col("weight"))).over(entry)
+    weighted = weighted.withColumn("heavy", heavy).withColumn("needed", needed)
     shards = -(-words // SHARD_WORDS)
     shard = F.pmod(F.xxhash64("item"), F.lit(shards)).alias("shard")
-    weighted = weighted.join(own, ["item", "entry"]).select("item", "entry", "term", "weight", "own", shard)
-    weighted = stage(weighted, "weights")
+    weighted = stage(weighted.select("item", "entry", "term", "weight", "needed", shard), "weights")
     for number in range(shards):
         postings = weighted.where(F.col("shard") == number).drop("shard")
         used = rows.join(postings.select("item").distinct(), "item")
@@ -328,13 +358,13 @@ def matches(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    share: float = SHARE,
     overlap: float = OVERLAP,
     bare: bool = False,
+    in_order: bool = False,
 ) -> DataFrame:
     """Confirmed matches: doc_id, item_id, share, question_overlap, answer_overlap.
 
-    An overlap is null where the item has no such part.
+    The share is the best one of an entry, as a multiple of what it needs. An overlap is null where the item has no such part.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
@@ -349,7 +379,7 @@ def matches(
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in arrays.sliced(batch, "text"):
-                    found = _confirmed(shared.value, part, share, overlap)
+                    found = _confirmed(shared.value, part, overlap, in_order)
                     if not found:
                         continue
                     at, item, *numbers = zip(*found, strict=True)
@@ -361,7 +391,7 @@ def matches(
         return rows.mapInArrow(work, schema)
 
     found = None
-    for index in _shards(items, item_id, item_text, bare):
+    for index in _shards(items, item_id, item_text, bare, overlap):
         one = searched(index)
         found = one if found is None else found.unionByName(one)
     return spark.createDataFrame([], schema) if found is None else found
@@ -373,17 +403,17 @@ def clean(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    share: float = SHARE,
     overlap: float = OVERLAP,
     bare: bool = False,
+    in_order: bool = False,
 ) -> DataFrame:
     """The documents that contain no test item, with all their columns. No shuffle."""
-    for index in _shards(items, item_id, item_text, bare):
-        docs = _without(docs, index, text, share, overlap)
+    for index in _shards(items, item_id, item_text, bare, overlap):
+        docs = _without(docs, index, text, overlap, in_order)
     return docs
 
 
-def _without(docs: DataFrame, index: Index, text: str, share: float, overlap: float) -> DataFrame:
+def _without(docs: DataFrame, index: Index, text: str, overlap: float, in_order: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,7 +421,7 @@ def _without(docs: DataFrame, index: Index, text: str, share: float, overlap: fl
             for part in arrays.sliced(batch, text):
                 only = pa.RecordBatch.from_arrays([part.column(text)], names=["text"])
                 keep = np.ones(part.num_rows, dtype=bool)
-                keep[[r[0] for r in _confirmed(shared.value, only, share, overlap)]] = False
+                keep[[r[0] for r in _confirmed(shared.value, only, overlap, in_order)]] = False
                 yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(work, T.StructType(docs.schema.fields))

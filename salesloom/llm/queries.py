@@ -71,7 +71,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_decontamination", DECONTAMINATION)
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.matches(
-        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), bare=True
     )
     return found.select(
         "doc_id",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from salesloom.llm import merkle, secret_scan, spelling
+from salesloom.llm import decontamination, merkle, secret_scan, spelling
 
 _LOWER = (
     f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
@@ -19,28 +19,33 @@ def _runs(words: str, size: str) -> str:
     )
 
 
-# Every item whose question and answer runs occur in a document, without retrieval: an
-# item that passes has most of its words in one passage, so retrieval must find it.
+def _bare(text: str) -> str:
+    """Words without the signs at their ends; words of signs only go."""
+    parts = f"list_filter(regexp_split_to_array({text}, '{_SPACE}'), lambda x: x <> '')"
+    trimmed = f"list_transform({parts}, lambda x: regexp_replace(x, '{decontamination.SIGNS}', '', 'g'))"
+    return f"list_filter({trimmed}, lambda x: x <> '')"
+
+
+_ANSWER = "CASE WHEN contains(low, chr(10)) THEN substr(low, instr(low, chr(10)) + 1) ELSE '' END"
+
+# Every item whose question and answer runs occur in a document, without retrieval. An
+# item of few words is one part.
 DECONTAMINATION = rf"""
 WITH doc AS (
-  SELECT row_number() OVER () AS n, doc_id,
-         list_filter(regexp_split_to_array({_LOWER}, '{_SPACE}'), lambda x: x <> '') AS words
+  SELECT row_number() OVER () AS n, doc_id, {_bare(_LOWER)} AS words
   FROM documents),
 item AS (
   SELECT row_number() OVER () AS m, item_id, {_LOWER} AS low FROM benchmark),
+cut AS (
+  SELECT m, item_id, {_bare("split_part(low, chr(10), 1)")} AS question, {_bare(_ANSWER)} AS answer FROM item),
 part AS (
   SELECT m, item_id, 1 AS k,
-         list_filter(regexp_split_to_array(split_part(low, chr(10), 1), '{_SPACE}'), lambda x: x <> '') AS words
-  FROM item
+         CASE WHEN len(question) + len(answer) < {decontamination.LEAST_WORDS}
+              THEN list_concat(question, answer) ELSE question END AS words FROM cut
   UNION ALL
-  SELECT m, item_id, 2,
-         list_filter(regexp_split_to_array(CASE WHEN contains(low, chr(10))
-                       THEN substr(low, instr(low, chr(10)) + 1) ELSE '' END, '{_SPACE}'), lambda x: x <> '')
-  FROM item),
-long_item AS (SELECT m FROM part GROUP BY m HAVING sum(len(words)) >= 5),
+  SELECT m, item_id, 2, answer FROM cut WHERE len(question) + len(answer) >= {decontamination.LEAST_WORDS}),
 sized AS (
-  SELECT m, item_id, k, least(len(words), 5) AS size, words
-  FROM part SEMI JOIN long_item USING (m) WHERE len(words) > 0),
+  SELECT m, item_id, k, least(len(words), 5) AS size, words FROM part WHERE len(words) > 0),
 part_run AS (
   SELECT DISTINCT m, item_id, k, size, unnest({_runs("words", "size")}) AS run FROM sized),
 part_size AS (SELECT m, item_id, k, count(*) AS runs FROM part_run GROUP BY ALL),

@@ -17,22 +17,26 @@ def words(text):
 
 
 def split(items):
+    """Entries: item, words, and how many of them it may lack."""
     out = []
     for item_id, text in items:
-        own = words(text)
-        if len(own) < dc.LEAST_WORDS:
+        parts = [words(t) for t in text.partition("\n")[::2]]
+        if sum(map(len, parts)) < dc.LEAST_WORDS:
             continue
-        n = -(-len(own) // dc.ENTRY_WORDS)
-        size, more = divmod(len(own), n)
-        at = 0
-        for k in range(n):
-            end = at + size + (k < more)
-            out.append((item_id, text, own[at:end]))
-            at = end
+        for own in filter(None, parts):
+            n, run = -(-len(own) // dc.ENTRY_WORDS), min(5, len(own))
+            runs = {tuple(own[i : i + run]) for i in range(len(own) - run + 1)}
+            missing = len(runs) - math.ceil(dc.OVERLAP * len(runs) - 1e-9)
+            size, more = divmod(len(own), n)
+            at = 0
+            for k in range(n):
+                end = at + size + (k < more)
+                out.append((item_id, text, missing // n, own[at:end]))
+                at = end
     return out
 
 
-def retrieved(items, text, share=dc.SHARE):
+def retrieved(items, text, share=1.0):
     """Best share of each item (by place) over all passages, scored without any bound."""
     entries = split(items)
     df = Counter(t for *_, own in entries for t in set(own))
@@ -41,13 +45,14 @@ def retrieved(items, text, share=dc.SHARE):
     own_text, half = words(text), dc.PASSAGE_WORDS // 2
     for start in range(0, max(len(own_text), 1), half):
         query = set(own_text[start : start + dc.PASSAGE_WORDS])
-        for item_id, item_text, own in entries:
+        for item_id, item_text, spare, own in entries:
             weights = {}
             for t, n in Counter(own).items():
                 idf = math.log(1 + (len(entries) - df[t] + 0.5) / (df[t] + 0.5))
                 norm = dc.K1 * (1 - dc.B + dc.B * len(own) / mean)
                 weights[t] = idf * n * (dc.K1 + 1) / (n + norm)
-            score = sum(w for t, w in weights.items() if t in query) / sum(weights.values())
+            needed = sum(sorted(weights.values(), reverse=True)[spare:])
+            score = sum(w for t, w in weights.items() if t in query) / needed
             if score >= share - 1e-9:
                 best[(item_id, item_text)] = max(best.get((item_id, item_text), 0), score)
     return best
@@ -133,6 +138,30 @@ def test_question_and_answer(spark, docs_of):
     assert got == {0}
 
 
+def test_parts_far_from_each_other(spark, docs_of):
+    """Eight of nine words of question and answer each, 200 words apart, and rare last words."""
+    question = [f"q{i}" for i in range(9)]
+    answer_words = [f"a{i}" for i in range(9)]
+    common = [" ".join(question[:8] + answer_words[:8])] * 30
+    items = [f"{' '.join(question)}\n{' '.join(answer_words)}", *common]
+    gap = " ".join(f"x{i}" for i in range(200))
+    texts = [
+        f"{' '.join(question[:8])} {gap} {' '.join(answer_words[:8])}",
+        f"{gap} {' '.join(answer_words[:8])} {gap} {' '.join(question[:8])}",
+        f"{' '.join(question[:7])} {gap} {' '.join(answer_words[:8])}",
+    ]
+    for bare in (False, True):
+        found = dc.matches(docs_of(texts), items_of(spark, items), bare=bare).where("item_id = 0").collect()
+        assert {(r.doc_id, r.question_overlap, r.answer_overlap) for r in found} == {(0, 0.8, 0.8), (1, 0.8, 0.8)}
+
+
+def test_short_items_and_signs_in_the_query(spark, docs_of):
+    items = ["short\nphrase", "herman melville, did so"]
+    texts = ["a (short) phrase!", "phrase short", "Herman Melville did so.%%%", "herman did so melville"]
+    got = dc.matches(docs_of(texts), items_of(spark, items), bare=True).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (2, 1)}
+
+
 def test_shards_and_clean(spark, documents, monkeypatch):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     whole = answer(documents, items)
@@ -176,9 +205,9 @@ def test_bare_words(spark, docs_of):
         ". ... !",
         None,
     ]
-    got = dc.matches(docs_of(texts), items_of(spark, items), bare=True).collect()
+    got = dc.matches(docs_of(texts), items_of(spark, items), bare=True, in_order=True).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (1, 1), (5, 2)}
-    left = dc.clean(docs_of(texts), items_of(spark, items), bare=True)
+    left = dc.clean(docs_of(texts), items_of(spark, items), bare=True, in_order=True)
     assert {r.doc_id for r in left.collect()} == set(range(9)) - {0, 1, 5}
 
 
@@ -187,4 +216,6 @@ def test_document_262(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id = 262")
+    items = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    assert [r.item_id for r in dc.matches(docs, items, bare=True).collect()] == [11]
     assert docs.count() == 1 and corpus_pipeline.drop_test_items(spark, docs, "/root/testdata/sf0.1").count() == 0
