@@ -3,14 +3,17 @@
 A page is read once into blocks: text of one element that starts a new line, with the
 path of tags from the root to it. Per path the length of the text outside links and
 its punctuation are added up and divided by the number of blocks. Both ratios are
-smoothed over similar paths, weighted by the part of the path that they share, and
-multiplied. Paths at or above ``SHARE`` of the standard deviation are content. The
-content node is the smallest container of the blocks on these paths; its other blocks
-(headings, short paragraphs, lists) belong to the text, too.
-
-What an author marks as something else is no candidate: navigation, page headers and
-footers, asides, forms, scripts, styles, and elements whose role, class or id says
-advert, menu, notice, comments and the like.
+smoothed over similar paths, weighted by the part of the path that they share: paths
+form a tree, and sums for each of its nodes give all smoothed values in one walk. The
+ratios are multiplied, and paths at or above ``SHARE`` of the standard deviation are
+content. The content node is the smallest container of the blocks on these paths; its
+other blocks (headings, short paragraphs, lists) belong to the text, too.
+
+Navigation, page headers and footers, asides, forms, scripts, styles and elements with
+such a role are no candidates. A class or id that names an advert, menu, notice, comments
+and the like is a hint: text in it counts ``HINTED`` of its length, and is left out
+unless the content node itself lies in it. Time and memory are in proportion to the page,
+also where tags do not end, every block has a path of its own, or elements nest deeply.
 
 Character references are decoded, white space inside a block becomes one space, and
 blocks are joined by a line break. Defined results: null, empty and blank pages give
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +37,16 @@ from pyspark.sql import functions as F
 from salesloom.llm import arrays
 
 SHARE = 0.5
+HINTED = 0.02
 
 RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video"
+# Attributes up to the tag's end. Signs are taken once and for good, and an open quote
+# aside nothing reaches past the next tag.
+ATTRIBUTES = r"""(?:[^'"<>]|"[^"]*"|'[^']*')*+"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\b[^>]*(?:>|\Z)|\Z))"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)"
-    r"(?P<rest>(?:\s+(?:\"[^\"]*\"|'[^']*'|[^'\">])*|/)?)>"
-    r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b{ATTRIBUTES}(?:(?<=/)>|>.*?(?:</(?P=raw)\b[^>]*(?:>|\Z)|\Z))"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[\s/]{ATTRIBUTES})?)>"
+    r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*+(?:>|\Z)",
     re.S | re.I,
 )
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -77,13 +84,16 @@ OTHER_WORDS = frozenset(
 )
 
 
-def _other(tag: str, names: dict[str, str], in_article: bool) -> bool:
-    """Whether an element is marked as something beside the article."""
+def _beside(tag: str, names: dict[str, str], in_article: bool) -> bool:
+    """Whether an element is none of the article by its tag or role."""
     if tag in OTHER_TAGS or (tag == "header" and not in_article):
         return True
-    if names.get("role", "").lower() in OTHER_ROLES:
-        return True
-    if tag in ("html", "body", "main"):
+    return names.get("role", "").lower() in OTHER_ROLES
+
+
+def _hinted(tag: str, names: dict[str, str], in_article: bool) -> bool:
+    """Whether class or id name something beside the article."""
+    if tag in ("html", "body", "main", "article"):
         return False
     for word in re.split(r"\s+", f"{names.get('class', '')} {names.get('id', '')}".lower()):
         parts = re.split(r"[-_]+", word)
@@ -96,22 +106,46 @@ def _other(tag: str, names: dict[str, str], in_article: bool) -> bool:
     return False
 
 
+class Paths:
+    """Paths of block tags as a tree: each node has a parent, and a number above it."""
+
+    def __init__(self):
+        self.parent, self.depth = [-1], [0]
+        self.known: dict[tuple[int, str], int] = {}
+
+    def step(self, path: int, name: str) -> int:
+        found = self.known.setdefault((path, name), len(self.parent))
+        if found == len(self.parent):
+            self.parent.append(path)
+            self.depth.append(self.depth[path] + 1)
+        return found
+
+
 class _Node:
-    """An open element: tag, path of block tags to it, whether it may hold content."""
+    """An open element: tag, path of block tags to it, whether it may hold content.
+
+    ``hint`` is the number of the closest element around it that is hinted at, or -1.
+    """
 
-    __slots__ = ("article", "link", "number", "parent", "path", "skip", "tag")
+    __slots__ = ("article", "block", "hint", "link", "number", "parent", "path", "skip", "tag")
 
-    def __init__(self, tag, path, skip, link, article, number, parent):
+    def __init__(self, tag, path, skip, link, article, number, parent, hint):
         self.tag, self.path, self.skip, self.link = tag, path, skip, link
-        self.article, self.number, self.parent = article, number, parent
+        self.article, self.number, self.parent, self.hint = article, number, parent, hint
+        self.block = self
 
 
 class Page:
-    """Blocks of a page in order: node, text, and characters outside links."""
+    """Blocks of a page in order: node, text, and characters outside links, without spaces.
+
+    Nodes are numbered in the order of their start, so those within a node follow it.
+    """
 
     def __init__(self, source: str):
-        self.nodes: list[_Node] = [_Node("", "", False, False, False, 0, -1)]
+        self.paths = Paths()
+        self.nodes: list[_Node] = [_Node("", 0, False, False, False, 0, -1, -1)]
         self.stack = [self.nodes[0]]
+        self.open: Counter[str] = Counter()
         self.blocks: list[tuple[_Node, str, int]] = []
         self.text: list[str] = []
         self.linked = 0
@@ -136,19 +170,14 @@ class Page:
         if not top.skip:
             self.text.append(piece)
             if top.link:
-                self.linked += len(piece.strip())
-
-    def _block(self) -> _Node:
-        for node in reversed(self.stack):
-            if node.tag not in INLINE:
-                return node
-        return self.nodes[0]
+                self.linked += len("".join(piece.split()))
 
     def _flush(self) -> None:
         if self.text:
             text = " ".join(html.unescape("".join(self.text)).split())
             if text:
-                self.blocks.append((self._block(), text, max(0, len(text) - self.linked)))
+                own = len(text) - text.count(" ") - self.linked
+                self.blocks.append((self.stack[-1].block, text, max(0, own)))
         self.text, self.linked = [], 0
 
     def _start(self, tag: str, rest: str) -> None:
@@ -165,25 +194,33 @@ class Page:
             return
         top = self.stack[-1]
         names = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in NAMED.finditer(rest)} if rest else {}
-        skip = top.skip or _other(tag, names, top.article)
-        step = tag
-        if not inline and names.get("class"):
-            step = f"{tag}.{names['class'].split()[0] if names['class'].split() else ''}"
-        path = top.path if inline else f"{top.path}/{step}"
-        node = _Node(
-            tag, path, skip, top.link or tag == "a", top.article or tag in ("article", "main"),
-            len(self.nodes), top.number,
-        )
-        if not inline:
-            self.nodes.append(node)
+        skip = top.skip or _beside(tag, names, top.article)
+        hinted = bool(names) and _hinted(tag, names, top.article)
+        link, article = top.link or tag == "a", top.article or tag in ("article", "main")
+        if inline:
+            node = _Node(tag, top.path, skip or hinted, link, article, top.number, top.number, top.hint)
+            node.block = top.block
         else:
-            node.number = top.number
+            classes = names.get("class", "").split()
+            path = self.paths.step(top.path, f"{tag}.{classes[0]}" if classes else tag)
+            number = len(self.nodes)
+            hint = number if hinted else top.hint
+            node = _Node(tag, path, skip, link, article, number, top.number, hint)
+            self.nodes.append(node)
         self.stack.append(node)
+        self.open[tag] += 1
+
+    def _cut(self, i: int) -> None:
+        for node in self.stack[i:]:
+            self.open[node.tag] -= 1
+        del self.stack[i:]
 
     def _close(self, tags: set[str], bound: set[str]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag in tags:
-                del self.stack[i:]
+                self._cut(i)
                 return
             if self.stack[i].tag in bound:
                 return
@@ -195,32 +232,51 @@ class Page:
             return
         if tag not in INLINE:
             self._flush()
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
-                del self.stack[i:]
+                self._cut(i)
                 return
             if tag in INLINE and self.stack[i].tag not in INLINE:
                 return
 
-
-def path_scores(blocks: list[tuple[str, int, int]]) -> dict[str, float]:
-    """Fused ratio of each path from (path, characters, punctuation) of its blocks."""
-    paths = list(dict.fromkeys(p for p, _, _ in blocks))
-    place = {p: i for i, p in enumerate(paths)}
-    sums = np.zeros((len(paths), 3))
-    for p, chars, signs in blocks:
-        sums[place[p]] += (chars, signs, 1)
-    ratios = sums[:, :2] / sums[:, 2:]
-    steps = [p.split("/") for p in paths]
-    near = np.ones((len(paths), len(paths)))
-    for i, a in enumerate(steps):
-        for j, b in enumerate(steps[:i]):
-            shared = 0
-            while shared < min(len(a), len(b)) and a[shared] == b[shared]:
-                shared += 1
-            near[i, j] = near[j, i] = (shared / max(len(a), len(b))) ** 4
-    smooth = near @ ratios / near.sum(axis=1, keepdims=True)
-    return dict(zip(paths, (smooth[:, 0] * (1 + smooth[:, 1])).tolist(), strict=True))
+    def ends(self) -> np.ndarray:
+        """Number of the last node within each node."""
+        last = list(range(len(self.nodes)))
+        for node in reversed(self.nodes[1:]):
+            last[node.parent] = max(last[node.parent], last[node.number])
+        return np.array(last)
+
+
+def path_scores(paths: Paths, blocks: list[tuple[int, float, float]]) -> dict[int, float]:
+    """Fused ratio of each path from (path, characters, punctuation) of its blocks.
+
+    A path of depth d ends at a place of its own at d + 1. Two paths that share s steps
+    count for each other with (s / (d + 1)) ** 4. All paths below a node share its depth
+    at least, so what shares exactly a node's depth is its sum without that of the child
+    on the way.
+    """
+    sums: dict[int, np.ndarray] = {}
+    for path, chars, signs in blocks:
+        own = sums.setdefault(path, np.zeros(3))
+        own += (chars, signs, 1)
+    ratios = np.zeros((len(paths.parent), 3))  # ratios of a path, and that it is one
+    for path, own in sums.items():
+        ratios[path] = (own[0] / own[2], own[1] / own[2], 1)
+    below = ratios.copy()
+    for path in range(len(below) - 1, 0, -1):
+        below[paths.parent[path]] += below[path]
+    depth = np.array(paths.depth, dtype=np.float64)
+    above = np.zeros_like(below)  # what paths that part from this one further up add
+    for path in range(1, len(below)):
+        up = paths.parent[path]
+        above[path] = above[up] + depth[up] ** 4 * (below[up] - below[path])
+    scores = {}
+    for path in sums:
+        own = above[path] + depth[path] ** 4 * (below[path] - ratios[path]) + (depth[path] + 1) ** 4 * ratios[path]
+        scores[path] = float(own[0] / own[2] * (1 + own[1] / own[2]))
+    return scores
 
 
 def main_text(source: str | None, share: float = SHARE) -> str:
@@ -231,41 +287,56 @@ def main_text(source: str | None, share: float = SHARE) -> str:
     blocks = page.blocks
     if not blocks:
         return ""
-    scores = path_scores([(n.path, own, len(PUNCTUATION.findall(t))) for n, t, own in blocks])
+    weights = [HINTED if n.hint >= 0 else 1.0 for n, _, _ in blocks]
+    scores = path_scores(
+        page.paths,
+        [
+            (n.path, w * own, w * len(PUNCTUATION.findall(t)))
+            for w, (n, t, own) in zip(weights, blocks, strict=True)
+        ],
+    )
     values = np.array(list(scores.values()))
     bound = min(share * values.std(), values.max())
-    chosen = [n for n, _, _ in blocks if scores[n.path] >= bound]
-    inside = _container(page, chosen)
-    return "\n".join(t for n, t, _ in blocks if inside in _line(page, n))
-
-
-def _line(page: Page, node: _Node) -> list[int]:
-    """Numbers of a node and its ancestors, the node first."""
-    out = [node.number]
-    while page.nodes[out[-1]].parent >= 0:
-        out.append(page.nodes[out[-1]].parent)
-    return out
-
-
-def _container(page: Page, chosen: list[_Node]) -> int:
-    """The smallest container of the chosen nodes, the article around it if there is
-    one, and else its parent while that adds headings only."""
-    shared = _line(page, chosen[0])
-    for node in chosen[1:]:
-        own = set(_line(page, node))
-        shared = [x for x in shared if x in own]
-    shared = [x for x in shared if page.nodes[x].tag in CONTAINERS or x == 0]
+    best = [n for n, _, _ in blocks if scores[n.path] >= bound]
+    # A path may hold blocks with and without a hint.
+    chosen = [n for n in best if n.hint < 0] or best
+    inside, base, last = _container(page, chosen)
+    # What is hinted at belongs to the text only where it holds the content itself.
+    return "\n".join(
+        t
+        for n, t, _ in blocks
+        if inside <= n.number <= last[inside] and (n.hint < 0 or n.hint <= base <= last[n.hint])
+    )
+
+
+def _container(page: Page, chosen: list[_Node]) -> tuple[int, int, np.ndarray]:
+    """The content node, the smallest container of the chosen nodes, and the ends of all.
+
+    The content node is the article around that container if there is one, and else its
+    parent while that adds headings only.
+    """
+    last = page.ends()
+    numbers = [n.number for n in chosen]
+    low, high = min(numbers), max(numbers)
+    shared, at = [], low
+    while at >= 0:
+        node = page.nodes[at]
+        if last[at] >= high and (node.tag in CONTAINERS or at == 0):
+            shared.append(at)
+        at = node.parent
     marked = [x for x in shared if page.nodes[x].tag in ("article", "main")]
     if marked:
-        return marked[0]
-    lines = [(set(_line(page, n)), n.tag) for n, _, _ in page.blocks]
+        return marked[0], shared[0], last
+    plain = np.zeros(len(page.nodes) + 1, dtype=np.int64)
+    for node, _, _ in page.blocks:
+        plain[node.number + 1] += node.tag not in HEADINGS
+    plain = np.cumsum(plain)
     inside = shared[0]
     for above in shared[1:]:
-        if all(inside in line or tag in HEADINGS for line, tag in lines if above in line):
-            inside = above
-        else:
+        if plain[last[above] + 1] - plain[above] > plain[last[inside] + 1] - plain[inside]:
             break
-    return inside
+        inside = above
+    return inside, shared[0], last
 
 
 def extract(

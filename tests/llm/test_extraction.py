@@ -1,7 +1,9 @@
 """Main text of hand-made pages and of the given ones."""
 
 import html
+import random
 import re
+import time
 
 import pytest
 
@@ -89,6 +91,87 @@ def test_odd_rows(spark):
     assert extraction.extract(df.limit(0)).count() == 0
 
 
+def scored(rows):
+    """Scores by the text of a path, of (path, characters, punctuation)."""
+    paths, number = extraction.Paths(), {}
+    for text, _, _ in rows:
+        at = 0
+        for name in text.split("/")[1:]:
+            at = paths.step(at, name)
+        number[text] = at
+    found = extraction.path_scores(paths, [(number[p], c, s) for p, c, s in rows])
+    return {p: found[k] for p, k in number.items()}
+
+
 def test_scores_follow_length_and_punctuation():
-    scores = extraction.path_scores([("/a/p", 100, 8), ("/a/p", 60, 4), ("/b/li", 8, 0), ("/b/li", 6, 0)])
+    scores = scored([("/a/p", 100, 8), ("/a/p", 60, 4), ("/b/li", 8, 0), ("/b/li", 6, 0)])
     assert scores["/a/p"] > 10 * scores["/b/li"]
+
+
+def plain_scores(rows):
+    """All pairs of paths: ratios smoothed by the share of the steps in common."""
+    paths = sorted({p for p, _, _ in rows})
+    ratio = {}
+    for p in paths:
+        own = [(c, s) for q, c, s in rows if q == p]
+        ratio[p] = [sum(x[k] for x in own) / len(own) for k in (0, 1)]
+    out = {}
+    for a in paths:
+        total, weight = [0.0, 0.0], 0.0
+        steps = [*a.split("/")[1:], "end"]
+        for b in paths:
+            others, shared = [*b.split("/")[1:], "end"], 0
+            while shared < min(len(steps), len(others)) and steps[shared] == others[shared]:
+                shared += 1
+            w = (shared / len(steps)) ** 4
+            weight += w
+            total = [t + w * r for t, r in zip(total, ratio[b], strict=True)]
+        out[a] = total[0] / weight * (1 + total[1] / weight)
+    return out
+
+
+def test_scores_equal_all_pairs_of_paths():
+    rng = random.Random(4)
+    rows = []
+    for _ in range(300):
+        depth = rng.randint(1, 6)
+        path = "".join(f"/{rng.choice('abc')}" for _ in range(depth))
+        rows.append((path, rng.randint(0, 300), rng.randint(0, 9)))
+    got, want = scored(rows), plain_scores(rows)
+    assert got.keys() == want.keys()
+    assert all(got[p] == pytest.approx(want[p], rel=1e-9) for p in want)
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f'{MENU}<article class="share-box">{ARTICLE}</article>',
+        f'{MENU}<div class="promo">{ARTICLE}</div>',
+        f'<div class="top"><a href="/">Home</a></div><div id="widget"><div class="x">{ARTICLE}</div></div>',
+        # No article element and no listed word: the paths decide.
+        "<div class=k1>" + "".join(f"<span class=z><a href=/{i}>Go {i}</a></span><br>" for i in range(30)) + "</div>"
+        f"<div class=k2>{ARTICLE}</div><div class=k3>" + "<div>tag</div>" * 20 + "</div>",
+    ],
+)
+def test_hints_and_paths(body):
+    assert extraction.main_text(page(body)) == WANT
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "x <y and " * 111_000, "<a" + " " * 1_000_000, "<script " * 125_000, "<a '" * 250_000, '<a b="' * 160_000,
+        "".join(f"<p class=c{i}>Some words, here.</p>" for i in range(30_000)),
+        "<div>words, here " * 100_000, "<ul><li>" * 50_000 + "a, b" + "</ul>" * 50_000,
+        "<b>x<img>" * 100_000, "<p><i>" * 100_000 + "</p>" * 100_000, "</x>" * 250_000,
+    ],
+)
+def test_long_and_odd_pages_in_proportion(source):
+    begin = time.process_time()
+    extraction.main_text(source)
+    assert time.process_time() - begin < 5
+
+
+def test_other_columns_do_not_matter(spark):
+    df = spark.createDataFrame([(1, "u", page(ARTICLE), 7, 8)], "page_id long, url string, html string, text int, n_chars int")
+    assert [tuple(r) for r in extraction.extract(df).collect()] == [(1, "u", WANT, len(WANT))]
