@@ -7,10 +7,13 @@ needed. ``even_bins`` seeks the smallest capacity at which a fixed number of bin
 enough (by halving, as in the multifit rule), so the bins come out nearly equal; a
 group above the fair share takes a bin alone and the rest is shared out anew.
 
-Only a bounded number of items reaches the packing, whatever the data: groups above
-1 / (shards * FINE) of all bytes are items of their own, at most shards * FINE of
-them; smaller ones are first bundled by hash into shards * FINE bundles. The two
-tables of places are broadcast, with at most that many rows each.
+The driver packs the histogram of the groups' sizes, not the groups. Groups of one size
+are a run: the tightest bin that holds one of them takes as many as it can, then the
+next, which is what best fit does with them one by one. Different sizes add up to all
+bytes at most, so a table of B bytes has fewer than sqrt(2 B) of them (14 million for
+100 TB, and far fewer where texts have usual lengths). Spark then numbers the groups of
+each size, range by range, and looks up the bin of each number; each size is one row of
+that table, so a frequent size costs no more.
 
 Defined results: a null text counts as an empty one. Repeated rows and ids are placed
 row by row. Ties are broken by hash, so a run can be repeated. An empty table gives an
@@ -20,13 +23,14 @@ empty result. Other columns are not read.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from salesloom.functions.ordered import total_before
 from salesloom.workspace import stage
 
 SHARDS = 24
-FINE = 2048
 ROW_BYTES = 8
 # Rows per block of a shard when places in it are counted.
 BLOCK_ROWS = 100_000
@@ -148,6 +152,65 @@ def even_bins(sizes: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
+Runs = list[tuple[int, int, int]]
+
+
+def fit_runs(sizes: list[int], counts: list[int], capacity: int, bins: int, first: int = 0) -> Runs | None:
+    """(size, bin, number of groups) of best fit for ``counts`` groups of each size, sizes
+    falling. None when the bins, named from ``first``, are not enough."""
+    tree, out = CapacityTree(), []
+    for name in range(bins):
+        tree.add(capacity, first + name)
+    for size, count in zip(sizes, counts, strict=True):
+        while count:
+            found = tree.take_tightest(size)
+            if found is None:
+                return None
+            left, name = found
+            taken = min(count, left // size)
+            out.append((size, name, taken))
+            tree.add(left - taken * size, name)
+            count -= taken
+    return out
+
+
+def even_runs(sizes: np.ndarray, counts: np.ndarray, bins: int) -> Runs:
+    """``even_bins`` of a histogram: a fixed number of bins at the smallest capacity."""
+    order = np.argsort(-sizes, kind="stable")
+    falling, left = sizes[order].tolist(), counts[order].tolist()
+    total, out, free = sum(s * n for s, n in zip(falling, left, strict=True)), [], bins
+    while free > 1 and falling and falling[0] * free > total:
+        out.append((falling[0], bins - free, 1))
+        total, free, left[0] = total - falling[0], free - 1, left[0] - 1
+        if not left[0]:
+            falling, left = falling[1:], left[1:]
+    if not falling:
+        return out
+    low = max(-(-total // free), falling[0])
+    high = low + falling[0]
+    best = fit_runs(falling, left, high, free, bins - free)
+    while low < high:
+        middle = (low + high) // 2
+        found = fit_runs(falling, left, middle, free, bins - free)
+        if found is None:
+            low = middle + 1
+        else:
+            high, best = middle, found
+    return out + best
+
+
+def _run_ends(runs: Runs) -> pa.Table:
+    """One row per size: bytes, and the bins of its groups with the number that ends each."""
+    bounds: dict[int, list[dict]] = {}
+    for size, name, taken in runs:
+        own = bounds.setdefault(size, [])
+        own.append({"end": taken + (own[-1]["end"] if own else 0), "shard": name})
+    kind = pa.list_(pa.struct([("end", pa.int64()), ("shard", pa.int32())]))
+    return pa.table(
+        {"bytes": pa.array(list(bounds), pa.int64()), "runs": pa.array(list(bounds.values()), kind)}
+    )
+
+
 def sharded(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS
 ) -> DataFrame:
@@ -165,30 +228,16 @@ def sharded(
         F.unhex(F.md5(whole.cast("binary"))).alias("group"),
     )
     rows = stage(rows, "sized")
-    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    bundles = shards * FINE
-    bundle = F.pmod(F.xxhash64("group"), F.lit(bundles)).alias("bundle")
-    groups = stage(rows.groupBy("group").agg(F.sum("size").alias("bytes")), "groups")
-    alone = groups.where(F.col("bytes") * bundles > total)
-    small = groups.where(F.col("bytes") * bundles <= total).groupBy(bundle)
-    alone = alone.orderBy("group").toArrow()
-    small = small.agg(F.sum("bytes").alias("bytes")).orderBy("bundle").toArrow()
-    sizes = np.concatenate([alone.column("bytes").to_numpy(), small.column("bytes").to_numpy()])
-    places = even_bins(sizes.astype(np.int64), shards).astype(np.int32)
-    n = alone.num_rows
-    by_group = spark.createDataFrame(
-        list(zip(alone.column("group").to_pylist(), places[:n].tolist(), strict=True)),
-        "group binary, own int",
-    )
-    by_bundle = spark.createDataFrame(
-        list(zip(small.column("bundle").to_pylist(), places[n:].tolist(), strict=True)),
-        "bundle long, shared int",
-    )
-    placed = rows.join(F.broadcast(by_group), "group", "left")
-    placed = placed.withColumn("bundle", F.pmod(F.xxhash64("group"), F.lit(bundles)))
-    placed = placed.join(F.broadcast(by_bundle), "bundle", "left")
-    placed = placed.withColumn("shard", F.coalesce("own", "shared")).drop("own", "shared", "bundle")
-    return with_slots(placed, count, shards)
+    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    groups = stage(groups, "groups")
+    histogram = groups.groupBy("bytes").agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).toArrow()
+    count = int(histogram.column("rows").to_numpy().sum())
+    runs = even_runs(histogram.column("bytes").to_numpy(), histogram.column("n").to_numpy(), shards)
+    ends = spark.createDataFrame(_run_ends(runs))
+    numbered = total_before(groups.withColumn("one", F.lit(1)), ["bytes"], "group", {"one": "number"})
+    own = F.filter("runs", lambda r: r["end"] > F.col("number"))[0]["shard"]
+    by_group = numbered.join(ends, "bytes").select("group", own.alias("shard"))
+    return with_slots(rows.join(by_group, "group"), count, shards)
 
 
 def with_slots(placed: DataFrame, count: int, shards: int) -> DataFrame:

@@ -85,8 +85,39 @@ def test_shards_of_documents(spark):
     assert len(loads) == 24 and max(loads.values()) <= 1.002 * min(loads.values())
 
 
-def test_bundles_and_blocks(documents, monkeypatch):
-    monkeypatch.setattr(sharding, "FINE", 4)
+@settings(max_examples=200, deadline=None)
+@given(sizes_list, st.integers(1, 8), st.integers(50, 200))
+def test_runs_are_best_fit_one_by_one(sizes, bins, capacity):
+    falling = np.array(sorted(sizes, reverse=True))
+    places = sharding.best_fit(falling, capacity, bins)
+    kinds, counts = np.unique(-falling, return_counts=True)
+    runs = sharding.fit_runs((-kinds).tolist(), counts.tolist(), capacity, bins)
+    assert (runs is None) == (places is None)
+    if runs is not None:
+        found = sorted((s, b) for s, b, n in runs for _ in range(n))
+        assert found == sorted(zip(falling.tolist(), places.tolist(), strict=True))
+    values, n = np.unique(falling, return_counts=True)
+    loads, want = np.zeros(bins), np.bincount(sharding.even_bins(falling, bins), falling, minlength=bins)
+    for s, b, k in sharding.even_runs(values, n, bins):
+        loads[b] += s * k
+    assert loads.tolist() == want.tolist()
+
+
+def test_many_small_groups():
+    """Every group goes through best fit: as item by item, and loads within 0.2 percent."""
+    sizes = np.random.default_rng(2).zipf(1.3, 100_000).clip(1, 3000) + 8
+    places = sharding.even_bins(sizes, 24)
+    values, counts = np.unique(sizes, return_counts=True)
+    runs = sharding.even_runs(values, counts, 24)
+    loads = np.zeros(24)
+    for s, b, k in runs:
+        loads[b] += s * k
+    assert loads.tolist() == np.bincount(places, sizes, minlength=24).tolist()
+    assert loads.max() <= 1.002 * loads.min()
+    assert sum(k for *_, k in runs) == len(sizes)
+
+
+def test_blocks_of_slots(documents, monkeypatch):
     monkeypatch.setattr(sharding, "BLOCK_ROWS", 5)
     check(documents, sharding.sharded(documents, shards=5).collect(), 5)
 
