@@ -142,7 +142,7 @@ def pack(
         encode = tokens.encoder(tokenizer).encode
         out, done, lane, size = None, 0, [], 0
         for batch in batches:
-            for part in arrays.sliced(batch, "text"):
+            for part in arrays.sliced(batch, "text", tokens.SLICE_BYTES):
                 ids, bounds, _ = encode(part.column("text"), LAST_ID)
                 lane.append((part.column("doc_id"), ids, bounds))
                 size += len(ids)

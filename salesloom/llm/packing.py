@@ -170,7 +170,7 @@ def pack(
         encode = tokens.encoder(tokenizer).encode
         first, lane = TaskContext.get().partitionId() << 32, _Lane()
         for batch in batches:
-            for part in arrays.sliced(batch, "text"):
+            for part in arrays.sliced(batch, "text", tokens.SLICE_BYTES):
                 lane.add(part.column("doc_id"), *encode(part.column("text"), LAST_ID))
                 if lane.size >= LANE_TOKENS:
                     rows, first = lane.packed(window, first)

@@ -54,7 +54,7 @@ def write_tokens(
         encode = tokens.encoder(tokenizer).encode
         out, done = None, 0
         for batch in batches:
-            for part in arrays.sliced(batch, "text"):
+            for part in arrays.sliced(batch, "text", tokens.SLICE_BYTES):
                 out = out or files.Writer(folder, "tokens", "u16")
                 out.write(encode(part.column("text"), separator)[0].astype("<u2"))
                 n = part.num_rows

@@ -26,6 +26,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 REMEMBERED, REMEMBERED_WORDS = 500_000, 200_000
+# Text bytes encoded at a time: each distinct word of a slice is handled once.
+SLICE_BYTES = 8 << 20
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _encoders: dict[str, WordEncoder] = {}
