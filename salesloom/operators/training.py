@@ -39,7 +39,7 @@ FOLDS = 3
 
 # Labelled rows that the fits of a comparison share, and fits that run side by side.
 # A single fit of small data keeps few cores busy.
-SAMPLE_ROWS, PARALLELISM = 20_000, 8
+SAMPLE_ROWS, PARALLELISM = 10_000, 8
 # Rows of a bounded sample in one partition: most of a small fit is the start of tasks.
 PARTITION_ROWS = 10_000
 # What a fit raises for settings or rows that it cannot work with.
@@ -308,10 +308,12 @@ def train_and_evaluate(
 
 @dataclass
 class Comparison:
-    """Models, best area under the curve first, and the scores of the search, if any."""
+    """Models, best area under the curve first, the scores of the search, if any, and the
+    rows that all were fitted on."""
 
     results: list[Trained]
     scores: DataFrame | None
+    prepared: Prepared
 
 
 def tuned_comparison(
@@ -340,7 +342,7 @@ def tuned_comparison(
         return _fitted(name, prepared, test, candidates, (settings or {}).get(name, {}))
 
     results = _side_by_side(spark, fit, names, parallelism)
-    return Comparison(sorted(results, key=lambda r: -(r.metrics["roc_auc"] or 0.0)), scores)
+    return Comparison(sorted(results, key=lambda r: -(r.metrics["roc_auc"] or 0.0)), scores, prepared)
 
 
 def compare_models(
@@ -375,6 +377,26 @@ def feature_importance(spark: SparkSession, trained: Trained) -> DataFrame:
     ).orderBy(F.col("importance").desc(), "feature")
 
 
+def score_equations(trained: Trained, prepared: Prepared) -> DataFrame:
+    """(feature, slope): slope of the loss of a logistic regression at its solution.
+
+    The loss is the weighted mean of the log loss and the penalty, so each slope is 0 up to
+    the tolerance of the fit. The intercept has no penalty.
+    """
+    model = trained.model.stages[-1]
+    rows = with_score(model.transform(prepared.rows)).withColumn("_x", vector_to_array(encoding.VECTOR))
+    miss = F.col("weight") * (F.col("score") - F.col("label"))
+    names = [*prepared.names, "intercept"]
+    sides = [miss * F.col("_x")[j] for j in range(len(prepared.names))] + [miss]
+    pulls = [model.getRegParam() * float(b) for b in model.coefficients] + [0.0]
+    wide = rows.agg(F.sum("weight").alias("w"), *[F.sum(s).alias(f"s{j}") for j, s in enumerate(sides)])
+    listed = [
+        F.struct(F.lit(n).alias("feature"), (F.col(f"s{j}") / F.col("w") + F.lit(pull)).alias("slope"))
+        for j, (n, pull) in enumerate(zip(names, pulls, strict=True))
+    ]
+    return wide.select(F.inline(F.array(*listed)))
+
+
 BASELINE = [
     "qty", "amount", "month", "is_weekend", "b2b", "fulfilment", "service_level", "category",
 ]

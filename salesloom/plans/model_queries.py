@@ -280,6 +280,19 @@ def _(t):
     return _metrics_of(t, "Logistic Regression")
 
 
+@query(
+    "ml08_score_equations",
+    "SELECT unnest([" + ", ".join(f"'{c}'" for c in [*encoding.NUMERIC, *_FLAGS, "intercept"])
+    + "]) AS feature, true AS solved",
+)
+def _(t):
+    """The logistic regression is the minimum of its loss: all slopes vanish."""
+    found = compared(t)
+    model = next(r for r in found.results if r.name == "Logistic Regression")
+    slopes = training.score_equations(model, found.prepared)
+    return slopes.select("feature", (F.abs("slope") < 1e-3).alias("solved"))
+
+
 @query("ml09_random_forest")
 def _(t):
     return _metrics_of(t, "Random Forest")
@@ -333,6 +346,20 @@ def _(t):
     return tables[0].unionByName(tables[1]).unionByName(tables[2])
 
 
+@query(
+    "ml18_importance_shares",
+    f"""SELECT model, {len(encoding.NUMERIC + _FLAGS)} AS features, true AS shares
+        FROM (VALUES ('Random Forest'), ('Gradient Boosting')) v(model)""",
+)
+def _(t):
+    """The importances of the trees are shares: none negative, one in all."""
+    trees = [r for r in compared(t).results if r.name != "Logistic Regression"]
+    tables = [training.feature_importance(t.spark, r).withColumn("model", F.lit(r.name)) for r in trees]
+    whole = (F.min("importance") >= 0) & (F.abs(F.sum("importance") - 1) < 1e-9)
+    both = tables[0].unionByName(tables[1]).groupBy("model")
+    return both.agg(F.count("*").cast("int").alias("features"), whole.alias("shares"))
+
+
 def requests(sales):
     """Scoring requests with some absent and some unacceptable fields."""
     d = F.col("date")
@@ -407,6 +434,15 @@ def _(t):
     return scoring.score_requests(requests(t.sales_raw), saved_bundle(t), KEY)
 
 
+@query(
+    "ml23_every_valid_request_once",
+    f"SELECT {KEYS}, true AS scored FROM ({_CHECKED_SQL} WHERE failures = '') AS valid",
+)
+def _(t):
+    scores = scoring.score_requests(requests(t.sales_raw), saved_bundle(t), KEY)
+    return scores.select(*KEY, F.col("cancellation_probability").between(0, 1).alias("scored"))
+
+
 @query("ml25_snk03_snk04_model_info")
 def _(t):
     return persistence.model_info(t.spark, saved_bundle(t))
