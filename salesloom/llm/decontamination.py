@@ -1,7 +1,8 @@
 """Benchmark decontamination: BM25 retrieval of test items for every passage.
 
-Question and answer of a test item (the text up to the first line break, and what
-follows) are cut into entries of at most ``ENTRY_WORDS`` words each, indexed by term.
+Of question and answer of a test item (the text up to the first line break, and what
+follows) the longer one is cut into entries of at most ``ENTRY_WORDS`` words, indexed by
+term: both must be confirmed, so one is enough to retrieve the item.
 Every document is read as passages of ``PASSAGE_WORDS`` words that start every half
 passage, so each stretch as long as an entry lies in one passage as a whole. A passage
 is a query of its distinct words. It retrieves all entries that reach the score they
@@ -87,7 +88,17 @@ def _needed(words: np.ndarray, overlap: float) -> list[tuple[np.ndarray, int]]:
     return [(own, missing // len(entries)) for own in entries]
 
 
-def _entries(bare: bool, overlap: float):
+def _sought(parts: list[np.ndarray], in_order: bool) -> list[np.ndarray]:
+    """The parts whose entries retrieve an item.
+
+    Both parts must be confirmed, so the longer one is enough, as it is rarer. With
+    ``in_order`` a short part may count without its runs, but then the other one has them.
+    """
+    longest = max(parts, key=len)
+    return parts if in_order and len(longest) < FEW_WORDS else [longest]
+
+
+def _entries(bare: bool, overlap: float, in_order: bool):
     """Terms of the entries of each item: number within the item, length, frequencies."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +108,8 @@ def _entries(bare: bool, overlap: float):
                 parts = _words_of(text, bare)
                 if not bare and sum(map(len, parts)) < LEAST_WORDS:
                     continue
-                entries = [e for words in parts for e in _needed(words, overlap)]
+                sought = _sought(parts, in_order)
+                entries = [e for words in sought for e in _needed(words, overlap)]
                 for n, (own, spare) in enumerate(entries):
                     terms, counts = np.unique(own, return_counts=True)
                     rows.append((i, n, len(own), spare, terms, counts))
@@ -320,13 +332,18 @@ def _confirmed(index: Index, part: pa.RecordBatch, overlap: float, in_order: boo
 
 
 def _shards(
-    items: DataFrame, item_id: str, text: str, bare: bool = False, overlap: float = OVERLAP
+    items: DataFrame,
+    item_id: str,
+    text: str,
+    bare: bool = False,
+    overlap: float = OVERLAP,
+    in_order: bool = False,
 ) -> Iterator[Index]:
     rows = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
     rows = rows.where("text is not null").withColumn("item", F.monotonically_increasing_id())
     rows = stage(rows, "items")
     kind = "item long, entry long, size long, spare long, term long, n long"
-    terms = stage(rows.select("item", "text").mapInArrow(_entries(bare, overlap), kind), "postings")
+    terms = stage(rows.select("item", "text").mapInArrow(_entries(bare, overlap, in_order), kind), "postings")
     entries = terms.select("item", "entry", "size").distinct()
     count, mean, words = entries.agg(F.count("*"), F.avg("size"), F.sum("size")).first()
     if not count:
@@ -391,7 +408,7 @@ def matches(
         return rows.mapInArrow(work, schema)
 
     found = None
-    for index in _shards(items, item_id, item_text, bare, overlap):
+    for index in _shards(items, item_id, item_text, bare, overlap, in_order):
         one = searched(index)
         found = one if found is None else found.unionByName(one)
     return spark.createDataFrame([], schema) if found is None else found
@@ -408,7 +425,7 @@ def clean(
     in_order: bool = False,
 ) -> DataFrame:
     """The documents that contain no test item, with all their columns. No shuffle."""
-    for index in _shards(items, item_id, item_text, bare, overlap):
+    for index in _shards(items, item_id, item_text, bare, overlap, in_order):
         docs = _without(docs, index, text, overlap, in_order)
     return docs
 

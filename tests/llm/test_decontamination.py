@@ -23,7 +23,7 @@ def split(items):
         parts = [words(t) for t in text.partition("\n")[::2]]
         if sum(map(len, parts)) < dc.LEAST_WORDS:
             continue
-        for own in filter(None, parts):
+        for own in [max(parts, key=len)]:
             n, run = -(-len(own) // dc.ENTRY_WORDS), min(5, len(own))
             runs = {tuple(own[i : i + run]) for i in range(len(own) - run + 1)}
             missing = len(runs) - math.ceil(dc.OVERLAP * len(runs) - 1e-9)
