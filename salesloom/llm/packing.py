@@ -171,11 +171,20 @@ def pack(
         first, lane = TaskContext.get().partitionId() << 32, _Lane()
         for batch in batches:
             for part in arrays.sliced(batch, "text", tokens.SLICE_BYTES):
-                lane.add(part.column("doc_id"), *encode(part.column("text"), LAST_ID))
-                if lane.size >= LANE_TOKENS:
-                    rows, first = lane.packed(window, first)
-                    yield rows
-                    lane = _Lane()
+                ids, bounds, sentences = encode(part.column("text"), LAST_ID)
+                a = 0
+                while a < part.num_rows:
+                    room = bounds[a] + LANE_TOKENS - lane.size
+                    b = max(a + 1, int(np.searchsorted(bounds, room, side="right")) - 1)
+                    low, high = bounds[a], bounds[b]
+                    s, t = np.searchsorted(sentences, [low, high], side="right")
+                    keys = part.column("doc_id").slice(a, b - a)
+                    lane.add(keys, ids[low:high], bounds[a : b + 1] - low, sentences[s:t] - low)
+                    a = b
+                    if a < part.num_rows or lane.size >= LANE_TOKENS:
+                        rows, first = lane.packed(window, first)
+                        yield rows
+                        lane = _Lane()
         if lane.size:
             yield lane.packed(window, first)[0]
 
