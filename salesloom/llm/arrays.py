@@ -21,6 +21,20 @@ _PLACE = np.array(
     dtype=np.uint64,
 )
 _powers: dict[int, np.ndarray] = {}
+_memories: list[dict] = []
+
+
+def memory() -> dict:
+    """What a worker process remembers between tasks until ``release``."""
+    _memories.append({})
+    return _memories[-1]
+
+
+def release() -> None:
+    """Let go what earlier stages have left in this worker. Tasks that need room call it."""
+    for held in _memories:
+        held.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def fresh(name: str, df: DataFrame, *others: str) -> str:

@@ -30,7 +30,7 @@ REMEMBERED, REMEMBERED_WORDS = 500_000, 200_000
 SLICE_BYTES = 8 << 20
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = arrays.memory()
 
 
 class _Pool:
