@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from salesloom.functions.pvalues import two_sided_t
 from salesloom.operators import encoding, features, persistence, scoring, segments, training
+from salesloom.plans import QUERIES
 from salesloom.plans import model_queries as mq
 from salesloom.plans.customer_queries import KEY
 from salesloom.streaming.scoring import stream_rejections, stream_scores
@@ -108,6 +109,50 @@ def test_a_failing_setting_is_left_out(easy):
     assert two.best_params == {} and two.candidates == [] and two.metrics["accuracy"] > 0.9
 
 
+def test_forest_keeps_its_trees_with_cached_nodes(rows):
+    prepared = training.prepare(training.bounded_sample(rows, KEY, most=400).coalesce(1))
+    forest = training.classifier("Random Forest", prepared.count, trees=3)
+    assert forest.getCacheNodeIds()
+    plain = forest.copy().setCacheNodeIds(False).fit(prepared.rows)
+    one, two = (m.toDebugString.split("\n", 1)[1] for m in (forest.fit(prepared.rows), plain))
+    assert one == two
+
+
+def test_a_query_on_one_model_fits_no_other(tables, rows, monkeypatch):
+    few = training.bounded_sample(rows, KEY, most=600)
+    split = training.train_test_split(few, KEY, "label")
+    fitted, made, make = [], {}, training.classifier
+
+    def classifier(name, *args, **params):
+        fitted.append(name)
+        return make(name, *args, **(params if name == "Logistic Regression" else {**params, "trees": 1, "max_depth": 2}))
+
+    def once(t, name, build):
+        if name not in made:
+            made[name] = build()
+        return made[name]
+
+    monkeypatch.setattr(mq, "split_input", lambda t: split)
+    monkeypatch.setattr(mq, "_once", once)
+    monkeypatch.setattr(training, "classifier", classifier)
+    found = QUERIES["ml08_logistic_regression"](tables).collect()
+    assert [r.model for r in found] == ["Logistic Regression"]
+    assert fitted == ["Logistic Regression"] * (2 * training.FOLDS + 1)
+    # The comparison of all three makes the other two only, and holds all scores.
+    whole = mq.compared(tables)
+    assert fitted.count("Logistic Regression") == 2 * training.FOLDS + 1
+    assert {r.name for r in whole.results} == set(training.MODEL_NAMES)
+    assert whole.scores.count() == 10 * training.FOLDS
+    assert whole.scores.where("f1 IS NULL").count() == 0
+
+
+def test_the_longest_fits_start_first():
+    jobs = [(n, p) for n in training.MODEL_NAMES for p in training.param_grid(n)]
+    names, depths = zip(*[(n, p.get("max_depth", 0)) for n, p in sorted(jobs, key=lambda j: training._start(*j))])
+    assert names == ("Gradient Boosting",) * 4 + ("Random Forest",) * 4 + ("Logistic Regression",) * 2
+    assert depths == (5, 5, 3, 3, None, None, 10, 10, 0, 0)
+
+
 def test_best_setting_follows_from_the_written_scores(spark):
     rows = [
         ("a", 0, "{}", 0, 0.5, None), ("a", 0, "{}", 1, 0.7, None),
