@@ -1,6 +1,7 @@
 """Preparation, splits, training, persistence, scoring and streaming."""
 
 import math
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +147,38 @@ def test_a_query_on_one_model_fits_no_other(tables, rows, monkeypatch):
     assert whole.scores.where("f1 IS NULL").count() == 0
 
 
+def test_a_refit_waits_for_no_other_search(easy, monkeypatch):
+    few = training.bounded_sample(easy, KEY, most=600)
+    train, test = training.train_test_split(few, KEY, "label")
+    refitted, waited, make, fit = threading.Event(), [], training.classifier, training._fitted
+
+    def classifier(name, *args, **params):
+        if name == "Random Forest":
+            waited.append(refitted.wait(60))
+        return make(name, *args, **params)
+
+    def fitted(name, *args):
+        found = fit(name, *args)
+        if name == "Logistic Regression":
+            refitted.set()
+        return found
+
+    monkeypatch.setattr(training, "classifier", classifier)
+    monkeypatch.setattr(training, "_fitted", fitted)
+    names = ["Logistic Regression", "Random Forest"]
+    found = training.tuned_comparison(
+        train, test, KEY, names=names, grids={"Random Forest": [{"max_depth": 3}]},
+        settings={"Random Forest": {"trees": 2}},
+    )
+    assert waited == [True] * (training.FOLDS + 1)
+    assert {r.name for r in found.results} == set(names)
+    assert {(r.model, r.setting, r.fold) for r in found.scores.collect()} == {
+        (name, i, k)
+        for name, n in (("Logistic Regression", 2), ("Random Forest", 1))
+        for i in range(n) for k in range(training.FOLDS)
+    }
+
+
 def test_the_longest_fits_start_first():
     jobs = [(n, p) for n in training.MODEL_NAMES for p in training.param_grid(n)]
     names, depths = zip(*[(n, p.get("max_depth", 0)) for n, p in sorted(jobs, key=lambda j: training._start(*j))])
