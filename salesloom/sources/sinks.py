@@ -9,15 +9,19 @@ from pyspark.sql import types as T
 from salesloom.functions.scalars import month_period
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_csv(
+    df: DataFrame, path: str, mode: str = "errorifexists", compression: str = "none"
+) -> None:
     """One CSV part per task, each with a header; a folder reads back as one table.
 
-    Blanks at the ends of values are kept.
+    Blanks at the ends of values are kept. A compressed part (``snappy``) is read by one
+    task, as it was written by one.
     """
     (
         df.write.mode(mode)
         .option("header", True)
         .option("escape", '"')
+        .option("compression", compression)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from salesloom.contracts import MISSING_TOKENS
 from salesloom.functions import scalars as S
 from salesloom.operators import cleaning, enrich, kpis, profiling, scoring, sqllib
+from salesloom.plans.source_queries import export_rows
 from salesloom.sources import csv_tables, sinks
-from salesloom.workspace import new_path
+from salesloom.workspace import file_state, new_path
 
 
 def one(spark, column, **values):
@@ -116,6 +117,24 @@ def test_csv_missing_tokens(spark):
     assert set(back.values()) == {None} and len(back) == len(MISSING_TOKENS)
 
 
+def test_sales_export_is_compressed_and_joined_once(spark, tables):
+    text = export_rows(tables)
+    raw = tables.sales_raw
+    twice = raw.where("line_no = 7").count()
+    assert twice > 0 and text.count() == raw.count() + twice
+    copies = text.groupBy(*text.columns).count().where("count > 1")
+    assert {(r["line-no"], r["count"]) for r in copies.collect()} == {("7", 2)}
+    # One scan of each table: the joins behind the sales are made once.
+    assert text._jdf.queryExecution().optimizedPlan().toString().count("l_shipdate") <= 3
+    plain, small = new_path(spark, "plain"), new_path(spark, "small")
+    sinks.write_csv(text, plain)
+    sinks.write_csv(text, small, compression="snappy")
+    one, two = (csv_tables.read_text_csv(spark, p) for p in (plain, small))
+    assert one.columns == two.columns and one.exceptAll(two).count() == two.exceptAll(one).count() == 0
+    size = {p: sum(e[1] for e in file_state(spark, p)) for p in (plain, small)}
+    assert size[small] < size[plain] / 2
+
+
 def test_sales_are_cleaned_in_order(spark):
     header = ["Order ID", "Date ", "Amount", "Qty", "B2B", "index", "Unnamed: 22"]
     rows = [
