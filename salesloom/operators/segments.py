@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,9 @@ from salesloom.workspace import stage
 MEASURES = ["recency", "frequency", "monetary"]
 SCALED = [f"z_{m}" for m in MEASURES]
 
+# Each run of k-means keeps its own copy of the rows in the executors while it lasts.
+RUNS_AT_ONCE = 2
+
 # Rules on a segment's centre, first match wins. Each entry is a
 # label and its conditions as (measure, comparison, bound).
 LABEL_RULES = [
@@ -127,21 +132,23 @@ def segment_customers(
 ) -> Segmentation:
     """The best of several k-means runs on the scaled measures.
 
-    The rows and their scaled form are written once and every run reads them. Only
-    centres travel to the driver.
+    The rows and their scaled form are written once and every run reads them, a few at
+    the same time: an iteration is one short job. Only centres travel to the driver.
     """
     rfm = stage(rfm, "rfm")
     assembled = VectorAssembler(inputCols=SCALED, outputCol="_features").transform(
         stage(scale_rfm(rfm), "scaled-rfm")
     )
-    best = None
-    for run in range(restarts):
-        model = KMeans(
+
+    def fitted(run: int) -> KMeansModel:
+        return KMeans(
             k=k, seed=seed + run, maxIter=max_iter, tol=math.sqrt(1e-4 / k),
             featuresCol="_features", predictionCol="_segment",
         ).fit(assembled)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
+
+    with ThreadPool(max(1, min(RUNS_AT_ONCE, restarts))) as pool:
+        models = pool.map(inheritable_thread_target(rfm.sparkSession)(fitted), range(restarts), chunksize=1)
+    best = min(models, key=lambda model: model.summary.trainingCost)
     centres = [[float(v) for v in c] for c in best.clusterCenters()]
     labels = label_centres(rfm, centres, space)
     rows = best.transform(assembled).withColumn("segment", F.col("_segment").cast("string"))

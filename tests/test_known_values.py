@@ -1,5 +1,7 @@
 """Results on the five-row sales, the five-row stock and the small ledger."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +119,21 @@ def test_two_segments(sales):
     assert all(r.segment_label for r in rows)
 
 
+def test_runs_of_k_means_go_side_by_side(sales, monkeypatch):
+    meeting, costs = threading.Barrier(2), []
+
+    class Meeting(segments.KMeans):
+        def fit(self, rows):
+            meeting.wait(100)
+            model = super().fit(rows)
+            costs.append(model.summary.trainingCost)
+            return model
+
+    monkeypatch.setattr(segments, "KMeans", Meeting)
+    out = segments.segment_customers(rfm.compute_rfm(sales), k=2, restarts=4)
+    assert len(costs) == 4 and out.model.summary.trainingCost == min(costs)
+
+
 def test_three_classifiers():
     assert len(training.MODEL_NAMES) == 3
     assert [len(training.param_grid(n)) for n in training.MODEL_NAMES] == [2, 4, 4]
