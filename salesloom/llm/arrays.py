@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +33,15 @@ def memory() -> dict:
 
 
 def release() -> None:
-    """Let go what earlier stages have left in this worker. Tasks that need room call it."""
+    """Let go what earlier stages have left in this process. Tasks that need room call it.
+
+    Freed memory goes back to the system, where the C library can do that.
+    """
     for held in _memories:
         held.clear()
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def fresh(name: str, df: DataFrame, *others: str) -> str:

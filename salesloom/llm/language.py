@@ -366,7 +366,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int =
     Counting is one pass with sums in the tasks and one small shuffle. Calibration uses
     distinct texts of each language and a model that has not counted them; then they are
     counted, too. A language with two distinct texts or more sets one apart at least, one
-    with a single text none, so it has no bound.
+    with a single text none, so it has no bound. The counts gathered for it leave the driver.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where("text is not null and lang is not null").withColumn("hash", F.xxhash64("text"))
@@ -395,6 +395,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int =
     for j, name in enumerate(model.langs):
         at = whole.langs.index(name)
         whole.mean[at], whole.spread[at] = model.mean[j], model.spread[j]
+    del most, model
+    arrays.release()
     return whole
 
 

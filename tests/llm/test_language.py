@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from salesloom.llm import language
+from salesloom.llm import arrays, language
 
 
 def grams(word, order):
@@ -203,3 +203,11 @@ def test_slices_do_not_change_a_score(documents):
     for i in range(len(texts)):
         one = model.judged(texts.slice(i, 1))
         assert one[0][0] == whole[0][i] and abs(one[1][0] - whole[1][i]) < 1e-9
+
+
+def test_training_leaves_nothing_held_in_the_driver(docs_of):
+    held = arrays.memory()
+    held["texts"] = ["of an earlier stage"]
+    docs = docs_of(["ein Haus am See", "das alte Haus"], lang="de")
+    model = language.train(docs)
+    assert model.langs == ["de"] and not held
