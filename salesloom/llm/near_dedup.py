@@ -45,6 +45,8 @@ LEADS, GROWTH = 4, 16
 # Coordinates in the sketch (a multiple of 64), and how many standard deviations more
 # than expected at the threshold may differ.
 SKETCH, DEVIATIONS = 2048, 4.75
+# Pairs of nodes that a task reads in a round of the components.
+PAIRS_PER_TASK = 100_000
 
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -147,13 +149,21 @@ def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def _inlined(rows: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+    """A row (u, v) for each row and each of the named pairs of columns."""
+    return rows.select(
+        F.inline(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ends]))
+    )
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Smallest node reachable from each node of ``edges`` (x, y): columns node, label.
 
     Alternates two steps until nothing changes, each one sum by key and one join:
     larger neighbours move to the smallest neighbour, then smaller ones do. The
     result is a star for each component, in a number of rounds that grows with the
-    logarithm of its size.
+    logarithm of its size. A round reads its pairs in as many tasks as their number
+    asks for; the pairs of one task need no exchange.
     """
     pairs = stage(
         edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
@@ -163,17 +173,15 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     )
     seen = _print(pairs)
     while True:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = pairs.coalesce(seen[0] // PAIRS_PER_TASK + 1)
+        both = _inlined(near, ("u", "v"), ("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = (
             both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.select("u", F.col("m").alias("v"))
-        )
+        small = _inlined(large.join(low, "u"), ("v", "m"), ("u", "m"))
         pairs = stage(small.where("u <> v").distinct(), label)
         now = _print(pairs)
         if now == seen:
@@ -300,22 +308,27 @@ def _pairs(opened: DataFrame, percent: int, bands: int) -> DataFrame:
     """Pairs of a lead and a member of another component that may be similar enough.
 
     A pair counts in the first band that its two nodes share. Each bucket by itself
-    compares all pairs of its components, so the others need not.
+    compares all pairs of its components, so the others need not. Two leads meet twice
+    and count once. Sketches, the dearest test, are compared last.
     """
     columns = ("node", "label", "n_shingles", "bands", "sketch")
     side = opened.where("lead").select("bucket", *[F.col(c).alias(f"y_{c}") for c in columns])
     smaller = F.least("n_shingles", "y_n_shingles")
     larger = F.greatest("n_shingles", "y_n_shingles")
-    different = F.lit(0)
-    for i in range(SKETCH // 64):
-        different = different + F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("y_sketch")[i]))
-    near = (smaller * 100 >= larger * percent) & (different <= most_different(percent))
-    shared = [F.when(F.col("bands")[i] == F.col("y_bands")[i], F.lit(i)) for i in range(bands)]
-    once = F.col("band") == F.coalesce(*shared)
-    kept = opened.join(side, "bucket").where((F.col("label") != F.col("y_label")) & near & once)
+    # Functions of whole arrays: a long expression of their places is too large a method
+    # for the JVM to compile.
+    bits = F.zip_with("sketch", "y_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    different = F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+    sized = smaller * 100 >= larger * percent
+    near = different <= most_different(percent)
+    same = F.zip_with("bands", "y_bands", lambda a, b: a == b)
+    once = F.array_position(same, F.lit(True)) == F.col("band") + 1
+    met_once = ~F.col("lead") | (F.col("node") < F.col("y_node"))
+    apart = F.col("label") != F.col("y_label")
+    kept = opened.join(side, "bucket").where(apart & met_once & sized & once & near)
     return kept.select(
         F.least("node", "y_node").alias("x"), F.greatest("node", "y_node").alias("y")
-    ).distinct()
+    )
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
