@@ -3,8 +3,9 @@
 Documents follow each other as they are stored. A cut may fall at the end of a
 document (free), of a sentence (a small penalty) or inside one, every ``STRIDE`` tokens (a
 larger one). Dynamic programming over the allowed cuts takes
-the cheapest sum of padding and penalties; the best earlier cut comes from a queue
-kept in rising order of cost, so every cut is looked at twice at most.
+the cheapest sum of padding and penalties. Cuts that need the same number of windows
+are worked out at once, from the running minimum of those with one window less; where
+penalties outweigh a window, a queue kept in rising order of cost gives the same cuts.
 
 A window is padded to ``WINDOW`` tokens unless its length is a power of two. The end
 of a lane, a run of about ``LANE_TOKENS`` tokens of one partition, is either padded
@@ -62,12 +63,34 @@ def end_cost(rest: int, window: int = WINDOW) -> int:
     return min(window - rest, TOKEN_COST * rest.bit_count())
 
 
-def best_cuts(places: np.ndarray, costs: np.ndarray, window: int = WINDOW) -> list[int]:
-    """Ends of the windows that cost least in all. Neighbouring places are at most a
-    window apart, and the last place is the end of the stream."""
-    at = [0, *places.tolist()]
-    price = [0, *costs.tolist()]
-    best = [0] * len(at)  # cheapest cost up to a cut, plus its place
+def _by_layers(at: np.ndarray, price: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """What ``_by_queue`` gives, for all cuts that need the same number of windows at once.
+
+    As long as the costs in a layer differ by less than a window, the best earlier cut
+    lies in the layer before, and is its cheapest one from some place on. None where
+    they differ by more.
+    """
+    size = len(at)
+    best, before = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    from_place = np.searchsorted(at, at - window)
+    low, high = 0, 1  # the layer before
+    while high < size:
+        layer = best[low:high]
+        if layer.max() - layer.min() >= window:
+            return None
+        stop = int(np.searchsorted(at, at[high - 1] + window, side="right"))
+        # The least cost from each cut on; of equal ones, the last cut.
+        rank = (layer * size - np.arange(low, high))[::-1]
+        rank = np.minimum.accumulate(rank)[::-1][np.maximum(from_place[high:stop] - low, 0)]
+        before[high:stop] = -rank % size
+        best[high:stop] = best[before[high:stop]] + window + price[high:stop]
+        low, high = high, stop
+    return best, before
+
+
+def _by_queue(at: list[int], price: list[int], window: int) -> tuple[list[int], list[int]]:
+    """The cheapest cost up to each cut, plus its place, and the cut before it."""
+    best = [0] * len(at)
     before = [0] * len(at)
     queue, head = [0], 0
     for i in range(1, len(at)):
@@ -80,11 +103,22 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, window: int = WINDOW) -> li
         while len(queue) > head and best[queue[-1]] >= value:
             queue.pop()
         queue.append(i)
-    end, first = at[-1], len(at) - 2
-    while first > 0 and at[first - 1] >= end - window:
-        first -= 1
-    options = range(max(first, 0), len(at) - 1)
-    cut = min(options, key=lambda j: (best[j] - at[j] + end_cost(end - at[j], window), -j))
+    return best, before
+
+
+def best_cuts(places: np.ndarray, costs: np.ndarray, window: int = WINDOW) -> list[int]:
+    """Ends of the windows that cost least in all. Neighbouring places are at most a
+    window apart, and the last place is the end of the stream."""
+    at, price = np.concatenate([[0], places]), np.concatenate([[0], costs])
+    found = _by_layers(at, price, window)
+    if found is None:
+        found = map(np.array, _by_queue(at.tolist(), price.tolist(), window))
+    best, before = found
+    end, last = int(at[-1]), len(at) - 1
+    first = min(int(np.searchsorted(at, end - window)), last - 1)
+    near = zip(best[first:last].tolist(), at[first:last].tolist(), range(first, last), strict=True)
+    cut = min(near, key=lambda c: (c[0] - c[1] + end_cost(end - c[1], window), -c[2]))[2]
+    at = at.tolist()
     rest, tail = end - at[cut], []
     if end_cost(rest, window) < window - rest:
         place = at[cut]
@@ -97,7 +131,7 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, window: int = WINDOW) -> li
     cuts = []
     while cut > 0:
         cuts.append(at[cut])
-        cut = before[cut]
+        cut = int(before[cut])
     return cuts[::-1] + tail
 
 

@@ -80,6 +80,20 @@ def test_cuts_cost_least(steps):
         assert total + packing.end_cost(last_size, window) == want
 
 
+def test_layers_of_cuts_equal_the_queue(monkeypatch):
+    rng = np.random.default_rng(7)
+    for window, most, step in ((64, 8, 16), (64, 30, 40), (4096, 8, 16), (16, 5, 16)):
+        at = np.concatenate([[0], np.cumsum(rng.integers(1, step, 5000))])
+        price = np.concatenate([[0], rng.integers(0, most + 1, 5000)])
+        found = packing._by_layers(at, price, window)
+        want = packing._by_queue(at.tolist(), price.tolist(), window)
+        assert found is None or np.array_equal(found, want)
+    monkeypatch.setattr(packing, "_by_queue", None)  # the usual windows need no queue
+    bounds = np.concatenate([[0], np.cumsum(rng.integers(1, 2000, 1000))])
+    cuts = packing.best_cuts(*packing.offered_cuts(bounds, bounds[1:] - 1))
+    assert cuts[-1] == bounds[-1] and max(np.diff([0, *cuts])) <= packing.WINDOW
+
+
 @pytest.mark.parametrize("which", ["documents", "odd_docs"])
 def test_round_trip(request, which):
     docs = request.getfixturevalue(which)
