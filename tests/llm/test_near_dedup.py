@@ -109,6 +109,16 @@ def test_empty_table_and_clashing_names(documents):
     assert near_dedup.one_of_each(named).count() == near_dedup.one_of_each(documents).count()
 
 
+def test_pairs_of_leads_meet_once_without_an_aggregate(spark):
+    bands, short = list(range(16)), [0] * (near_dedup.SKETCH // 64)
+    rows = [(b, b, n, n, n < 2, 10, bands, short) for b in bands for n in range(3)]
+    kind = "band int, bucket long, node long, label long, lead boolean, n_shingles long, "
+    opened = spark.createDataFrame(rows, kind + "bands array<long>, sketch array<long>")
+    found = near_dedup._pairs(opened, 85, 16)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(0, 1), (0, 2), (1, 2)]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(200, 100 + i) for i in range(50)]
