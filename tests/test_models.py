@@ -89,6 +89,26 @@ def test_sample_is_bounded_repeatable_and_in_proportion(rows):
     assert training.bounded_sample(rows.limit(0), KEY).count() == 0
 
 
+def test_a_comparison_fits_on_all_training_rows(spark):
+    n = training.SAMPLE_ROWS + 2_500
+    rows = spark.range(n).select(
+        "id", (F.col("id") % 50).cast("double").alias("qty"), (F.col("id") % 7).cast("double").alias("amount"),
+        F.when(F.col("id") % 2 == 0, "Amazon").otherwise("Merchant").alias("fulfilment"),
+        (F.col("id") % 50 > 24).cast("double").alias("label"),
+    )
+    made = training.comparison_rows(rows, rows.limit(100), ["id"])
+    assert made.prepared.count == made.prepared.rows.count() == n
+    parts = training.fold_parts(made.train)
+    assert [failure for *_, failure in parts] == [None] * training.FOLDS
+    assert all(part.count + held.count() == n for part, held, _ in parts)
+    assert sum(held.count() for _, held, _ in parts) == n
+
+
+def test_fits_of_many_rows_run_one_at_a_time():
+    most = training.SINGLE_ROWS
+    assert [training._fits_at_once(n, 8) for n in (0, 10_000, most // 4, most, 50 * most)] == [8, 8, 4, 1, 1]
+
+
 def test_a_failing_setting_is_left_out(easy):
     grids = {
         "Logistic Regression": [{"c": -1.0}, {"c": 1.0}],
