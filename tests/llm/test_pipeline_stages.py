@@ -1,6 +1,7 @@
 """Stages of the pipeline against plain loops at the thresholds that they state."""
 
 import random
+import zlib
 
 import corpus_pipeline
 
@@ -27,3 +28,17 @@ def test_near_copies_between_80_and_85_percent(spark, docs_of):
     want = set(range(len(texts))) - {i for i, _ in linked}
     kept = corpus_pipeline.drop_near_copies(spark, docs_of(texts), "")
     assert {r.doc_id for r in kept.collect()} == want
+
+
+def test_languages_are_learnt_from_all_documents(spark):
+    """A language whose documents all have ids that ``op4`` holds out is known to the pipeline."""
+    rng = random.Random(5)
+
+    def text(letters):
+        return " ".join("".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(80))
+
+    held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 == 2][:40]
+    rows = [(k, text("αβγδεζηθικλμ"), "el") if k in held else (k, text("abcdefghijkl"), "en") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, docs, "").collect()}
+    assert kept == set(range(400))
