@@ -33,12 +33,14 @@ def memory() -> dict:
 
 
 def release() -> None:
-    """Let go what earlier stages have left in this process. Tasks that need room call it.
-
-    Freed memory goes back to the system, where the C library can do that.
-    """
+    """Let go what earlier stages have left in this process. Tasks that need room call it."""
     for held in _memories:
         held.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can do that."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):
         ctypes.CDLL(None).malloc_trim(0)

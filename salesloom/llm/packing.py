@@ -201,6 +201,7 @@ def pack(
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays.trim()
         encode = tokens.encoder(tokenizer).encode
         first, lane = TaskContext.get().partitionId() << 32, _Lane()
         for batch in batches:

@@ -1,5 +1,6 @@
 """Preparation, splits, training, persistence, scoring and streaming."""
 
+import glob
 import math
 import threading
 
@@ -12,7 +13,7 @@ from salesloom.plans import QUERIES
 from salesloom.plans import model_queries as mq
 from salesloom.plans.customer_queries import KEY
 from salesloom.streaming.scoring import stream_rejections, stream_scores
-from salesloom.workspace import new_path, stage
+from salesloom.workspace import new_path, run_dir, stage
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +34,15 @@ def test_unseen_category_is_all_zeros(rows):
     assert len(encoding.feature_names(fitted, encoding.NUMERIC, encoding.CATEGORICAL)) == 14
 
 
+def test_joined_sales_are_gone_when_features_are_made(spark, tables):
+    found = mq.featured(tables)
+    assert not glob.glob(f"{run_dir(spark)}/sales-*")
+    assert found.count() == tables.sales.count()
+    want = features.engineer_features(tables.sales.select(mq._INPUT), KEY)
+    plain = [d.withColumn("revenue_7d_ma", F.round("revenue_7d_ma", 6)) for d in (found, want)]
+    assert plain[0].exceptAll(plain[1]).count() == 0
+
+
 def test_split_is_disjoint_complete_and_repeatable(rows):
     train, test = training.train_test_split(rows, KEY, "label")
     again, _ = training.train_test_split(rows.repartition(5), KEY, "label")
